@@ -245,6 +245,12 @@ def number_rows(df: DataFrame, keys=None, order=None, name: str = RN) -> DataFra
     return out if name == RN else out.withColumnRenamed(RN, name)
 
 
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Attach a one-row table to every row as a scalar subquery: no join, no shuffle of the rows."""
+    cell = one.select(F.struct(*[ident(c) for c in one.columns]).alias("__one")).scalar()
+    return df.withColumn("__one", cell).select(*[ident(c) for c in df.columns], F.col("__one.*"))
+
+
 def totals(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
     """Attach group aggregates to every row: partial aggregation, then a join back.
 
@@ -254,7 +260,7 @@ def totals(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
     keys = as_list(keys)
     cols = [c.alias(n) for n, c in aggs.items()]
     if not keys:
-        return df.join(F.broadcast(df.agg(*cols)))  # exactly one row
+        return with_row(df, df.agg(*cols))
     return join_keys(df, df.groupBy(*[ident(k) for k in keys]).agg(*cols), keys, "left")
 
 
@@ -285,5 +291,5 @@ def quantiles(df: DataFrame, keys, points: dict[str, tuple[str, float]]) -> Data
             a, b = at(low), at(high)
             aggs.append((a + (b - a) * F.max(pos - low)).alias(name))
         found = ranked.groupBy(*by).agg(*aggs)
-        out = join_keys(out, found, keys, "left") if keys else out.join(F.broadcast(found))
+        out = join_keys(out, found, keys, "left") if keys else with_row(out, found)
     return out.select(*by, *[ident(n) for n in points])
