@@ -95,10 +95,10 @@ def product(df: DataFrame, ref: DataFrame, fields=None) -> DataFrame:
     """
     pairs = renames(fields) if fields is not None else {c: c for c in ref.columns}
     no_clash(df, pairs.values())
-    side = ref.select(*[ident(s).alias(d) for s, d in pairs.items()])
-    rows = side.count()
+    side = number_rows(ref.select(*[ident(s).alias(d) for s, d in pairs.items()]), None, list(pairs.values()))
+    rows = ref.count()
     slices = max(1, -(-rows // SLICE_ROWS))
-    side = side.withColumn("__slice", F.pmod(F.xxhash64(*[ident(d) for d in pairs.values()], F.rand(5)), F.lit(slices)))
+    side = side.withColumn("__slice", F.floor((F.col(RN) - 1) / SLICE_ROWS)).drop(RN)
     left = df.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
     return left.join(side, "__slice").drop("__slice")
 

@@ -169,6 +169,12 @@ class Ordered:
             return self
         if max(before, after) > self.block:
             raise ValueError(f"frame of {max(before, after)} rows exceeds millrace.blockRows={self.block}")
+        self.df = self._with_halo(before, after)
+        self.df = self.df.withColumns(make(self.window())).filter(F.col(BLK) == F.col(HOME)).drop(HOME)
+        return self
+
+    def _with_halo(self, before: int, after: int) -> DataFrame:
+        """Copy the first and last rows of each block into its neighbours; HOME is a row's own block."""
         size, home = self.block, F.col(BLK)
         place = (F.col(RN) - 1) - home * size
         targets = [home]
@@ -176,9 +182,14 @@ class Ordered:
             targets.append(F.when(place >= size - before, home + 1))
         if after:
             targets.append(F.when((place < after) & (home > 0), home - 1))
-        df = self.df.withColumn(HOME, home).withColumn(BLK, F.explode(F.filter(F.array(*targets), lambda b: b.isNotNull())))
-        self.df = df.withColumns(make(self.window())).filter(F.col(BLK) == F.col(HOME)).drop(HOME)
-        return self
+        return self.df.withColumn(HOME, home).withColumn(BLK, F.explode(F.filter(F.array(*targets), lambda b: b.isNotNull())))
+
+    def blocks(self, before: int = 0, after: int = 0) -> DataFrame:
+        """Rows with key, block (BLK), own block (HOME) and position (RN), for folds in Python."""
+        if not self.split:
+            rn = F.row_number().over(self.window()).cast("long")
+            return self.df.withColumns({RN: rn, BLK: F.lit(0).cast("long"), HOME: F.lit(0).cast("long")}).drop(TIE)
+        return self._with_halo(before, after).drop(TIE)
 
     def running(self, flip: bool = False, **specs: tuple[str, Column] | tuple[str, Column, bool]) -> Ordered:
         """Running ``sum``/``count``/``min``/``max``/``last`` from the start of the key.
