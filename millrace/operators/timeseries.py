@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from millrace.functions.scalars import epoch
 from millrace.functions.spec import as_list, ident, no_clash
 from millrace.operators.rows import counted
+from millrace.plans.folds import fold
 from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, join_keys
-from millrace.session import cut_lineage
 
 # output columns of the running-period operator
 PERIOD = ("start", "end", "interval", "stop_begins", "stop_ends", "run_begins", "run_ends", "run_id", "stop_id")
@@ -31,80 +31,24 @@ def seconds(df: DataFrame, time: str) -> Column:
     return ident(time).cast("double")
 
 
-def _walk(intervals, total: float, n: int, limit: float) -> tuple[list[int], float, int]:
-    """Flag intervals that reach ``limit`` times the running mean; each flag restarts the mean."""
-    flags = []
-    for x in intervals:
-        if n == 0:
-            total, n = x, 1
-            flags.append(0)
-            continue
-        mean = total / n
-        if mean != 0 and x / mean >= limit:  # False for NaN
-            total, n = x, 1
-            flags.append(1)
-        else:
-            total, n = total + x, n + (x == x)
-            flags.append(0)
-    return flags, total, n
-
-
-def _dynamic_flags(o: Ordered, limit: float) -> DataFrame:
-    """Stop flags that depend on a mean which restarts at each stop.
-
-    The rule is sequential, but its state is two numbers and forgets the past at every
-    stop. A hot key's blocks are therefore walked side by side from a guessed state and
-    walked again only while the state handed over by the block before differs from the
-    one used; the result is that of the row-by-row walk.
+def _stop_walk(limit: float):
+    """Flag intervals that reach ``limit`` times the running mean; each flag restarts the mean.
+
+    State: sum and number of the intervals since the last restart.
     """
-    data = o.blocks().drop(HOME)
-    keys = [ident(k) for k in o.keys]
-    flagged = T.StructType([*data.schema.fields, T.StructField("__flag", T.IntegerType())])
+    def walk(pdf: pd.DataFrame, total: float, n: float):
+        flags = []
+        for x in pdf["__gap"].to_numpy(dtype="float64").tolist():
+            mean = total / n if n else 0.0
+            stop = mean != 0 and x / mean >= limit  # False for NaN
+            if n == 0 or stop:
+                total, n = x, 1.0
+            else:
+                total, n = total + x, n + (x == x)
+            flags.append(int(stop))
+        return flags, total, n
 
-    def flag_plain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN)
-        return pdf.assign(__flag=_walk(pdf["__gap"].to_numpy(dtype="float64"), 0.0, 0, limit)[0])
-
-    if not o.split:
-        return data.groupBy(*keys, BLK).applyInPandas(flag_plain, flagged)
-
-    key_fields = [f for f in data.schema.fields if f.name in o.keys]
-    id_fields = [*key_fields, T.StructField(BLK, T.LongType())]
-    state = lambda *names: T.StructType([*id_fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    names = [f.name for f in id_fields]
-    gaps = cut_lineage(data.select(*keys, BLK, RN, "__gap"))
-
-    def finish(key, block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if not len(block) or not len(given):
-            return pd.DataFrame(columns=[*names, "__s", "__n"])
-        gap = block.sort_values(RN)["__gap"].to_numpy(dtype="float64")
-        _, total, n = _walk(gap, given["__s"].iloc[0], int(given["__n"].iloc[0]), limit)
-        return pd.DataFrame([[*key, total, float(n)]], columns=[*names, "__s", "__n"])
-
-    def leave(entry: DataFrame) -> DataFrame:
-        # both sides are grouped by (key, block); a group is one block of bounded size
-        needed = join_keys(gaps, entry.select(*names), names, "left_semi")
-        return needed.groupBy(*names).cogroup(entry.groupBy(*names)).applyInPandas(finish, state("__s", "__n"))
-
-    blocks = gaps.select(*keys, BLK).distinct()
-    entry = cut_lineage(blocks.withColumns({"__s": F.lit(0.0), "__n": F.lit(0.0)}))
-    out = cut_lineage(leave(entry))
-    while True:
-        handed = out.select(*keys, (F.col(BLK) + 1).alias(BLK), F.col("__s").alias("__s2"), F.col("__n").alias("__n2"))
-        both = join_keys(entry, handed, names, "inner")
-        differs = ~F.col("__s").eqNullSafe(F.col("__s2")) | (F.col("__n") != F.col("__n2"))
-        changed = cut_lineage(both.filter(differs).select(*names, F.col("__s2").alias("__s"), F.col("__n2").alias("__n")))
-        if changed.isEmpty():
-            break
-        entry = cut_lineage(join_keys(entry, changed, names, "left_anti").unionByName(changed))
-        out = cut_lineage(join_keys(out, changed, names, "left_anti").unionByName(leave(changed)))
-
-    def flag(key, block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(RN)
-        gap = block["__gap"].to_numpy(dtype="float64")
-        return block.assign(__flag=_walk(gap, given["__s"].iloc[0], int(given["__n"].iloc[0]), limit)[0])
-
-    return data.groupBy(*names).cogroup(entry.groupBy(*names)).applyInPandas(flag, flagged)
+    return walk
 
 
 def running_periods(df: DataFrame, time: str, by=None, stop_after: float | None = None, stop_ratio: float | None = None,
@@ -127,8 +71,7 @@ def running_periods(df: DataFrame, time: str, by=None, stop_after: float | None
     if stop_after is not None:
         o.with_columns({ss: F.coalesce((F.col("__gap") >= stop_after).cast("int"), F.lit(0))})
     else:
-        done = _dynamic_flags(o, stop_ratio).withColumnRenamed("__flag", ss).drop(RN, BLK, ALL)
-        o = Ordered(done, by, ["__t"])
+        o = Ordered(fold(o, ["__gap"], _stop_walk(stop_ratio), ss), by, ["__t"])
     o.frame(1, 0, lambda w: {se: F.coalesce(F.lag(ident(ss)).over(w), F.lit(0))})
     o.with_columns({
         rb: ((F.col("__top") & (ident(ss) == 0)) | (ident(se) == 1)).cast("int"),
