@@ -54,13 +54,10 @@ def histogram(df: DataFrame, x: str, bins: int, series=None) -> DataFrame:
 
 def scatter(df: DataFrame, x: str, y: str, series=None, limit: int | None = 1000, seed: int = 0) -> DataFrame:
     """x, y and series of a random sample of ``limit`` rows."""
-    out = df.select(*[ident(k) for k in as_list(series)], ident(x).cast("double").alias("x"), ident(y).cast("double").alias("y"))
-    out = out.filter("x is not null and y is not null")
-    if limit is None:
-        return out
-    draw = F.xxhash64(F.lit(seed), *[ident(c) for c in df.columns])
-    return df.withColumn("__u", draw).orderBy("__u").limit(limit).select(
-        *[ident(k) for k in as_list(series)], ident(x).cast("double").alias("x"), ident(y).cast("double").alias("y"))
+    data = df.filter(ident(x).isNotNull() & ident(y).isNotNull())
+    if limit is not None:  # a top-k of row hashes: each task keeps at most ``limit`` rows
+        data = data.withColumn("__u", F.xxhash64(F.lit(seed), *[ident(c) for c in df.columns])).orderBy("__u").limit(limit)
+    return data.select(*[ident(k) for k in as_list(series)], ident(x).cast("double").alias("x"), ident(y).cast("double").alias("y"))
 
 
 def density(df: DataFrame, x: str, y: str, bins: int, series=None) -> DataFrame:

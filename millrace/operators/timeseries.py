@@ -15,7 +15,7 @@ from millrace.functions.scalars import epoch
 from millrace.functions.spec import as_list, ident, no_clash
 from millrace.operators.rows import counted
 from millrace.plans.folds import fold
-from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, join_keys
+from millrace.plans.ordered import BLK, HOME, RN, Ordered, join_keys
 
 # output columns of the running-period operator
 PERIOD = ("start", "end", "interval", "stop_begins", "stop_ends", "run_begins", "run_ends", "run_id", "stop_id")
@@ -195,7 +195,7 @@ def _spline(df: DataFrame, field: str, name: str, keys: list[str], formula: bool
     block = min(o.block, max(overlap, 1)) if o.split else 0
     data = o.blocks(block, block)
     extra = [f"{name}_{c}" for c in ("x0", "c3", "c2", "c1", "c0")] if formula else [name]
-    kept = [f for f in data.schema.fields if f.name not in (BLK, HOME, RN, ALL)]
+    kept = [f for f in data.schema.fields if f.name not in (HOME, *o.helpers)]
     schema = T.StructType([*kept, *[T.StructField(e, T.DoubleType()) for e in extra]])
     columns = [f.name for f in kept]
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.similarity import MOVING_MEASURES, RANK_MEASURES, frame_ranks, pair
-from millrace.functions.spec import as_list, expand, ident, no_clash, order_keys, renames
+from millrace.functions.spec import as_list, expand, ident, no_clash, order_keys, renames, sort_columns
 from millrace.functions.stats import MOVING_STATS, stat, strict_if
 from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, hot_groups, join_keys, number_rows, totals
 
@@ -54,10 +54,7 @@ def ranks(df: DataFrame, by, order, name: str, dense: bool) -> DataFrame:
     inner = [f"{v}%r" if k.desc else v for v, k in zip(vals, ks)]
     o = Ordered(groups, parts, inner).running(__seen=("sum", F.col("__w") if not dense else F.lit(1).cast("long")))
     rank = F.col("__seen") if dense else F.col("__seen") - F.col("__w") + 1
-    ranked = o.result().drop(ALL) if parts == [ALL] else o.result()
-    if parts == [ALL]:
-        ranked = ranked.withColumn(ALL, F.lit(0))
-    ranked = ranked.select(*[ident(k) for k in parts], *vals, rank.alias(name))
+    ranked = o.result().select(*[ident(k) for k in parts], *vals, rank.alias(name))
     return join_keys(base, ranked, [*parts, *vals], "left").drop(*vals, ALL)
 
 
@@ -205,7 +202,7 @@ def exponential_mean(df: DataFrame, fields, order, by=None, t: int | None = None
     out = data.groupBy(*keys, BLK).applyInPandas(fold, schema)
     if not o.split:
         done = {d: _number(f"__y{i}") for i, d in enumerate(pairs.values())}
-        return out.withColumns(done).drop(*helper, RN, BLK, ALL)
+        return out.withColumns(done).drop(*helper, *o.helpers)
     ends = out.groupBy(*keys, BLK).agg(*[F.max_by(h, RN).alias(h) for h in helper], *[
         F.min_by(ident(s).cast("double"), F.when(ident(s).isNotNull(), F.col(RN))).alias(f"__f{i}") for i, s in enumerate(pairs)])
     cols = [f"__c{i}" for i in range(len(pairs))]
@@ -229,7 +226,7 @@ def exponential_mean(df: DataFrame, fields, order, by=None, t: int | None = None
     for i, d in enumerate(pairs.values()):
         y, c = _number(f"__y{i}"), _number(f"__c{i}")
         done[d] = F.when(y.isNull(), c).when(c.isNull(), y).otherwise(y + F.col(f"__p{i}") * (c - F.col(f"__f{i}")))
-    return out.withColumns(done).drop(*helper, *cols, *firsts, RN, BLK, ALL)
+    return out.withColumns(done).drop(*helper, *cols, *firsts, *o.helpers)
 
 
 def moving_mean(df: DataFrame, fields, order, by=None, t: int = 2, kind: str = "simple", alpha: float | None = None,

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spec import ident
-from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, join_keys
+from millrace.plans.ordered import BLK, HOME, RN, Ordered, join_keys
 from millrace.session import cut_lineage
 
 # rows in order and the state before them -> one flag per row and the state after them
@@ -37,7 +37,7 @@ def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
         return pdf.assign(**{flag: walk(pdf, 0.0, 0.0)[0]})
 
     if not o.split:
-        return data.groupBy(*keys, BLK).applyInPandas(whole, schema).drop(RN, BLK, ALL)
+        return data.groupBy(*keys, BLK).applyInPandas(whole, schema).drop(*o.helpers)
 
     names = [*o.keys, BLK]
     ids = [f for f in data.schema.fields if f.name in names]
@@ -72,4 +72,4 @@ def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
         block = block.sort_values(RN)
         return block.assign(**{flag: walk(block, given["__s"].iloc[0], given["__n"].iloc[0])[0]})
 
-    return data.groupBy(*by).cogroup(entry.groupBy(*by)).applyInPandas(final, schema).drop(RN, BLK, ALL)
+    return data.groupBy(*by).cogroup(entry.groupBy(*by)).applyInPandas(final, schema).drop(*o.helpers)

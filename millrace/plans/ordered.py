@@ -138,9 +138,11 @@ class Ordered:
         self.block = setting(spark, "blockRows", BLOCK_ROWS)
         self.keys = as_list(keys)
         ks = order_keys(order)
+        self.helpers = [RN, BLK, TIE]
         if not self.keys:
             df = df.withColumn(ALL, F.lit(0))
             self.keys = [ALL]
+            self.helpers.append(ALL)
         hashed = [ident(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
         hot = hot_groups(df, self.keys)
         self.split = hot is not None
@@ -246,13 +248,13 @@ class Ordered:
         return self
 
     def result(self, *drop: str) -> DataFrame:
-        return self.df.drop(*drop, RN, BLK, TIE, ALL)
+        return self.df.drop(*drop, *self.helpers)
 
 
 def number_rows(df: DataFrame, keys=None, order=None, name: str = RN) -> DataFrame:
     """1-based position of each row in its key, exact for groups of any size."""
     o = Ordered(df, keys, order, number=True)
-    out = o.df.drop(BLK, TIE, ALL)
+    out = o.df.drop(*[h for h in o.helpers if h != RN])
     return out if name == RN else out.withColumnRenamed(RN, name)
 
 

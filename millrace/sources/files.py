@@ -12,9 +12,20 @@ from millrace.operators.windows import number
 RUN_ID = "run_id"
 
 
+# fixed values: encodings Spark's text formats accept without a further setting
+STANDARD = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
+
+
+def _allow(spark: SparkSession, encoding: str) -> None:
+    """Other encodings, such as windows-31j, have to be switched on in the session."""
+    if encoding.lower() not in STANDARD:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_csv(spark: SparkSession, path, schema=None, header: bool = True, encoding: str = "UTF-8", sep: str = ",", line_sep: str | None = None,
              multi_line: bool = False) -> DataFrame:
     """A CSV table; an empty cell is NULL. Without a schema every column is text, so no inference pass runs."""
+    _allow(spark, encoding)
     reader = spark.read.options(header=header, encoding=encoding, sep=sep, nullValue="", emptyValue="", multiLine=multi_line, escape='"')
     if line_sep:
         reader = reader.option("lineSep", line_sep)
@@ -24,6 +35,7 @@ def read_csv(spark: SparkSession, path, schema=None, header: bool = True, encodi
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str = "UTF-8", sep: str = ",", line_sep: str | None = None, mode: str = "errorifexists") -> None:
+    _allow(df.sparkSession, encoding)
     writer = df.write.mode(mode).options(header=header, encoding=encoding, sep=sep, nullValue="", emptyValue="", escape='"')
     if line_sep:
         writer = writer.option("lineSep", line_sep)
@@ -149,6 +161,7 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
 def check_csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
     """Rows and malformed rows per file."""
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    df = spark.read.schema(full).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", enforceSchema=False, **options).csv(path)
-    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("bad_rows"))
+    df = spark.read.schema(full).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", **options).csv(path)
+    # the hash makes the reader parse every column, so every kind of bad row shows
+    one = F.pmod(F.hash(*[ident(f.name) for f in schema.fields]), F.lit(1)) + 1
+    return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum(one).alias("rows"), F.count("_bad").alias("bad_rows"))
