@@ -52,9 +52,9 @@ query("ts_polation_mpi", lambda t: ts.interpolate(t.gaps, "ts", [("x", "linear",
       f"SELECT event_id, ts, user_id, event_type, value, x, coalesce(x, {_VALUE['linear']}) AS y, coalesce(x, pv) AS z FROM {_NB.format(src=_RUNS, k='user_id, run_id')}", "y z", 3)
 _AHEAD = f"""(SELECT *, first_value(x IGNORE NULLS) OVER b AS nv2, first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS nt2
    FROM {_NB.format(src=GAPS, k='user_id')} WINDOW b AS ({_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
-query("ts_polation_non_ip", lambda t: ts.interpolate(t.gaps, "ts", [("x", "linear", "l"), ("x", "nearest", "n"), ("x", "next", "f")], "user_id", formula=True).drop("l_intercept"),
-      f"""SELECT event_id, ts, user_id, event_type, value, x, (nv2 - pv) / nullif(nt2 - pt, 0) AS l_slope, (pt + nt2) / 2 AS n_mid, pv AS n_prev, nv2 AS n_next, pv AS f_prev, nv2 AS f_next
-          FROM {_AHEAD}""", "l_slope n_mid", 5)
+query("ts_polation_non_ip", lambda t: ts.interpolate(t.gaps, "ts", [("x", "linear", "l"), ("x", "nearest", "n"), ("x", "next", "f")], "user_id", formula=True).drop("l_intercept").withColumn("l_slope", F.col("l_slope") * 3600),
+      f"""SELECT event_id, ts, user_id, event_type, value, x, (nv2 - pv) / nullif(nt2 - pt, 0) * 3600 AS l_slope, (pt + nt2) / 2 AS n_mid, pv AS n_prev, nv2 AS n_next, pv AS f_prev, nv2 AS f_next
+          FROM {_AHEAD}""", "l_slope n_mid", 3)
 query("ts_polation_cubic_spline", lambda t: ts.interpolate(t.gaps, "ts", [("x", "cubic_spline", "y")], "user_id"))
 query("ts_polation_cubic_formula", lambda t: ts.interpolate(t.gaps, "ts", [("x", "cubic_spline", "y")], "user_id", formula=True))
 

@@ -1 +1,37 @@
+"""Structured Streaming over the events table, run until everything there is processed."""
 
+from pyspark.sql import functions as F
+
+from millrace.catalog.registry import query
+from millrace.operators import rows as row
+from millrace.streaming import core as st
+
+
+def _follow(t, name="events"):
+    return st.follow(t.spark, t.folder, getattr(t, name).schema, "parquet", pathGlobFilter=f"{name}.parquet")
+
+
+def _events(t):
+    return _follow(t).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _counts(t, **kw):
+    stream = st.windowed(_events(t), "ts", "1 hour", {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 4)}, "event_type", **kw)
+    out = st.run_available(stream, mode="complete")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+query("stream_source", lambda t: st.run_available(_follow(t)), "SELECT * FROM events")
+query("stream_filter", lambda t: st.run_available(row.select_number(_follow(t), "value", "[10,50)")[0]), "SELECT * FROM events WHERE value >= 10 AND value < 50")
+query("stream_tumbling", _counts,
+      "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+query("stream_sliding", lambda t: _counts(t, slide="30 minutes"),
+      """SELECT s AS start, s + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
+         SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s, event_type, value FROM events) GROUP BY ALL""")
+query("stream_sessions", lambda t: st.run_available(st.sessions(_events(t), "ts", 6 * 3600, {"n": F.count(F.lit(1)), "last": F.max("ts")}, "user_id"), mode="complete").select(
+    F.col("start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "user_id", "n"),
+      """SELECT min(ts) AS start, max(ts) AS last, user_id, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM (
+         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, run""")
+query("stream_static_join", lambda t: st.run_available(st.join_table(_follow(t, "orders"), t.customer, "o_custkey", "c_custkey", "c_name")),
+      "SELECT o.*, c_name FROM orders o JOIN customer ON o_custkey = c_custkey")
+query("stream_dynamic_stops", lambda t: st.run_available(st.dynamic_stops(_events(t).select("event_id", "ts", "user_id"), "ts", 2.0, "user_id")).select("event_id", "user_id", "stop_ends"))

@@ -62,7 +62,7 @@ def features(df: DataFrame, by, wants: dict[str, Feature]) -> DataFrame:
     fields = list(dict.fromkeys(f.field for f in wants.values() if f.field))
     times = list(dict.fromkeys(f.time for f in wants.values() if f.time))
     xs, ts = {f: f"__x{i}" for i, f in enumerate(fields)}, {t: f"__t{i}" for i, t in enumerate(times)}
-    is_text = {f: isinstance(df.schema[f].dataType, T.StringType) for f in fields}
+    is_text = {f: not isinstance(df.schema[f].dataType, T.NumericType) for f in fields}
     base = df.select(*[ident(k) for k in keys], *[ident(f).alias(f"__raw{i}") for i, f in enumerate(fields)],
                      *[(number(ident(f)) if is_text[f] else ident(f).cast("double")).alias(xs[f]) for f in fields],
                      *[seconds(df, t).alias(ts[t]) for t in times])
@@ -90,11 +90,9 @@ def _statistics(base: DataFrame, keys: list[str], needed: dict[str, tuple[str, s
     """Attach the group statistics the second pass compares with."""
     if not needed:
         return base
-    base = base.withColumns({f"{c}_abs": F.abs(F.col(c)) for c in {c for s, c in needed.values() if s == "abs"}})
-    asked = {n: ("sum", f"{c}_abs") if s == "abs" else (s, c) for n, (s, c) in needed.items()}
-    if any(s == "median" for s, _ in asked.values()):
-        return _attach(base, describe(base, keys, asked), keys)
-    return totals(base, keys, {n: stat(s, F.col(c)) for n, (s, c) in asked.items()})
+    if any(s == "median" for s, _ in needed.values()):
+        return _attach(base, describe(base, keys, needed), keys)
+    return totals(base, keys, {n: F.sum(F.abs(F.col(c))) if s == "abs" else stat(s, F.col(c)) for n, (s, c) in needed.items()})
 
 
 def _plain(base: DataFrame, keys: list[str], wants: dict[str, Feature], xs: dict, raw: dict) -> DataFrame:
@@ -138,12 +136,12 @@ def _plain(base: DataFrame, keys: list[str], wants: dict[str, Feature], xs: dict
 
 def _aggregate(f: Feature, x: Column, r: Column, of) -> Column:
     """Features that are one aggregate, given the attached statistics."""
-    rows, n = F.count(F.lit(1)), F.count(x)
+    rows, n = F.count(F.lit(1)), F.count(x) if x is not None else None
     flag = lambda c: c.cast("int")
     empty_as_value = F.coalesce(r.cast("string"), F.lit("")) if r is not None else None
     if f.name in STATS:
         return F.count(r) if f.name == "count" else stat(f.name, x)
-    negative = F.min(x) < 0
+    negative = F.min(x) < 0 if x is not None else None
     table = {
         "rows": lambda: rows,
         "miss": lambda: rows - F.count(r),

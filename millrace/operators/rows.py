@@ -125,7 +125,7 @@ def duplicate(df: DataFrame, times: int | str) -> DataFrame:
 _TICKS = {
     "n": (lambda c: c.cast("long"), lambda c, t: c.cast(t)),
     "d": (F.unix_date, lambda c, t: F.date_from_unix_date(c.cast("int")).cast(t)),
-    "t": (F.unix_seconds, lambda c, t: F.timestamp_seconds(c).cast(t)),
+    "t": (lambda c: F.unix_seconds(c.cast("timestamp")), lambda c, t: F.timestamp_seconds(c).cast(t)),
 }
 
 

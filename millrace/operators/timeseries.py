@@ -301,7 +301,7 @@ def _time_join_formula(df, ref, time, ref_time, items, keys, rkeys, stop_after)
 def _axis_value(kind: str, start: Column, step: Column) -> Column:
     """start + step in the unit of the axis: seconds, days, calendar months or plain numbers."""
     if kind == "datetime":
-        return F.timestamp_micros(F.unix_micros(start) + F.round(step * 1_000_000).cast("long"))
+        return F.timestamp_micros(F.unix_micros(start.cast("timestamp")) + F.round(step * 1_000_000).cast("long"))
     if kind == "date":
         return F.date_add(start, step.cast("int"))
     if kind == "month":
@@ -312,7 +312,7 @@ def _axis_value(kind: str, start: Column, step: Column) -> Column:
 def _axis_count(kind: str, start: Column, end: Column, interval: float) -> Column:
     """Steps after the first point: floor(range / interval)."""
     if kind == "datetime":
-        return F.floor((F.unix_micros(end) - F.unix_micros(start)) / F.lit(interval * 1e6))
+        return F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(interval * 1e6))
     if kind == "date":
         return F.floor(F.date_diff(end, start) / F.lit(interval))
     if kind == "month":
@@ -341,4 +341,5 @@ def axis_of(df: DataFrame, time: str, kind: str, interval: float, by=None, name:
         keys = [*keys[:-1], "run_id"]
     ends = data.filter(ident(time).isNotNull()).groupBy(*[ident(k) for k in keys]).agg(F.min(ident(time)).alias("__s"), F.max(ident(time)).alias("__e"))
     out = counted(ends, F.lit(0), _axis_count(kind, F.col("__s"), F.col("__e"), interval), "__i")
-    return out.select(*[ident(k) for k in keys], _axis_value(kind, F.col("__s"), F.col("__i") * F.lit(interval)).alias(name or time))
+    value = _axis_value(kind, F.col("__s"), F.col("__i") * F.lit(interval)).cast(df.schema[time].dataType)
+    return out.select(*[ident(k) for k in keys], value.alias(name or time))
