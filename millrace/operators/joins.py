@@ -23,8 +23,8 @@ def _reference(ref: DataFrame, by: list[str], ref_by, fields) -> tuple[DataFrame
     return out, list(pairs.values())
 
 
-def _on(df: DataFrame, ref: DataFrame, by: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [df["`" + k + "`"] == ref[f"__k{i}"] for i, k in enumerate(by)])
+def _on(by: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [ident(k) == F.col(f"__k{i}") for i, k in enumerate(by)])
 
 
 def _filled(out: DataFrame, columns: list[str], by: list[str], picked: list[str]) -> DataFrame:
@@ -49,9 +49,9 @@ def join(df: DataFrame, ref: DataFrame, by, ref_by=None, fields=None, left: bool
         one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("reference key is not unique"))).otherwise(F.lit(True))
         grouped = side.groupBy(*keys).agg(F.first(F.struct(F.lit(1).alias("__one"), *[ident(p) for p in picked])).alias("__s"), one.alias("__ok"))
         side = grouped.filter("__ok").select(*keys, *[F.col("__s")[p].alias(p) for p in picked])
-    out = df.join(side, _on(df, side, by), "left" if left else "inner").select(*[df["`" + c + "`"] for c in df.columns], *[ident(p) for p in picked])
+    out = df.join(side, _on(by), "left" if left else "inner").select(*[ident(c) for c in df.columns], *[ident(p) for p in picked])
     if right:
-        lone = side.join(df.select(*[ident(k) for k in by]).distinct(), _on(df, side, by), "left_anti")
+        lone = side.join(df.select(*[ident(k) for k in by]).distinct(), _on(by), "left_anti")
         out = out.unionByName(_filled(lone, df.columns, by, picked))
     return out
 
@@ -66,7 +66,7 @@ def common(df: DataFrame, ref: DataFrame, by, ref_by=None, invert: bool = False)
     by = as_list(by)
     side, _ = _reference(ref, by, ref_by, {})
     # Spark plans a semi join without the duplicates of the reference
-    hit = df.join(side, _on(df, side, by), "left_semi"), df.join(side, _on(df, side, by), "left_anti")
+    hit = df.join(side, _on(by), "left_semi"), df.join(side, _on(by), "left_anti")
     return hit[::-1] if invert else hit
 
 
@@ -229,7 +229,7 @@ def interval_join(df: DataFrame, ref: DataFrame, value: str, low: str, high: str
     own = own.withColumn("__c", cell(F.col("__x"), F.col("__g")))
     cond = (F.col("__g") == F.col("__level")) & (F.col("__c") == F.col("__cell"))
     for i, k in enumerate(by):
-        cond = cond & (own["`" + k + "`"] == side[f"__k{i}"])
+        cond = cond & (ident(k) == F.col(f"__k{i}"))
     cond = cond & _within(F.col("__x"), F.col("__lo"), F.col("__hi"), closed)
     out = own.join(side, cond).select(*[ident(c) for c in df.columns], *[ident(p) for p in picked])
     if left:

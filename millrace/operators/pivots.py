@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, expand, ident, order_keys
-from millrace.plans.ordered import RN, number_rows
+from millrace.plans.ordered import RN, number_rows, with_row
 
 
 def _values(df: DataFrame, column: str, values) -> list:
@@ -75,22 +78,16 @@ def combinations(df: DataFrame, field: str, n: int, names, by=None, order=None,
     out = base.select(*[ident(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__x").alias("__x0"), F.col(RN).alias("__n0"), F.col("__tile").alias("__t0"))
     for step in range(1, n):
         meet = _meet(step, permutations, repeat)
-        on = lambda a, b: [a[f"__k{i}"].eqNullSafe(b["`" + k + "`"]) for i, k in enumerate(keys)]
+        same = [F.col(f"__k{i}").eqNullSafe(ident(k)) for i, k in enumerate(keys)]
         low = F.lit(0).cast("long") if permutations else F.col(f"__t{step - 1}")
         if keys:
-            cond = on(out, sizes)[0]
-            for c in on(out, sizes)[1:]:
-                cond = cond & c
-            sized = out.join(sizes, cond).drop(*keys)
+            sized = out.join(sizes, reduce(and_, same)).drop(*keys)
         else:
-            from millrace.plans.ordered import with_row
             sized = with_row(out, sizes)
         tiles = sized.withColumn("__want", F.explode(F.sequence(low, F.col("__tiles")))).drop("__tiles")
         right = base.withColumnsRenamed({"__x": f"__x{step}", RN: f"__n{step}", "__tile": f"__t{step}"})
         cond = F.col("__want") == F.col(f"__t{step}")
-        for c in on(tiles, right):
-            cond = cond & c
-        out = tiles.join(right, cond & meet).drop("__want", *keys)
+        out = tiles.join(right, reduce(and_, same, cond & meet)).drop("__want", *keys)
     return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"__x{i}").alias(a) for i, a in enumerate(names)])
 
 

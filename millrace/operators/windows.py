@@ -15,12 +15,14 @@ from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, hot_groups, join
 
 def letters(n: Column) -> Column:
     """1 -> A, 26 -> Z, 27 -> AA, up to twelve letters."""
-    out, rest = F.lit(""), n.cast("long")
-    for _ in range(12):
-        digit = F.pmod(rest - 1, F.lit(26))
-        out = F.when(rest > 0, F.concat(F.char(digit + 65), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0)).cast("long")
-    return out
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("text"))
+
+    def digit(acc, _):
+        rest = acc["rest"]
+        more = F.concat(F.char(F.pmod(rest - 1, F.lit(26)) + 65), acc["text"])
+        return F.struct(F.floor((rest - 1) / 26).cast("long").alias("rest"), F.when(rest > 0, more).otherwise(acc["text"]).alias("text"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, digit, lambda acc: acc["text"])
 
 
 def letter_value(text: str) -> int:

@@ -26,6 +26,11 @@ from millrace.session import cut_lineage
 Walk = Callable[[pd.DataFrame, float, float], tuple[np.ndarray | list, float, float]]
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """New column identities, so that two tables of one origin can be grouped together."""
+    return df.select(*[ident(c).alias(c) for c in df.columns])
+
+
 def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
     """Append the integer flags of ``walk``, which reads ``columns``; the state starts at (0, 0)."""
     data = o.blocks().drop(HOME)
@@ -52,7 +57,7 @@ def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
 
     def leave(entry: DataFrame) -> DataFrame:
         needed = join_keys(rows, entry.select(*by), order, "left_semi")
-        return needed.groupBy(*by).cogroup(entry.groupBy(*by)).applyInPandas(finish, state)
+        return needed.groupBy(*by).cogroup(_fresh(entry).groupBy(*by)).applyInPandas(finish, state)
 
     blocks = rows.select(*by).distinct()
     entry = cut_lineage(blocks.withColumns({"__s": F.lit(0.0), "__n": F.lit(0.0)}))
@@ -72,4 +77,4 @@ def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
         block = block.sort_values(RN)
         return block.assign(**{flag: walk(block, given["__s"].iloc[0], given["__n"].iloc[0])[0]})
 
-    return data.groupBy(*by).cogroup(entry.groupBy(*by)).applyInPandas(final, schema).drop(*o.helpers)
+    return data.groupBy(*by).cogroup(_fresh(entry).groupBy(*by)).applyInPandas(final, schema).drop(*o.helpers)

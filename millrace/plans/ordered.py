@@ -39,7 +39,7 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
         side = F.broadcast(side)
     cond = F.lit(True)
     for i, k in enumerate(keys):
-        cond = cond & left["`" + k.replace("`", "``") + "`"].eqNullSafe(side[f"__r_{i}"])
+        cond = cond & ident(k).eqNullSafe(F.col(f"__r_{i}"))
     out = left.join(side, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{i}" for i in range(len(keys))])
 
