@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions.similarity import MEASURES, RANK_MEASURES, pair, pearson
 from millrace.functions.spec import as_list, expand, ident, renames
 from millrace.functions.stats import QUANTILE_POINTS, stat, strict_if
-from millrace.plans.ordered import ALL, RN, Ordered, hot_groups, join_keys, number_rows, quantiles, setting, totals, with_row
+from millrace.plans.ordered import ALL, RN, Ordered, hot_groups, join_keys, join_spread, number_rows, quantiles, setting, totals, with_row
 
 
 def count(df: DataFrame, by, name: str = "count") -> DataFrame:
@@ -20,7 +20,7 @@ def count(df: DataFrame, by, name: str = "count") -> DataFrame:
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return join_keys(left, right, keys, "left") if keys else with_row(left, right)
+    return join_spread(left, right, keys) if keys else with_row(left, right)
 
 
 def describe(df: DataFrame, by, wants: dict[str, tuple[str, str]], strict: bool = False) -> DataFrame:
@@ -84,7 +84,7 @@ def average_rank(df: DataFrame, keys: list[str], column: str, out: str) -> DataF
     values = df.groupBy(*[ident(k) for k in keys], ident(column)).agg(F.count(F.lit(1)).alias("__w"))
     ranked = Ordered(values, keys, [column]).running(__cum=("sum", F.col("__w"))).result()
     ranked = ranked.select(*[ident(k) for k in keys], ident(column), (F.col("__cum") - (F.col("__w") - 1) / 2).alias(out))
-    return join_keys(df, ranked, [*keys, column], "left")
+    return join_spread(df, ranked, [*keys, column])
 
 
 def _spearman(df: DataFrame, keys: list[str], x: str, y: str, name: str) -> DataFrame:

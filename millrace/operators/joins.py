@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, ident, no_clash, renames
-from millrace.plans.ordered import ALL, RN, Ordered, join_keys, number_rows, setting
+from millrace.plans.ordered import ALL, RN, Ordered, join_keys, number_rows, spread
 
 SLICE_ROWS = 2_000  # rows of the right side that one row of a product meets in one task
 
@@ -49,7 +49,10 @@ def join(df: DataFrame, ref: DataFrame, by, ref_by=None, fields=None, left: bool
         one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("reference key is not unique"))).otherwise(F.lit(True))
         grouped = side.groupBy(*keys).agg(F.first(F.struct(F.lit(1).alias("__one"), *[ident(p) for p in picked])).alias("__s"), one.alias("__ok"))
         side = grouped.filter("__ok").select(*keys, *[F.col("__s")[p].alias(p) for p in picked])
-    out = df.join(side, _on(by), "left" if left else "inner").select(*[ident(c) for c in df.columns], *[ident(p) for p in picked])
+    names = [f"__k{i}" for i in range(len(by))]
+    salted, copies, salt = spread(df, side, by, names)
+    cond = _on(by) if salt is None else _on(by) & (salted[salt] == copies[salt])
+    out = salted.join(copies, cond, "left" if left else "inner").select(*[ident(c) for c in df.columns], *[ident(p) for p in picked])
     if right:
         lone = side.join(df.select(*[ident(k) for k in by]).distinct(), _on(by), "left_anti")
         out = out.unionByName(_filled(lone, df.columns, by, picked))
@@ -65,8 +68,10 @@ def common(df: DataFrame, ref: DataFrame, by, ref_by=None, invert: bool = False)
     """(rows whose key exists in ref, the other rows)."""
     by = as_list(by)
     side, _ = _reference(ref, by, ref_by, {})
-    # Spark plans a semi join without the duplicates of the reference
-    hit = df.join(side, _on(by), "left_semi"), df.join(side, _on(by), "left_anti")
+    names = [f"__k{i}" for i in range(len(by))]
+    salted, copies, salt = spread(df, side.distinct(), by, names)
+    cond = _on(by) if salt is None else _on(by) & (salted[salt] == copies[salt])
+    hit = tuple(salted.join(copies, cond, how).select(*[ident(c) for c in df.columns]) for how in ("left_semi", "left_anti"))
     return hit[::-1] if invert else hit
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spec import expand, ident, renames
-from millrace.plans.ordered import RN, join_keys, number_rows, quantiles, totals, with_row
+from millrace.plans.ordered import RN, join_spread, number_rows, quantiles, totals, with_row
 
 FEATURES, LABEL = "__features", "__label"
 
@@ -43,7 +43,7 @@ def standardize(df: DataFrame, fields) -> DataFrame:
 def label_encode(df: DataFrame, field: str, name: str) -> DataFrame:
     """Number the sorted distinct values from 0; any number of values."""
     values = number_rows(df.filter(ident(field).isNotNull()).select(ident(field)).distinct(), None, [field])
-    return join_keys(df, values.select(ident(field), (F.col(RN) - 1).alias(name)), [field], "left")
+    return join_spread(df, values.select(ident(field), (F.col(RN) - 1).alias(name)), [field])
 
 
 def one_hot(df: DataFrame, field: str, values=None) -> DataFrame:

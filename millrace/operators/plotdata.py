@@ -10,7 +10,7 @@ from millrace.functions.scalars import number, parse_format
 from millrace.functions.spec import as_list, expand, ident
 from millrace.operators.aggs import bucket, describe
 from millrace.operators.rows import row_range
-from millrace.plans.ordered import join_keys, quantiles, totals, with_row
+from millrace.plans.ordered import join_spread, quantiles, totals, with_row
 
 
 def table_view(df: DataFrame, order, offset: int = 0, limit: int = 100) -> DataFrame:
@@ -78,7 +78,7 @@ def box_plot(df: DataFrame, y: str, series=None) -> tuple[DataFrame, DataFrame]:
     keys = as_list(series)
     data = df.select(*[ident(k) for k in keys], ident(y).cast("double").alias("y")).filter("y is not null")
     quarts = quantiles(data, keys, {"q1": ("y", 0.25), "median": ("y", 0.5), "q3": ("y", 0.75)})
-    marked = join_keys(data, quarts, keys, "left") if keys else with_row(data, quarts)
+    marked = join_spread(data, quarts, keys) if keys else with_row(data, quarts)
     iqr = F.col("q3") - F.col("q1")
     near = F.col("y").between(F.col("q1") - iqr * 1.5, F.col("q3") + iqr * 1.5)
     by = [ident(k) for k in keys]

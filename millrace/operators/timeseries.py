@@ -15,7 +15,7 @@ from millrace.functions.scalars import epoch
 from millrace.functions.spec import as_list, ident, no_clash
 from millrace.operators.rows import counted
 from millrace.plans.folds import fold
-from millrace.plans.ordered import BLK, HOME, RN, Ordered, join_keys
+from millrace.plans.ordered import BLK, HOME, RN, Ordered, join_spread
 
 # output columns of the running-period operator
 PERIOD = ("start", "end", "interval", "stop_begins", "stop_ends", "run_begins", "run_ends", "run_id", "stop_id")
@@ -88,7 +88,7 @@ def global_run_id(df: DataFrame, by, run: str = "run_id", name: str = "global_ru
     per_key = df.groupBy(*[ident(k) for k in keys]).agg(F.max(ident(run)).alias("__r"))
     before = Ordered(per_key, None, keys).running(__off=("sum", F.col("__r"), False)).result()
     before = before.select(*[ident(k) for k in keys], F.coalesce("__off", F.lit(0)).alias("__off"))
-    return join_keys(df, before, keys, "left").withColumn(name, ident(run) + F.col("__off")).drop("__off")
+    return join_spread(df, before, keys).withColumn(name, ident(run) + F.col("__off")).drop("__off")
 
 
 Item = tuple[str, str, str]  # column, method, output

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, expand, ident, order_keys, renames
-from millrace.plans.ordered import join_keys
+from millrace.plans.ordered import join_spread
 
 
 def items(c: Column, delim: str = " ") -> Column:
@@ -152,14 +152,14 @@ def _item_lookup(df: DataFrame, field: str, ref: DataFrame, key: str, value: str
     parts = vectors.select("__vec", F.posexplode(items(F.col("__vec"), delim)).alias("__pos", "__item"))
     cols = [F.min(ident(value).cast("string")).alias("__val")] if value else [F.lit(None).cast("string").alias("__val")]
     side = ref.filter(ident(key).isNotNull()).groupBy(ident(key).cast("string").alias("__item")).agg(*cols).withColumn("__has", F.lit(True))
-    looked = parts.join(side, "__item", "left").withColumn("__new", make(F.col("__item"), F.col("__val"), F.col("__has").isNotNull()))
+    looked = join_spread(parts, side, ["__item"]).withColumn("__new", make(F.col("__item"), F.col("__val"), F.col("__has").isNotNull()))
     entry = F.struct("__pos", "__new")
     built = looked.groupBy("__vec").agg(F.flatten(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["__new"])).alias("__arr"))
     return built.select("__vec", text(F.col("__arr"), delim).alias("__text"))
 
 
 def _rejoin(df: DataFrame, built: DataFrame, field: str, name: str) -> DataFrame:
-    out = join_keys(df, built.withColumnRenamed("__vec", field), [field], "left")
+    out = join_spread(df, built.withColumnRenamed("__vec", field), [field])
     return out.withColumn(name, F.col("__text")).drop("__text")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 from millrace.functions.similarity import MOVING_MEASURES, RANK_MEASURES, frame_ranks, pair
 from millrace.functions.spec import as_list, expand, ident, no_clash, order_keys, renames, sort_columns
 from millrace.functions.stats import MOVING_STATS, stat, strict_if
-from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, hot_groups, join_keys, number_rows, totals
+from millrace.plans.folds import in_order
+from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, hot_groups, join_keys, join_spread, number_rows, totals
 
 
 def letters(n: Column) -> Column:
@@ -57,7 +59,7 @@ def ranks(df: DataFrame, by, order, name: str, dense: bool) -> DataFrame:
     o = Ordered(groups, parts, inner).running(__seen=("sum", F.col("__w") if not dense else F.lit(1).cast("long")))
     rank = F.col("__seen") if dense else F.col("__seen") - F.col("__w") + 1
     ranked = o.result().select(*[ident(k) for k in parts], *vals, rank.alias(name))
-    return join_keys(base, ranked, [*parts, *vals], "left").drop(*vals, ALL)
+    return join_spread(base, ranked, [*parts, *vals]).drop(*vals, ALL)
 
 
 def number(df: DataFrame, name: str, by=None, order=None, mode: str = "seq", start=1, step: int = 1, groups: bool = False) -> DataFrame:
@@ -67,7 +69,7 @@ def number(df: DataFrame, name: str, by=None, order=None, mode: str = "seq", sta
     if groups:
         found = df.select(*[ident(k) for k in keys]).distinct()
         numbered = number_rows(found, None, keys, "__n").withColumn(name, _scaled(F.col("__n") - 1, start, step)).drop("__n")
-        return join_keys(df, numbered, keys, "left")
+        return join_spread(df, numbered, keys)
     if mode == "seq":
         out = number_rows(df, keys, order, "__n")
     else:
@@ -179,6 +181,29 @@ def _number(name: str) -> Column:
     return F.when(~F.isnan(F.col(name)), F.col(name))
 
 
+def _exponential_plain(o: Ordered, pairs: dict[str, str], a: float) -> DataFrame:
+    """Keys without a hot one among them, streamed in order; the state is the last value per column."""
+    schema = T.StructType([*o.df.schema.fields, *[T.StructField(f"__y{i}", T.DoubleType()) for i in range(len(pairs))]])
+
+    def step(pdf: pd.DataFrame, state):
+        last, done = state or [None] * len(pairs), {}
+        for i, s in enumerate(pairs):
+            x = pd.to_numeric(pdf[s]).to_numpy(dtype="float64")
+            known = x[~np.isnan(x)]
+            y = np.full(len(x), np.nan if last[i] is None else last[i])
+            if len(known):
+                seen = known if last[i] is None else np.concatenate([[last[i]], known])
+                mean = pd.Series(seen).ewm(alpha=a, adjust=False).mean().to_numpy()[-len(known):]
+                at = np.cumsum(~np.isnan(x)) - 1
+                y = np.where(at >= 0, mean[np.maximum(at, 0)], y)
+                last = [*last[:i], float(mean[-1]), *last[i + 1:]]
+            done[f"__y{i}"] = y
+        return pdf.assign(**done), last
+
+    out = in_order(o, step, schema)
+    return out.withColumns({d: _number(f"__y{i}") for i, d in enumerate(pairs.values())}).drop(*[f"__y{i}" for i in range(len(pairs))], *o.helpers)
+
+
 def exponential_mean(df: DataFrame, fields, order, by=None, t: int | None = None, alpha: float | None = None) -> DataFrame:
     """y = alpha * x + (1 - alpha) * previous y, started at the first value; NULL keeps the previous y.
 
@@ -188,6 +213,8 @@ def exponential_mean(df: DataFrame, fields, order, by=None, t: int | None = None
     a = alpha if alpha is not None else 2.0 / (t + 1)
     pairs = renames(fields)
     o = Ordered(df, by, order)
+    if not o.split:
+        return _exponential_plain(o, pairs, a)
     data = o.blocks().drop(HOME)
     keys = [ident(k) for k in o.keys]
     helper = [f"__{h}{i}" for i in range(len(pairs)) for h in "yp"]
@@ -202,9 +229,6 @@ def exponential_mean(df: DataFrame, fields, order, by=None, t: int | None = None
         return pdf
 
     out = data.groupBy(*keys, BLK).applyInPandas(fold, schema)
-    if not o.split:
-        done = {d: _number(f"__y{i}") for i, d in enumerate(pairs.values())}
-        return out.withColumns(done).drop(*helper, *o.helpers)
     ends = out.groupBy(*keys, BLK).agg(*[F.max_by(h, RN).alias(h) for h in helper], *[
         F.min_by(ident(s).cast("double"), F.when(ident(s).isNotNull(), F.col(RN))).alias(f"__f{i}") for i, s in enumerate(pairs)])
     cols = [f"__c{i}" for i in range(len(pairs))]

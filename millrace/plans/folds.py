@@ -31,19 +31,49 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[ident(c).alias(c) for c in df.columns])
 
 
-def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
-    """Append the integer flags of ``walk``, which reads ``columns``; the state starts at (0, 0)."""
-    data = o.blocks().drop(HOME)
+def in_order(o: Ordered, step: Callable, schema: T.StructType) -> DataFrame:
+    """Run ``step(rows, state)`` over the rows of every key in order; state is None at a key's start.
+
+    Keys are hashed to partitions and each partition is sorted and streamed in Arrow
+    batches, so many small keys share a batch and a long one never sits in memory.
+    """
+    df = o.df.drop(RN).withColumn("__g", F.xxhash64(*[ident(k) for k in o.keys]))
     keys = [ident(k) for k in o.keys]
-    schema = T.StructType([*data.schema.fields, T.StructField(flag, T.IntegerType())])
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *[k.sort() for k in o.order])
+    columns = [f.name for f in schema.fields]
+
+    def run(batches):
+        group, state = None, None
+        for pdf in batches:
+            ids = pdf["__g"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+            done = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                if a == b:
+                    continue
+                if ids[a] != group:
+                    group, state = ids[a], None
+                part, state = step(pdf.iloc[a:b], state)
+                done.append(part)
+            if done:
+                yield pd.concat(done)[columns]
+
+    return ordered.mapInPandas(run, schema)
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN)
-        return pdf.assign(**{flag: walk(pdf, 0.0, 0.0)[0]})
 
+def fold(o: Ordered, columns: list[str], walk: Walk, flag: str) -> DataFrame:
+    """Append the integer flags of ``walk``, which reads ``columns``; the state starts at (0, 0)."""
+    added = T.StructField(flag, T.IntegerType())
     if not o.split:
-        return data.groupBy(*keys, BLK).applyInPandas(whole, schema).drop(*o.helpers)
+        def step(pdf: pd.DataFrame, state):
+            flags, s, n = walk(pdf, *(state or (0.0, 0.0)))
+            return pdf.assign(**{flag: flags}), (s, n)
+
+        return in_order(o, step, T.StructType([*[f for f in o.df.schema.fields if f.name != RN], added])).drop(*o.helpers)
 
+    data = o.blocks().drop(HOME)
+    keys = [ident(k) for k in o.keys]
+    schema = T.StructType([*data.schema.fields, added])
     names = [*o.keys, BLK]
     ids = [f for f in data.schema.fields if f.name in names]
     state = T.StructType([*ids, T.StructField("__s", T.DoubleType()), T.StructField("__n", T.DoubleType())])

@@ -258,6 +258,35 @@ def number_rows(df: DataFrame, keys=None, order=None, name: str = RN) -> DataFra
     return out if name == RN else out.withColumnRenamed(RN, name)
 
 
+def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str]) -> tuple[DataFrame, DataFrame, str | None]:
+    """Salt the hot keys of the left side of a join, and copy their right rows once per salt.
+
+    Adaptive skew handling does not reach a join whose other side was aggregated by the
+    join key, which is the usual case here, so the salt is put in by hand. It comes from
+    the row and its partition, the same when a lost task runs again. Returns both sides
+    and the name of the salt column, or None where no key is hot.
+    """
+    hot = hot_groups(left, keys)
+    if hot is None:
+        return left, right, None
+    limit = setting(left.sparkSession, "blockRows", BLOCK_ROWS)
+    hot = hot.select(*[ident(k) for k in keys], F.ceil(F.col("__n") / F.lit(limit)).cast("int").alias("__salts"))
+    values = [ident(f.name) for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    draw = F.pmod(F.xxhash64(*values, F.spark_partition_id()), F.col("__salts")).cast("int")
+    salted = join_keys(left, hot, keys, "left", hint=True).withColumn("__salt", F.coalesce(draw, F.lit(0))).drop("__salts")
+    named = hot.select(*[ident(k).alias(r) for k, r in zip(keys, right_keys)], "__salts")
+    copies = join_keys(right, named, right_keys, "left", hint=True)
+    copies = copies.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1))).drop("__salts")
+    return salted, copies, "__salt"
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``join_keys`` (inner or left) that divides the hot keys of the left side."""
+    left, right, salt = spread(left, right, keys, keys)
+    out = join_keys(left, right, [*keys, salt] if salt else keys, how)
+    return out.drop(salt) if salt else out
+
+
 def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
     """Attach a one-row table to every row as a scalar subquery: no join, no shuffle of the rows."""
     cell = one.select(F.struct(*[ident(c) for c in one.columns]).alias("__one")).scalar()
@@ -268,13 +297,13 @@ def totals(df: DataFrame, keys, aggs: dict[str, Column]) -> DataFrame:
     """Attach group aggregates to every row: partial aggregation, then a join back.
 
     Unlike an unordered window this never gathers a group; the joined side has one
-    row per key, which adaptive execution broadcasts or splits by skew.
+    row per key, broadcast by adaptive execution when small, and hot keys are salted.
     """
     keys = as_list(keys)
     cols = [c.alias(n) for n, c in aggs.items()]
     if not keys:
         return with_row(df, df.agg(*cols))
-    return join_keys(df, df.groupBy(*[ident(k) for k in keys]).agg(*cols), keys, "left")
+    return join_spread(df, df.groupBy(*[ident(k) for k in keys]).agg(*cols), keys)
 
 
 def quantiles(df: DataFrame, keys, points: dict[str, tuple[str, float]]) -> DataFrame:

@@ -9,7 +9,7 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from millrace.catalog import ORACLE, QUERIES  # noqa: E402
+import __spark_entry__ as entry  # noqa: E402
 from millrace.session import session  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,6 +30,9 @@ def canon(columns, rows):
     return sorted(repr([cell(r[i]) for i in pick]) for r in rows)
 
 
+QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+
+
 def main(folder, parts):
     spark = session("check", "8")
     spark.sparkContext.setLogLevel("ERROR")
