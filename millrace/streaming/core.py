@@ -65,7 +65,9 @@ def sessions(stream: DataFrame, time: str, gap_seconds: float, aggs: dict, by=No
     Spark keeps rows exactly one gap apart together, hence the microsecond less.
     """
     gap = f"{round(gap_seconds * 1_000_000) - 1} microseconds"
-    grouped = stream.withWatermark(time, late).groupBy(F.session_window(ident(time), gap), *[ident(k) for k in as_list(by)])
+    # a session needs a key on a stream: without one, a value that is always 0
+    keys = [ident(k) for k in as_list(by)] or [F.pmod(F.hash(ident(time)), F.lit(1))]
+    grouped = stream.withWatermark(time, late).groupBy(F.session_window(ident(time), gap), *keys)
     out = grouped.agg(*[c.alias(n) for n, c in aggs.items()])
     return out.select(F.col("session_window.start").alias("start"), *[ident(k) for k in as_list(by)], *aggs)
 
