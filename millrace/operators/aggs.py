@@ -20,6 +20,12 @@ def count(df: DataFrame, by, name: str = "count") -> DataFrame:
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Both sides have one row per key."""
+    return join_keys(left, right, keys, "left") if keys else with_row(left, right)
+
+
+def _attach_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Group values to every row; hot keys are salted."""
     return join_spread(left, right, keys) if keys else with_row(left, right)
 
 
@@ -212,7 +218,7 @@ def bucket(df: DataFrame, fields, n: int, by=None, equal_width: bool = False, st
         out = totals(df, keys, aggs)
     else:
         points = {f"__q_{src}_{i}": (src, i / n) for src in pairs for i in range(1, n)}
-        out = _attach(df, quantiles(df, keys, points), keys)
+        out = _attach_rows(df, quantiles(df, keys, points), keys)
     done = {}
     for src, dst in pairs.items():
         x = ident(src).cast("double")

@@ -20,7 +20,7 @@ from millrace.functions.scalars import number
 from millrace.functions.similarity import pearson
 from millrace.functions.spec import as_list, ident
 from millrace.functions.stats import QUANTILE_POINTS, STATS, stat
-from millrace.operators.aggs import _attach, describe
+from millrace.operators.aggs import _attach, _attach_rows, describe
 from millrace.operators.timeseries import seconds
 from millrace.plans.ordered import ALL, Ordered, hot_groups, join_keys, quantiles, setting, totals
 
@@ -91,7 +91,7 @@ def _statistics(base: DataFrame, keys: list[str], needed: dict[str, tuple[str, s
     if not needed:
         return base
     if any(s == "median" for s, _ in needed.values()):
-        return _attach(base, describe(base, keys, needed), keys)
+        return _attach_rows(base, describe(base, keys, needed), keys)
     return totals(base, keys, {n: F.sum(F.abs(F.col(c))) if s == "abs" else stat(s, F.col(c)) for n, (s, c) in needed.items()})
 
 

@@ -62,7 +62,7 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     At most ``HOT_GROUPS`` rows come back, so the result may be broadcast; a key that
     is left out holds less than a 20,000th of the table.
     """
-    if small(df):
+    if df.isStreaming or small(df):  # a stream arrives in bounded batches
         return None
     limit = setting(df.sparkSession, "blockRows", BLOCK_ROWS)
     counts = df.groupBy(*[ident(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
@@ -144,7 +144,7 @@ class Ordered:
             self.keys = [ALL]
             self.helpers.append(ALL)
         hashed = [ident(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-        hot = hot_groups(df, self.keys)
+        self.hot = hot = hot_groups(df, self.keys)
         self.split = hot is not None
         df = df.withColumn(TIE, F.xxhash64(*hashed))  # equal sort keys: any fixed order
         ks = [*ks, Key(TIE)]
@@ -258,7 +258,10 @@ def number_rows(df: DataFrame, keys=None, order=None, name: str = RN) -> DataFra
     return out if name == RN else out.withColumnRenamed(RN, name)
 
 
-def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str]) -> tuple[DataFrame, DataFrame, str | None]:
+LOOK = object()  # find the hot keys
+
+
+def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: Sequence[str], hot=LOOK) -> tuple[DataFrame, DataFrame, str | None]:
     """Salt the hot keys of the left side of a join, and copy their right rows once per salt.
 
     Adaptive skew handling does not reach a join whose other side was aggregated by the
@@ -266,7 +269,7 @@ def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: S
     the row and its partition, the same when a lost task runs again. Returns both sides
     and the name of the salt column, or None where no key is hot.
     """
-    hot = hot_groups(left, keys)
+    hot = hot_groups(left, keys) if hot is LOOK else hot
     if hot is None:
         return left, right, None
     limit = setting(left.sparkSession, "blockRows", BLOCK_ROWS)
@@ -280,9 +283,9 @@ def spread(left: DataFrame, right: DataFrame, keys: Sequence[str], right_keys: S
     return salted, copies, "__salt"
 
 
-def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def join_spread(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", hot=LOOK) -> DataFrame:
     """``join_keys`` (inner or left) that divides the hot keys of the left side."""
-    left, right, salt = spread(left, right, keys, keys)
+    left, right, salt = spread(left, right, keys, keys, hot)
     out = join_keys(left, right, [*keys, salt] if salt else keys, how)
     return out.drop(salt) if salt else out
 
@@ -321,8 +324,10 @@ def quantiles(df: DataFrame, keys, points: dict[str, tuple[str, float]]) -> Data
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
     for column in dict.fromkeys(c for c, _ in points.values()):
         values = df.filter(ident(column).isNotNull()).groupBy(*by, ident(column).alias("__x")).agg(F.count(F.lit(1)).alias("__w"))
+        values = cut_lineage(values)  # read several times below
         o = Ordered(values, keys, ["__x"]).running(__cum=("sum", F.col("__w")))
-        ranked = totals(o.result(), keys, {"__total": F.sum("__w")})
+        total = values.groupBy(*by).agg(F.sum("__w").alias("__total"))
+        ranked = join_spread(o.result(), total, keys, hot=o.hot) if keys else with_row(o.result(), total)
         aggs = []
         for name, (c, p) in points.items():
             if c != column:
