@@ -84,6 +84,7 @@ class Rollup:
         Null source, language and tokenizer are groups of their own. The sums are written aside and moved into place
         in one step, so a run that dies half-way leaves nothing behind that counts.
         """
+        self._named(batch)
         if batch in self._held():
             return False
         sums = changes.groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens")).withColumn("batches", F.array(F.lit(batch)))

@@ -60,17 +60,16 @@ class Encoder:
                 word = word[1:]
             elif word != "\n":
                 space = " "
+        if max(word, default=" ") >= "\u0180":  # the library's Unicode tables may be of another version
+            ids = self.library.encode(space + word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        if not self.spaced:
+            word = word.lower() if word.isascii() else self.library.normalizer.normalize_str(word)
         core = word.rstrip(".,")
         if core.isalpha() and max(core) < "\u0180":
-            if not self.spaced:
-                core = core.lower() if core.isascii() else self.library.normalizer.normalize_str(core)
             out = self.parts[space + core]
             return out + self.parts[word[len(core):]] if len(core) < len(word) else out
-        if max(word, default=" ") >= "\u0180":  # the library's Unicode tables may be of another version
-            ids = self.library.encode(space + word, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        word = space + word if self.spaced else self.library.normalizer.normalize_str(word)
-        return b"".join(map(self.parts.__getitem__, self.find(word)))
+        return b"".join(map(self.parts.__getitem__, self.find(space + word)))
 
     def _part(self, part: str) -> bytes:
         part = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTES)
