@@ -3,8 +3,9 @@
 Rows of equal shingle sets form one class, represented by its smallest doc_id. Each class gets ``bands * rows`` bins
 from a single hash per shingle; empty bins borrow from bins drawn by a hash (optimal densification). Members of a bucket
 are linked with the bucket's smallest member only, so a bucket of m classes gives m - 1 candidates. Members that turn
-out not to be similar to that centre stay in the bucket and get a new centre, until none is left. Every candidate is
-confirmed on the full sets. Components come from label propagation with pointer jumping. Nothing is capped.
+out not to be similar to that centre stay in the bucket and get a new centre in the next round. What is still left
+together after the rounds are unlike documents that share a long passage; a prefix-filtered join on their full sets
+finds every link among them, exactly. Every candidate is confirmed on the full sets. Components come from label propagation with pointer jumping. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.text import SPACED, Texts, mix, slices
@@ -122,21 +123,42 @@ def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.join(centres, "key").where("id <> centre"), centres
 
 
-def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+def _exact_candidates(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of the named documents that can be similar enough, by prefix and length.
+
+    At least percent / 100 of a set must be shared, so two similar sets meet in their n - ceil(n * percent / 100) + 1
+    rarest shingles, in one common order of rarity.
+    """
+    sets = cut_lineage(_full_sets(docs, ids, words).dropDuplicates(["id"]).select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")))
+    often = sets.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("id").orderBy("often", "shingle")  # one document's set
+    ranked = sets.join(often, "shingle", "left").withColumn("r", F.row_number().over(order))
+    prefix = cut_lineage(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull()).select("id", "n", "shingle"))
+    left, right = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "shingle") for x in "ab")
+    near = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+    return near.select("a", "b").distinct()
+
+
+def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int, rounds: int = 2) -> DataFrame:
     """Confirmed links (a, b) between class representatives, a < b."""
     classes = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     members = sketches.join(classes, (F.col("doc_id") == F.col("id")) & (sketches["set_a"] == classes["set_a"]) & (sketches["set_b"] == classes["set_b"]))
     members = members.select("id", F.explode("bands").alias("key")).distinct()
     rest, known = cut_lineage(_stars(members)[0]), None
-    while not rest.isEmpty():
-        edges = rest.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    for k in range(rounds + 1):
+        if k == rounds:
+            ids = rest.select("id").unionByName(rest.select(F.col("centre").alias("id"))).distinct()
+            edges = _exact_candidates(docs, cut_lineage(ids), words, percent)
+        else:
+            edges = rest.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         if known is not None:
             edges = edges.join(known, ["a", "b"], "left_anti")
         tried = cut_lineage(_confirmed(docs, cut_lineage(edges), words, percent))
-        known = tried if known is None else cut_lineage(known.unionByName(tried))
-        failed = rest.join(known.where("NOT linked"), (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi")
-        rest = cut_lineage(_stars(failed.select("id", "key"))[0])
-    return known.where("linked").select("a", "b") if known is not None else rest.select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        known = tried if known is None else known.unionByName(tried)
+        if k < rounds:
+            failed = rest.join(known.where("NOT linked"), (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi")
+            rest = cut_lineage(_stars(failed.select("id", "key"))[0])
+    return known.where("linked").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
