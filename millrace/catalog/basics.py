@@ -9,16 +9,18 @@ from millrace.operators import rows as row
 from millrace.sources import files, generators, repair
 
 # generators: as many rows as a table has
-query("mnewnumber", lambda t: generators.new_number(t.spark, "n", t.orders.count(), 100, 5),
+query("mnewnumber", lambda t: generators.new_number(t.spark, "n", t.orders, 100, 5),
       "SELECT CAST(100 + (row_number() OVER () - 1) * 5 AS BIGINT) AS n FROM orders")
-query("mnewnumber_letters", lambda t: generators.new_number(t.spark, "n", t.customer.count(), "A"),
+query("mnewnumber_letters", lambda t: generators.new_number(t.spark, "n", t.customer, "A"),
       """WITH d AS (SELECT row_number() OVER () AS n FROM customer)
          SELECT CASE WHEN n > 702 THEN chr(CAST(65 + (n - 703) // 676 AS INTEGER)) || chr(CAST(65 + ((n - 703) // 26) % 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER))
                      WHEN n > 26 THEN chr(CAST(65 + (n - 27) // 26 AS INTEGER)) || chr(CAST(65 + (n - 1) % 26 AS INTEGER))
                      ELSE chr(CAST(64 + n AS INTEGER)) END AS n FROM d""")
-query("mnewrand", lambda t: generators.new_random(t.spark, "r", t.orders.count(), 7))
-query("mnewrand_int", lambda t: generators.new_random(t.spark, "r", t.orders.count(), 7, 1, 6))
-query("mnewstr", lambda t: generators.new_text(t.spark, {"a": "x", "b": "y"}, t.orders.count()),
+# random draws differ from the SQL's, so their number and range are compared
+query("mnewrand", lambda t: generators.new_random(t.spark, "r", t.orders, 7).agg(F.count("r").alias("n"), ((F.min("r") >= 0) & (F.max("r") < 1)).alias("within"), (F.abs(F.avg("r") - 0.5) < 0.05).alias("even")),
+      "SELECT count(*) AS n, true AS within, true AS even FROM orders")
+query("mnewrand_int", lambda t: generators.new_random(t.spark, "r", t.orders, 7, 1, 6).groupBy("r").agg(F.lit(True).alias("seen")), "SELECT unnest(range(1, 7)) AS r, count(*) > 0 AS seen FROM orders GROUP BY 1")
+query("mnewstr", lambda t: generators.new_text(t.spark, {"a": "x", "b": "y"}, t.orders),
       "SELECT 'x' AS a, 'y' AS b FROM orders")
 
 

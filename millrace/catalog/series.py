@@ -58,17 +58,17 @@ query("ts_polation_non_ip", lambda t: ts.interpolate(t.gaps, "ts", [("x", "linea
 query("ts_polation_cubic_spline", lambda t: ts.interpolate(t.gaps, "ts", [("x", "cubic_spline", "y")], "user_id"))
 query("ts_polation_cubic_formula", lambda t: ts.interpolate(t.gaps, "ts", [("x", "cubic_spline", "y")], "user_id", formula=True))
 
-# the error events look up the click events' value at their own time
+# every event looks up the value 17 minutes after its own time
 _CL = "(SELECT user_id, ts, epoch_us(ts) / 1e6 AS t, lead(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts) AS t2, x AS v, lead(x) OVER (PARTITION BY user_id ORDER BY ts) AS v2 FROM " \
-      "(SELECT user_id, ts, value AS x FROM events WHERE event_type = 'click'))"
-_ER = "(SELECT event_id, user_id, ts, epoch_us(ts) / 1e6 AS t FROM events WHERE event_type = 'error')"
+      "(SELECT user_id, ts, value AS x FROM events))"
+_ER = "(SELECT event_id, user_id, ts + INTERVAL 17 MINUTE AS ts, epoch_us(ts + INTERVAL 17 MINUTE) / 1e6 AS t FROM events)"
 _METHODS = {"previous": "c.v", "next": "CASE WHEN e.t = c.t THEN c.v ELSE c.v2 END", "nearest": "CASE WHEN e.t <= (c.t + c.t2) / 2 THEN c.v ELSE c.v2 END",
             "linear": "(c.v2 - c.v) / (c.t2 - c.t) * (e.t - c.t) + c.v"}
-query("ts_join", lambda t: ts.time_join(t.events.filter("event_type = 'error'").select("event_id", "user_id", "ts"), t.events.filter("event_type = 'click'").select("user_id", "ts", "value"),
+query("ts_join", lambda t: ts.time_join(t.events.select("event_id", "user_id", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")), t.events.select("user_id", "ts", "value"),
                                         "ts", "ts", [("value", m, f"y_{m}") for m in _METHODS], "user_id"),
       "SELECT e.event_id, e.user_id, e.ts, " + ", ".join(f"CASE WHEN c.t2 IS NOT NULL THEN {x} END AS y_{m}" for m, x in _METHODS.items())
       + f" FROM {_ER} e ASOF LEFT JOIN {_CL} c ON e.user_id = c.user_id AND e.ts >= c.ts", "y_linear", 3)
-query("ts_join_spline", lambda t: ts.time_join(t.events.filter("event_type = 'error'").select("event_id", "user_id", "ts"), t.events.filter("event_type = 'click'").select("user_id", "ts", "value"),
+query("ts_join_spline", lambda t: ts.time_join(t.events.select("event_id", "user_id", (F.col("ts") + F.expr("interval 17 minutes")).alias("ts")), t.events.select("user_id", "ts", "value"),
                                                "ts", "ts", [("value", "cubic_spline", "y"), ("value", "previous", "p")], "user_id"))
 
 # time axes from the range of the data
@@ -76,8 +76,7 @@ _ENDS = "SELECT user_id, min(ts) AS a, max(ts) AS b FROM events GROUP BY user_id
 
 
 def _span(t, kind):
-    row = t.orders.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b")).first()  # one row
-    return [(row["a"].date(), row["b"].date())] if kind != "datetime" else [(row["a"], row["b"])]
+    return t.orders.agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
 
 
 query("ts_axis_0in_datetime", lambda t: ts.axis(t.spark, "axis", "datetime", 3600.0, spans=_span(t, "datetime")).select(F.col("axis").cast("timestamp_ntz").alias("axis")),
@@ -86,7 +85,7 @@ query("ts_axis_0in_date", lambda t: ts.axis(t.spark, "axis", "date", 7, spans=_s
       "SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 7 DAY)) AS DATE) AS axis FROM orders")
 query("ts_axis_0in_month", lambda t: ts.axis(t.spark, "axis", "month", 1, spans=_span(t, "month")),
       "SELECT CAST(unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 MONTH)) AS DATE) AS axis FROM orders")
-query("ts_axis_0in_number", lambda t: ts.axis(t.spark, "axis", "number", 0.5, 10.0, t.orders.count()), "SELECT 10 + 0.5::DOUBLE * (row_number() OVER () - 1) AS axis FROM orders")
+query("ts_axis_0in_number", lambda t: ts.axis(t.spark, "axis", "number", 0.5, 10.0, t.orders), "SELECT 10 + 0.5::DOUBLE * (row_number() OVER () - 1) AS axis FROM orders")
 query("ts_axis_1in", lambda t: ts.axis_of(t.events, "ts", "datetime", 3600.0, "user_id", "axis").select("user_id", F.col("axis").cast("timestamp_ntz").alias("axis")),
       f"SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS axis FROM ({_ENDS})")
 query("ts_axis_1in_mpi", lambda t: ts.axis_of(t.events, "ts", "datetime", 1800.0, "user_id", "axis", stop_after=_STOP).select("user_id", "run_id", F.col("axis").cast("timestamp_ntz").alias("axis")),

@@ -91,8 +91,8 @@ query("mcal_math", lambda t: t.gaps.select("event_id", F.abs("x").alias("a"), F.
       f"SELECT event_id, abs(x) AS a, ln(x) AS l, exp(x / 1000) AS e, sqrt(x) AS s, x IS NULL AS n FROM {GAPS}", "l e s")
 query("mcal_regex", lambda t: t.documents.select("doc_id", F.col("text").rlike("^[A-Z]").alias("m"), F.regexp_extract("text", "[0-9]+", 0).alias("x")),
       "SELECT doc_id, regexp_matches(text, '^[A-Z]') AS m, regexp_extract(text, '[0-9]+') AS x FROM documents")
-query("mcal_number", lambda t: t.documents.select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).select("doc_id", sc.number(F.col("w")).alias("v")).filter("v is not null and v < 1e15"),
+query("mcal_number", lambda t: t.documents.select("doc_id", F.explode(F.split("text", r"\s+")).alias("w")).select("doc_id", sc.number(F.col("w")).alias("v")).filter("v is not null"),
       r"""SELECT doc_id, CAST(w AS DOUBLE) AS v FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)
-          WHERE regexp_matches(w, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') AND CAST(w AS DOUBLE) < 1e15""")
+          WHERE regexp_matches(w, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')""")
 query("mcal_time", lambda t: t.events.select("event_id", sc.epoch(sc.parse_time(sc.format_time(F.col("ts"), True))).alias("u"), sc.format_day(F.col("ts")).alias("d")),
       "SELECT event_id, epoch_us(ts) / 1e6 AS u, strftime(ts, '%Y%m%d') AS d FROM events")

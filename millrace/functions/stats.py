@@ -47,10 +47,11 @@ def stat(name: str, x: Column, over: Over = plain) -> Column:
         return F.when(n >= 4, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
     if name == "mode":
         return over(F.mode(x, True))
+    quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # the same for all of them: one map of values
     if name in ("qtile1", "median", "qtile3"):
-        return over(F.percentile(x, F.lit(QUANTILE_POINTS[name][0])))
+        return F.get(over(quartiles), F.lit(("qtile1", "median", "qtile3").index(name)))
     if name == "qrange":
-        return over(F.percentile(x, F.lit(0.75))) - over(F.percentile(x, F.lit(0.25)))
+        return F.get(over(quartiles), F.lit(2)) - F.get(over(quartiles), F.lit(0))
     simple = {
         "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "var": F.var_pop, "uvar": F.var_samp,
         "sd": F.stddev_pop, "usd": F.stddev_samp, "skew": F.skewness, "kurt": F.kurtosis,

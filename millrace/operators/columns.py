@@ -120,8 +120,12 @@ def apply_names(df: DataFrame, namer: Callable[..., list[str]], *args, **kwargs)
 
 
 def column_list(df: DataFrame, n: int, order=None, numbered: bool = False) -> DataFrame:
-    """Columns turned into rows, with the first n (at most 100) rows as value columns."""
-    n = max(0, min(n, 100))
+    """Columns turned into rows, with the first n (at most 100) rows as value columns.
+
+    Without ``order`` they are whichever rows Spark reads first.
+    """
+    if not 0 <= n <= 100:
+        raise ValueError(f"0 to 100 rows can become columns, not {n}")
     cols = df.columns
     top = df.orderBy(*[k.sort() for k in order_keys(order)]).limit(n) if order else df.limit(n)
     packed = top.agg(F.array_sort(F.collect_list(F.struct(

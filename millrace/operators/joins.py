@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from millrace.functions.spec import as_list, ident, no_clash, renames
 from millrace.plans.ordered import ALL, RN, Ordered, join_keys, number_rows, spread
 
-SLICE_ROWS = 2_000  # rows of the right side that one row of a product meets in one task
 
 
 def _reference(ref: DataFrame, by: list[str], ref_by, fields) -> tuple[DataFrame, list[str]]:
@@ -95,17 +95,23 @@ def paste(df: DataFrame, ref: DataFrame, order, ref_order, fields=None, left: bo
 def product(df: DataFrame, ref: DataFrame, fields=None) -> DataFrame:
     """Every row of df with every row of ref.
 
-    The reference is numbered and divided into slices of bounded size; each left row
-    is sent once per slice and meets it through an equi-join on the slice number.
+    Both sides are cut into tiles by a row hash, and every pair of tiles is a key of its
+    own: a row is copied once per tile of the other side, and the pairs spread over all
+    tasks however unequal the sides are.
     """
     pairs = renames(fields) if fields is not None else {c: c for c in ref.columns}
     no_clash(df, pairs.values())
-    side = number_rows(ref.select(*[ident(s).alias(d) for s, d in pairs.items()]), None, list(pairs.values()))
-    rows = ref.count()
-    slices = max(1, -(-rows // SLICE_ROWS))
-    side = side.withColumn("__slice", F.floor((F.col(RN) - 1) / SLICE_ROWS)).drop(RN)
-    left = df.withColumn("__slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
-    return left.join(side, "__slice").drop("__slice")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = math.isqrt(16 * partitions) + 1
+
+    def tiled(rows: DataFrame, own: str, other: str) -> DataFrame:
+        values = [ident(f.name) for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
+        tile = F.pmod(F.xxhash64(*values, F.spark_partition_id()), F.lit(tiles))
+        return rows.withColumn(own, tile).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+
+    left = tiled(df, "__l", "__r")
+    side = tiled(ref.select(*[ident(s).alias(d) for s, d in pairs.items()]), "__r", "__l")
+    return left.join(side, ["__l", "__r"]).drop("__l", "__r")
 
 
 def _keyed(df: DataFrame, ref: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:

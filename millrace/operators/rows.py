@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, expand, fold, ident, inside, intervals, order_keys
 from millrace.operators.columns import _uniform
-from millrace.plans.ordered import RN, Ordered, join_keys, number_rows, small, totals, with_row
+from millrace.plans.ordered import RN, Ordered, join_keys, number_rows, totals, with_row
 
 Pair = tuple[DataFrame, DataFrame]
 
@@ -164,11 +164,8 @@ def padding(df: DataFrame, field: str, by=None, start=None, end=None, value=None
 def row_range(df: DataFrame, order, offset: int, limit: int) -> DataFrame:
     """Rows offset .. offset+limit of the given order.
 
-    A small range is a top-k; a far one is cut by exact row numbers, which no single
-    task has to sort.
+    Cut by exact row numbers, which no single task has to sort; ties go by a row hash.
     """
-    if small(df) or offset + limit <= 100_000:
-        return df.orderBy(*[k.sort() for k in order_keys(order)]).offset(offset).limit(limit)
     return number_rows(df, None, order).filter((F.col(RN) > offset) & (F.col(RN) <= offset + limit)).drop(RN)
 
 

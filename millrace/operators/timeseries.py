@@ -7,6 +7,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,8 @@ from pyspark.sql import types as T
 from millrace.functions.scalars import epoch
 from millrace.functions.spec import as_list, ident, no_clash
 from millrace.operators.rows import counted
-from millrace.plans.folds import fold
-from millrace.plans.ordered import BLK, HOME, RN, Ordered, join_spread
+from millrace.plans.folds import fold, with_arrays
+from millrace.plans.ordered import BLK, HOME, RN, Ordered, join_spread, number_rows
 
 # output columns of the running-period operator
 PERIOD = ("start", "end", "interval", "stop_begins", "stop_ends", "run_begins", "run_ends", "run_id", "stop_id")
@@ -157,77 +158,86 @@ def interpolate(df: DataFrame, time: str, items: Sequence[Item], by=None, stop_a
     return out.drop("__t", "__p_run_id")
 
 
+def solve_tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Unknowns of low[i] x[i-1] + mid[i] x[i] + up[i] x[i+1] = right[i], by cyclic reduction.
+
+    Every second equation is freed of its neighbours' unknowns, which leaves a system of half the size.
+    """
+    n = len(mid)
+    if n == 1:
+        return right / mid
+    odd = np.arange(1, n, 2)
+    nxt = np.minimum(odd + 1, n - 1)
+    a = low[odd] / mid[odd - 1]
+    b = np.where(odd + 1 < n, up[odd] / mid[nxt], 0.0)
+    x = np.zeros(n + 2)  # x[i] stands at i + 1, with zeros at both ends
+    x[odd + 1] = solve_tridiagonal(-a * low[odd - 1], mid[odd] - a * up[odd - 1] - b * low[nxt], -b * up[nxt], right[odd] - a * right[odd - 1] - b * right[nxt])
+    even = np.arange(0, n, 2)
+    x[even + 1] = (right[even] - low[even] * x[even] - up[even] * x[even + 2]) / mid[even]
+    return x[1:-1]
+
+
 def spline_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Not-a-knot cubic spline through at least four points: rows c3, c2, c1, c0 per interval."""
-    n, h = len(x), np.diff(x)
-    slope = np.diff(y) / h
-    # unknowns are the first derivatives; the end rows say that the third derivative
-    # does not jump at the second and the last but one point
-    lower, diag, upper, rhs = np.empty(n), np.empty(n), np.empty(n), np.empty(n)
-    lower[1:-1], diag[1:-1], upper[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
-    rhs[1:-1] = 3 * (h[1:] * slope[:-1] + h[:-1] * slope[1:])
-    d0, d1 = x[2] - x[0], x[-1] - x[-3]
-    diag[0], upper[0] = h[1], d0
-    rhs[0] = ((h[0] + 2 * d0) * h[1] * slope[0] + h[0] ** 2 * slope[1]) / d0
-    diag[-1], lower[-1] = h[-2], d1
-    rhs[-1] = (h[-1] ** 2 * slope[-2] + (2 * d1 + h[-1]) * h[-2] * slope[-1]) / d1
-    a, b, c, r = lower.tolist(), diag.tolist(), upper.tolist(), rhs.tolist()
-    for i in range(1, n):
-        w = a[i] / b[i - 1]
-        b[i] -= w * c[i - 1]
-        r[i] -= w * r[i - 1]
-    s = [0.0] * n
-    s[-1] = r[-1] / b[-1]
-    for i in range(n - 2, -1, -1):
-        s[i] = (r[i] - c[i] * s[i + 1]) / b[i]
-    s = np.array(s)
-    t = (s[:-1] + s[1:] - 2 * slope) / h
-    return np.array([t / h, (slope - s[:-1]) / h - t, s[:-1], y[:-1]])
+    """Cubic spline through at least four points whose third derivative is continuous at the second and the last but
+    one point: rows c3, c2, c1, c0 per interval. The unknowns are the second derivatives at the points."""
+    step = np.diff(x)
+    rise = np.diff(y) / step
+    first, last = step[0] / step[1], step[-1] / step[-2]
+    mid = 2 * (step[:-1] + step[1:])
+    low, up = np.append(0.0, step[1:-1]), np.append(step[1:-1], 0.0)
+    # the end values follow from their neighbours: m0 = m1 + first (m1 - m2), and likewise at the other end
+    mid[0] += step[0] * (1 + first)
+    up[0] -= step[0] * first
+    mid[-1] += step[-1] * (1 + last)
+    low[-1] -= step[-1] * last
+    inner = solve_tridiagonal(low, mid, up, 6 * np.diff(rise))
+    m = np.concatenate([[inner[0] + first * (inner[0] - inner[1])], inner, [inner[-1] + last * (inner[-1] - inner[-2])]])
+    return np.array([np.diff(m) / (6 * step), m[:-1] / 2, rise - step * (2 * m[:-1] + m[1:]) / 6, y[:-1]])
 
 
 def _spline(df: DataFrame, field: str, name: str, keys: list[str], formula: bool, overlap: int) -> DataFrame:
-    """Spline per key; a hot key is computed block by block with ``overlap`` rows on both sides.
+    """Spline per key through its valid points; of points at one time the smallest value counts.
 
-    The influence of a point fades by a factor of about four per point, so a hundred
-    overlapping valid points leave no difference in double precision.
+    The points of a hot key are fitted block by block with ``overlap`` points on both sides: a point's influence fades
+    by a factor of about four per point, so a hundred leave no difference in double precision. Rows then look up the
+    interval they lie in as-of, so only keys, times and values pass through numpy.
     """
-    o = Ordered(df, keys, ["__t"])
-    block = min(o.block, max(overlap, 1)) if o.split else 0
-    data = o.blocks(block, block)
-    extra = [f"{name}_{c}" for c in ("x0", "c3", "c2", "c1", "c0")] if formula else [name]
-    kept = [f for f in data.schema.fields if f.name not in (HOME, *o.helpers)]
-    schema = T.StructType([*kept, *[T.StructField(e, T.DoubleType()) for e in extra]])
-    columns = [f.name for f in kept]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN)
-        t, v = pdf["__t"].to_numpy(dtype="float64"), pd.to_numeric(pdf[field]).to_numpy(dtype="float64")
-        ok = ~np.isnan(v) & ~np.isnan(t)
-        first = np.flatnonzero(ok)
-        first = first[np.concatenate([[True], np.diff(t[first]) > 0])] if len(first) else first
-        own = (pdf[BLK] == pdf[HOME]).to_numpy()
-        res = np.full((len(extra), len(t)), np.nan)
-        if len(first) >= 4:
-            x, coef = t[first], spline_coefficients(t[first], v[first])
-            at = np.searchsorted(x, t, side="right") - 1
-            if formula:
-                inside = (at >= 0) & (at < len(x) - 1)
-                res[0, inside] = x[at[inside]]
-                res[1:, inside] = coef[:, at[inside]]
-            else:
-                inside = (t >= x[0]) & (t <= x[-1])
-                i = np.clip(at, 0, len(x) - 2)
-                d = t - x[i]
-                res[0, inside] = (((coef[0, i] * d + coef[1, i]) * d + coef[2, i]) * d + coef[3, i])[inside]
-        if not formula:
-            res[0] = np.where(np.isnan(v), res[0], v)
-        out = pdf[columns].copy()
-        for e, r in zip(extra, res):
-            out[e] = r
-        return out[own]
-
-    out = data.groupBy(*o.by if o.split else [*o.by, F.col(BLK)]).applyInPandas(fit, schema)
-    return out.withColumns({e: F.when(~F.isnan(ident(e)), ident(e)) for e in extra})
+    value = ident(field).cast("double")
+    valid = df.filter(value.isNotNull() & ~F.isnan(value) & F.col("__t").isNotNull() & ~F.isnan("__t"))
+    points = valid.groupBy(*[ident(k) for k in keys], "__t").agg(F.min(value).alias("__v"))
+    o = Ordered(points, keys, ["__t"])
+    data = o.blocks(overlap, overlap)
+    kept = [f for f in data.schema.fields if f.name in (*keys, "__t")]
+    added = [T.StructField(c, T.DoubleType()) for c in ("__until", "c3", "c2", "c1", "c0")]
+    names = [f.name for f in kept]
+
+    def fit(block: pa.Table) -> pa.Table:
+        pdf = block.select(list(dict.fromkeys([RN, BLK, HOME, "__t", "__v"]))).to_pandas()
+        place = np.argsort(pdf[RN].to_numpy(), kind="stable")
+        x, y = pdf["__t"].to_numpy(dtype="float64")[place], pdf["__v"].to_numpy(dtype="float64")[place]
+        out = np.full((5, len(x)), np.nan)
+        if len(x) >= 4:
+            out[0, :-1], out[1:, :-1] = x[1:], spline_coefficients(x, y)
+            out[0, -1], out[1:, -1] = x[-1], [0, 0, 0, y[-1]]
+        back = np.empty_like(out)
+        back[:, place] = out
+        table = with_arrays(block.select(names), {f.name: back[i] for i, f in enumerate(added)}, added)
+        return table.filter(pa.array((pdf[BLK] == pdf[HOME]).to_numpy()))
+
+    fitted = data.groupBy(*o.by if o.split else [*o.by, F.col(BLK)]).applyInArrow(fit, T.StructType([*kept, *added]))
+    side = fitted.select(*[ident(k) for k in keys], "__t", F.lit(0).alias("__kind"), F.struct(F.col("__t").alias("x0"), "__until", "c3", "c2", "c1", "c0").alias("__f"))
+    own = df.select(*[ident(k) for k in keys], "__t", F.lit(1).alias("__kind"), F.struct(*[ident(c) for c in df.columns]).alias("__row"))
+    run = Ordered(own.unionByName(side, allowMissingColumns=True), keys, ["__t", "__kind"]).running(__hit=("last", F.col("__f")))
+    out = run.result().filter(F.col("__row").isNotNull())
+    hit, t = F.col("__hit"), F.col("__t")
+    if formula:
+        done = [F.when(t < hit["__until"], hit[c]).alias(f"{name}_{c}") for c in ("x0", "c3", "c2", "c1", "c0")]
+    else:
+        d = t - hit["x0"]
+        there = F.when(t <= hit["__until"], ((hit["c3"] * d + hit["c2"]) * d + hit["c1"]) * d + hit["c0"])
+        given = F.col("__row")[field].cast("double")
+        done = [F.when(given.isNotNull() & ~F.isnan(given), given).otherwise(there).alias(name)]
+    return out.select("__row.*", *done)
 
 
 def time_join(df: DataFrame, ref: DataFrame, time: str, ref_time: str, items: Sequence[Item], by=None, ref_by=None,
@@ -320,9 +330,17 @@ def _axis_count(kind: str, start: Column, end: Column, interval: float) -> Colum
     return F.floor((end - start) / F.lit(interval))
 
 
-def axis(spark: SparkSession, name: str, kind: str, interval: float, start=None, count: int | None = None, spans=None) -> DataFrame:
-    """A regular axis from start, interval and count, or over a list of [start, end] spans."""
+def axis(spark: SparkSession, name: str, kind: str, interval: float, start=None, count: int | DataFrame | None = None, spans=None) -> DataFrame:
+    """A regular axis from start, interval and count (or one point per row of a table), or over [start, end] spans:
+    a list, or a table whose first two columns they are."""
     dtype = {"datetime": "timestamp", "date": "date", "month": "date", "number": "double"}[kind]
+    if isinstance(count, DataFrame):
+        base = number_rows(count).select((F.col(RN) - 1).alias("__i"))
+        return base.select(_axis_value(kind, F.lit(start).cast(dtype), F.col("__i") * F.lit(interval)).alias(name))
+    if isinstance(spans, DataFrame):
+        first, last = spans.columns[:2]
+        base = spans.select(ident(first).cast(dtype).alias("s"), ident(last).cast(dtype).alias("e"))
+        return counted(base, F.lit(0), _axis_count(kind, F.col("s"), F.col("e"), interval), "__i").select(_axis_value(kind, F.col("s"), F.col("__i") * F.lit(interval)).alias(name))
     if spans is None:
         base = spark.range(count or 0).withColumnRenamed("id", "__i")
         return base.select(_axis_value(kind, F.lit(start).cast(dtype), F.col("__i") * F.lit(interval)).alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from millrace.functions.similarity import MOVING_MEASURES, RANK_MEASURES, frame_ranks, pair
 from millrace.functions.spec import as_list, expand, ident, no_clash, order_keys, renames, sort_columns
 from millrace.functions.stats import MOVING_STATS, stat, strict_if
-from millrace.plans.folds import in_order
+from millrace.plans.folds import in_order, with_arrays
 from millrace.plans.ordered import ALL, BLK, HOME, RN, Ordered, hot_groups, join_keys, join_spread, number_rows, totals
 
 
@@ -183,7 +184,7 @@ def _number(name: str) -> Column:
 
 def _exponential_plain(o: Ordered, pairs: dict[str, str], a: float) -> DataFrame:
     """Keys without a hot one among them, streamed in order; the state is the last value per column."""
-    schema = T.StructType([*o.df.schema.fields, *[T.StructField(f"__y{i}", T.DoubleType()) for i in range(len(pairs))]])
+    added = [T.StructField(f"__y{i}", T.DoubleType()) for i in range(len(pairs))]
 
     def step(pdf: pd.DataFrame, state):
         last, done = state or [None] * len(pairs), {}
@@ -198,9 +199,9 @@ def _exponential_plain(o: Ordered, pairs: dict[str, str], a: float) -> DataFrame
                 y = np.where(at >= 0, mean[np.maximum(at, 0)], y)
                 last = [*last[:i], float(mean[-1]), *last[i + 1:]]
             done[f"__y{i}"] = y
-        return pdf.assign(**done), last
+        return done, last
 
-    out = in_order(o, step, schema)
+    out = in_order(o, list(pairs), step, added)
     return out.withColumns({d: _number(f"__y{i}") for i, d in enumerate(pairs.values())}).drop(*[f"__y{i}" for i in range(len(pairs))], *o.helpers)
 
 
@@ -218,35 +219,38 @@ def exponential_mean(df: DataFrame, fields, order, by=None, t: int | None = None
     data = o.blocks().drop(HOME)
     keys = [ident(k) for k in o.keys]
     helper = [f"__{h}{i}" for i in range(len(pairs)) for h in "yp"]
-    schema = T.StructType([*data.schema.fields, *[T.StructField(h, T.DoubleType()) for h in helper]])
+    added = [T.StructField(h, T.DoubleType()) for h in helper]
+    schema = T.StructType([*data.schema.fields, *added])
+    wanted = list(dict.fromkeys([RN, *pairs]))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN)
+    def fold(block: pa.Table) -> pa.Table:
+        pdf, done = block.select(wanted).to_pandas().sort_values(RN), {}
         for i, s in enumerate(pairs):
             x = pd.to_numeric(pdf[s]).astype("float64")
-            pdf[f"__y{i}"] = x.dropna().ewm(alpha=a, adjust=False).mean().reindex(pdf.index).ffill()
-            pdf[f"__p{i}"] = (1 - a) ** x.notna().cumsum()
-        return pdf
+            done[f"__y{i}"] = x.dropna().ewm(alpha=a, adjust=False).mean().reindex(pdf.index).ffill().sort_index()
+            done[f"__p{i}"] = ((1 - a) ** x.notna().cumsum()).sort_index()
+        return with_arrays(block, done, added)
 
-    out = data.groupBy(*keys, BLK).applyInPandas(fold, schema)
+    out = data.groupBy(*keys, BLK).applyInArrow(fold, schema)
     ends = out.groupBy(*keys, BLK).agg(*[F.max_by(h, RN).alias(h) for h in helper], *[
         F.min_by(ident(s).cast("double"), F.when(ident(s).isNotNull(), F.col(RN))).alias(f"__f{i}") for i, s in enumerate(pairs)])
     cols = [f"__c{i}" for i in range(len(pairs))]
     firsts = [f"__f{i}" for i in range(len(pairs))]
-    carried = T.StructType([*ends.schema.fields, *[T.StructField(c, T.DoubleType()) for c in cols]])
+    passed = [T.StructField(c, T.DoubleType()) for c in cols]
+    carried = T.StructType([*ends.schema.fields, *passed])
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per block of the key
-        pdf = pdf.sort_values(BLK)
+    def carry(ends_: pa.Table) -> pa.Table:  # one row per block of the key
+        pdf, done = ends_.select([BLK, *helper, *firsts]).to_pandas().sort_values(BLK), {}
         for i, c in enumerate(cols):
             now, seen = float("nan"), []
             for y, p, first in zip(pdf[f"__y{i}"], pdf[f"__p{i}"], pdf[f"__f{i}"]):
                 seen.append(now)
                 if pd.notna(y):
                     now = y + p * (now - first) if pd.notna(now) else y
-            pdf[c] = seen
-        return pdf
+            done[c] = pd.Series(seen, pdf.index).sort_index()
+        return with_arrays(ends_, done, passed)
 
-    moved = ends.groupBy(*keys).applyInPandas(carry, carried).select(*keys, BLK, *cols, *firsts)
+    moved = ends.groupBy(*keys).applyInArrow(carry, carried).select(*keys, BLK, *cols, *firsts)
     out = join_keys(out, moved, [*o.keys, BLK], "left")
     done = {}
     for i, d in enumerate(pairs.values()):

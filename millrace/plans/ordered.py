@@ -26,7 +26,6 @@ from millrace.session import cut_lineage, setting
 BLOCK_ROWS = 2_000_000  # rows of one key that one task may hold
 HOT_GROUPS = 20_000  # hot keys looked up: every other key has at most rows / 20,000 rows
 SAMPLE_PER_CHUNK = 16
-SMALL_BYTES = 32 << 20  # inputs the optimizer sizes below this need no look-up of hot keys
 
 RN, BLK, CHUNK, TIE, ALL, HOME = "__rn", "__blk", "__chunk", "__tie", "__all", "__home"
 
@@ -44,30 +43,28 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-def small(df: DataFrame) -> bool:
-    """True when the optimizer's own size estimate is below ``millrace.smallBytes``."""
-    limit = setting(df.sparkSession, "smallBytes", SMALL_BYTES)
-    if limit <= 0:
-        return False
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString()) <= limit
-    except (AttributeError, TypeError):  # no JVM handle, as under Connect
-        return False
+_COUNTED: list[tuple[DataFrame, tuple[str, ...], int, DataFrame | None]] = []
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """Keys with more rows than one task should hold, largest first; None if there are none.
 
     At most ``HOT_GROUPS`` rows come back, so the result may be broadcast; a key that
-    is left out holds less than a 20,000th of the table.
+    is left out holds less than a 20,000th of the table. One job counts the keys; the
+    answer is kept, so that operators over the same rows and keys don't count again.
     """
-    if df.isStreaming or small(df):  # a stream arrives in bounded batches
+    if df.isStreaming:  # a stream arrives in bounded batches
         return None
-    limit = setting(df.sparkSession, "blockRows", BLOCK_ROWS)
+    spark, limit, wanted = df.sparkSession, setting(df.sparkSession, "blockRows", BLOCK_ROWS), tuple(keys)
     counts = df.groupBy(*[ident(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    hot = cut_lineage(counts.filter(F.col("__n") > limit).orderBy(F.desc("__n")).limit(HOT_GROUPS))
-    return None if hot.isEmpty() else hot
+    for seen, names, size, hot in _COUNTED:
+        if names == wanted and size == limit and seen.sparkSession is spark and seen.sameSemantics(counts):
+            return hot
+    rows = counts.filter(F.col("__n") > limit).orderBy(F.desc("__n")).limit(HOT_GROUPS).collect()
+    hot = spark.createDataFrame(rows, counts.schema) if rows else None
+    _COUNTED.append((counts, wanted, limit, hot))
+    del _COUNTED[:-32]
+    return hot
 
 
 def _not_after(cut: Column, row: Sequence[Column], keys: Sequence[Key]) -> Column:
@@ -169,14 +166,15 @@ class Ordered:
         if not self.split:
             self.df = self.df.withColumns(make(self.window()))
             return self
-        if max(before, after) > self.block:
-            raise ValueError(f"frame of {max(before, after)} rows exceeds millrace.blockRows={self.block}")
         self.df = self._with_halo(before, after)
         self.df = self.df.withColumns(make(self.window())).filter(F.col(BLK) == F.col(HOME)).drop(HOME)
         return self
 
     def _with_halo(self, before: int, after: int) -> DataFrame:
         """Copy the first and last rows of each block into its neighbours; HOME is a row's own block."""
+        if max(before, after) > self.block:  # rows are copied into the neighbouring block, not beyond
+            self.block = max(before, after)
+            self.df = self.df.withColumn(BLK, F.floor((F.col(RN) - 1) / F.lit(self.block)).cast("long"))
         size, home = self.block, F.col(BLK)
         place = (F.col(RN) - 1) - home * size
         targets = [home]
@@ -320,7 +318,10 @@ def quantiles(df: DataFrame, keys, points: dict[str, tuple[str, float]]) -> Data
     by = [ident(k) for k in keys]
     hot = hot_groups(df.withColumn(ALL, F.lit(0)) if not keys else df, keys or [ALL])
     if hot is None:
-        return df.groupBy(*by).agg(*[F.percentile(ident(c), F.lit(p)).alias(n) for n, (c, p) in points.items()])
+        # one map of values per column, whatever the number of points
+        shares = {c: list(dict.fromkeys(float(p) for x, p in points.values() if x == c)) for c, _ in points.values()}
+        at = {c: F.percentile(ident(c), F.array(*map(F.lit, ps))) for c, ps in shares.items()}
+        return df.groupBy(*by).agg(*[F.get(at[c], F.lit(shares[c].index(float(p)))).alias(n) for n, (c, p) in points.items()])
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__rows"))
     for column in dict.fromkeys(c for c, _ in points.values()):
         values = df.filter(ident(column).isNotNull()).groupBy(*by, ident(column).alias("__x")).agg(F.count(F.lit(1)).alias("__w"))

@@ -38,7 +38,6 @@ def main(folder, parts):
     spark.sparkContext.setLogLevel("ERROR")
     if os.environ.get("MILLRACE_BLOCK"):  # send every key through the plans for hot keys
         spark.conf.set("millrace.blockRows", os.environ["MILLRACE_BLOCK"])
-        spark.conf.set("millrace.smallBytes", "0")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in TABLES:

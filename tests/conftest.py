@@ -27,10 +27,8 @@ def table(spark):
 def tiny_blocks(spark):
     """Force every key with more than 7 rows through the divided plan."""
     spark.conf.set("millrace.blockRows", "7")
-    spark.conf.set("millrace.smallBytes", "0")
     yield
     spark.conf.unset("millrace.blockRows")
-    spark.conf.unset("millrace.smallBytes")
 
 
 def rows(df):

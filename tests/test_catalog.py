@@ -35,12 +35,10 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", HOT)
 def test_query_with_hot_keys(spark, duck, name):
     spark.conf.set("millrace.blockRows", "50")
-    spark.conf.set("millrace.smallBytes", "0")
     try:
         _same(spark, duck, name)
     finally:
         spark.conf.unset("millrace.blockRows")
-        spark.conf.unset("millrace.smallBytes")
 
 
 def test_every_oracle_has_a_query():

@@ -34,12 +34,10 @@ def test_spline_blocks_agree(spark, series):
     make = lambda: rows(timeseries.interpolate(df, "t", [("x", "cubic_spline", "y")], "k"))
     plain = make()
     spark.conf.set("millrace.blockRows", "25")
-    spark.conf.set("millrace.smallBytes", "0")
     try:
         split = make()
     finally:
         spark.conf.unset("millrace.blockRows")
-        spark.conf.unset("millrace.smallBytes")
     near = [abs(a[-1] - b[-1]) < 0.05 for a, b in zip(sorted(plain, key=str), sorted(split, key=str)) if a[-1] is not None and b[-1] is not None]
     assert len(near) > 100 and all(near)
 
@@ -70,12 +68,10 @@ def test_exponential_mean(series):
 def test_kendall(spark, series, block):
     df, pdf = series
     spark.conf.set("millrace.blockRows", block)
-    spark.conf.set("millrace.smallBytes", "0")
     try:
         got = {r["k"]: r["s"] for r in aggs.similarity(df.withColumn("y", F.floor(F.col("t") / 7)), "kendall:s", "x,y", "k").collect()}
     finally:
         spark.conf.unset("millrace.blockRows")
-        spark.conf.unset("millrace.smallBytes")
     for k, g in pdf.dropna().groupby("k"):
         x, y = g.x.to_numpy(), np.floor(g.t.to_numpy() / 7)
         s = [(np.sign(x[i] - x[j]), np.sign(y[i] - y[j])) for i, j in itertools.combinations(range(len(x)), 2)]

@@ -18,12 +18,10 @@ def _events(table):
 def _both(spark, make):
     plain = rows(make())
     spark.conf.set("millrace.blockRows", "7")
-    spark.conf.set("millrace.smallBytes", "0")
     try:
         assert rows(make()) == plain
     finally:
         spark.conf.unset("millrace.blockRows")
-        spark.conf.unset("millrace.smallBytes")
 
 
 def test_numbering(spark, table):
