@@ -178,6 +178,7 @@ query("rowrandom", lambda t: row.row_random(t.orders, 500, 2).agg(F.count(F.lit(
 
 # duplicates
 query("muniq", lambda t: row.unique(t.orders, "o_custkey,o_orderstatus").select("o_custkey", "o_orderstatus"), "SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+query("muniq_mixed", lambda t: row.unique(t.orders, "o_custkey", "o_orderstatus%r,o_orderkey"), "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus DESC, o_orderkey) = 1")
 query("muniq_order", lambda t: row.unique(t.orders, "o_custkey", "o_orderdate,o_orderkey"),
       "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
 query("check_duplicate_rows", lambda t: row.duplicate_rows(t.conversations.select("conv_id", "turn", "role"), "role,turn", "conv_id,turn"),

@@ -26,6 +26,11 @@ query("csvtoboxplot", lambda t: p.box_plot(t.gaps, "x", "event_type")[0],
 query("csvtoboxplot_outliers", lambda t: p.box_plot(t.gaps, "x", "event_type")[1], f"SELECT event_type, x AS y FROM {GAPS} JOIN {_Q} USING (event_type) WHERE NOT ({_NEAR})")
 query("csvtorepetitiviewaveform", lambda t: p.waveform(t.gaps.withColumn("hour", F.hour("ts")), "hour", "x", "event_type"),
       f"SELECT event_type, CAST(hour(ts) AS INTEGER) AS x, min(x) AS min, avg(x) AS mean, max(x) AS max FROM {GAPS} WHERE x IS NOT NULL GROUP BY event_type, hour(ts)", "mean")
+_MARKED = f"(SELECT *, hour(ts) AS hour, event_id % 50 AS mark FROM {GAPS})"
+query("csvtorepetitiviewaveform_event", lambda t: p.waveform_events(t.gaps.withColumns({"hour": F.hour("ts"), "mark": F.col("event_id") % 50}), "hour", "x", "mark").withColumn("x", F.col("x").cast("double")),
+      f"SELECT DISTINCT hour::DOUBLE AS x FROM {_MARKED} WHERE mark = 0 AND x IS NOT NULL")
+query("csvtorepetitiviewaveform_group", lambda t: p.waveform_points(t.gaps.withColumn("hour", F.hour("ts")), "hour", "x", "event_type", "user_id").withColumn("x", F.col("x").cast("double")),
+      f"SELECT event_type, user_id, hour::DOUBLE AS x, x AS y FROM {_MARKED} WHERE x IS NOT NULL")
 query("csvtorepetitiviewaveform_quartile", lambda t: p.waveform(t.gaps.withColumn("hour", F.hour("ts")), "hour", "x", "event_type", "quartile"),
       f"""SELECT event_type, CAST(hour(ts) AS INTEGER) AS x, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3
           FROM {GAPS} WHERE x IS NOT NULL GROUP BY event_type, hour(ts)""", "q1 median q3")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from millrace.catalog.registry import query
+from millrace.catalog.series import _DYN, _period_sql
 from millrace.operators import rows as row
 from millrace.streaming import core as st
 
@@ -34,4 +35,5 @@ query("stream_sessions", lambda t: st.run_available(st.sessions(_events(t), "ts"
          SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, run""")
 query("stream_static_join", lambda t: st.run_available(st.join_table(_follow(t, "orders"), t.customer, "o_custkey", "c_custkey", "c_name")),
       "SELECT o.*, c_name FROM orders o JOIN customer ON o_custkey = c_custkey")
-query("stream_dynamic_stops", lambda t: st.run_available(st.dynamic_stops(_events(t).select("event_id", "ts", "user_id"), "ts", 2.0, "user_id")).select("event_id", "user_id", "stop_ends"))
+query("stream_dynamic_stops", lambda t: st.run_available(st.dynamic_stops(_events(t).select("event_id", "ts", "user_id"), "ts", 2.0, "user_id")).select("event_id", "user_id", "stop_ends"),
+      f"SELECT event_id, user_id, stop_ends FROM ({_period_sql(_DYN)})")

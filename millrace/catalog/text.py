@@ -22,6 +22,7 @@ query("mfsort_r", lambda t: v.sort_across(t.part.select("p_partkey", "p_name", "
       "SELECT p_partkey, s[1] AS p_name, s[2] AS p_type, s[3] AS p_brand FROM (SELECT p_partkey, list_reverse_sort([p_name, p_type, p_brand]) AS s FROM part)")
 query("mtra", lambda t: v.rows_to_vector(t.lineitem, "l_suppkey", "l_orderkey", "l_suppkey"), "SELECT l_orderkey, string_agg(l_suppkey, ' ' ORDER BY l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey")
 query("mtra_order", lambda t: v.rows_to_vector(t.conversations, "role", "conv_id", "turn%r", ";"), "SELECT conv_id, string_agg(role, ';' ORDER BY turn DESC) AS role FROM conversations GROUP BY conv_id")
+query("mtra_mixed", lambda t: v.rows_to_vector(t.lineitem, "l_linenumber", "l_suppkey", "l_quantity%nr,l_orderkey,l_linenumber"), "SELECT l_suppkey, string_agg(l_linenumber, ' ' ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS l_linenumber FROM lineitem GROUP BY l_suppkey")
 query("mtra_r", lambda t: v.vector_to_rows(_names(t), "p_name"), f"SELECT p_partkey, unnest({_L}) AS p_name, p_type, p_size FROM part")
 query("mtrafld", lambda t: v.fields_to_vector(t.gaps.select("event_id", "event_type", "user_id", F.col("x").cast("int").alias("x")), "v", "event_type,user_id,x"),
       f"SELECT event_id, concat_ws(' ', 'event_type=' || event_type, 'user_id=' || user_id, 'x=' || CAST(trunc(x) AS INTEGER)) AS v FROM {GAPS}")

@@ -307,13 +307,13 @@ def _spectrum(data: DataFrame, keys: list[str], wants: dict[str, Feature], x: st
 
     def transform(key, pdf: pd.DataFrame) -> pd.DataFrame:
         series = pdf.sort_values("__t", kind="stable")[x].to_numpy(dtype="float64")
-        y = np.abs(np.fft.rfft(series))
-        bins = np.arange(len(y))
-        with np.errstate(all="ignore"):
-            mean = y.dot(bins) / y.sum()
-            var = y.dot(bins ** 2) / y.sum() - mean ** 2
-        keep = lambda v: float(v) if np.isfinite(v) else None
-        return pd.DataFrame([[*key, keep(mean), keep(var)]], columns=[*group, "__mean", "__var"])
+        size = np.abs(np.fft.rfft(series))
+        centre = spread = None
+        if np.isfinite(size).all() and size.any():  # the magnitudes as a distribution over the frequencies
+            share, place = size / size.sum(), np.arange(size.size)
+            centre = float(np.average(place, weights=share))
+            spread = float(np.average(np.square(place - centre), weights=share))
+        return pd.DataFrame([[*key, centre, spread]], columns=[*group, "__mean", "__var"])
 
     out = base.select(*[ident(k) for k in group], "__t", x).groupBy(*[ident(k) for k in group]).applyInPandas(transform, schema)
     pick = {"meanf": "__mean", "varf": "__var"}

@@ -93,12 +93,25 @@ def box_plot(df: DataFrame, y: str, series=None) -> tuple[DataFrame, DataFrame]:
 BANDS = {"range": {"min": "min", "mean": "mean", "max": "max"}, "quartile": {"q1": "qtile1", "median": "median", "q3": "qtile3"}}
 
 
+def _valid_points(df: DataFrame, x: str, y: str, others: list[str]) -> DataFrame:
+    data = df.select(*[ident(c) for c in others], _axis(df, x, None).alias("x"), _axis(df, y, None).cast("double").alias("y"))
+    return data.filter("x is not null and y is not null")
+
+
+def waveform_points(df: DataFrame, x: str, y: str, series=None, group: str | None = None) -> DataFrame:
+    """The valid points of a repeated waveform by series, each with its group."""
+    return _valid_points(df, x, y, [*as_list(series), *([group] if group else [])])
+
+
+def waveform_events(df: DataFrame, x: str, y: str, event: str) -> DataFrame:
+    """Origins of the waves: the x of valid points whose event is 0, each once."""
+    return _valid_points(df, x, y, [event]).filter(ident(event).cast("string") == "0").select("x").distinct()
+
+
 def waveform(df: DataFrame, x: str, y: str, series=None, kind: str = "range") -> DataFrame:
     """Statistics of y at each x of a repeated waveform, per series; invalid points are left out."""
     keys = as_list(series)
-    data = df.select(*[ident(k) for k in keys], _axis(df, x, None).alias("x"), _axis(df, y, None).cast("double").alias("y"))
-    data = data.filter("x is not null and y is not null")
-    return describe(data, [*keys, "x"], {n: (s, "y") for n, s in BANDS[kind].items()})
+    return describe(_valid_points(df, x, y, keys), [*keys, "x"], {n: (s, "y") for n, s in BANDS[kind].items()})
 
 
 def time_compression(df: DataFrame, x: str, y: str, division: int, series=None, kind: str = "range") -> DataFrame:

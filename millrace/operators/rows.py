@@ -97,7 +97,7 @@ def unique(df: DataFrame, by, order=None) -> DataFrame:
     # a one-field struct keeps NULL as the smallest value; descending needs the maximum
     ks = order_keys(order)
     if len({k.desc for k in ks}) > 1:
-        raise ValueError("order keys must share one direction")
+        return number_rows(df, by, order).filter(F.col(RN) == 1).drop(RN)
     rest = [c for c in df.columns if c not in keys]
     pick = (F.max_by if ks[0].desc else F.min_by)(F.struct(*[ident(c) for c in rest]), F.struct(*[k.value().alias(f"o{i}") for i, k in enumerate(ks)]))
     return df.groupBy(*[ident(k) for k in keys]).agg(pick.alias("__s")).select(*[

@@ -48,9 +48,18 @@ def rows_to_vector(df: DataFrame, field: str, by, order=None, delim: str = " ")
     keys = [ident(k) for k in as_list(by)]
     ks = order_keys(order or field)
     entry = F.struct(*[k.value().alias(f"o{i}") for i, k in enumerate(ks)], ident(field).cast("string").alias("v"))
-    if len({k.desc for k in ks}) > 1:
-        raise ValueError("order keys must share one direction")
-    arr = F.sort_array(F.collect_list(F.when(ident(field).isNotNull(), entry)), asc=not ks[0].desc)
+    held = F.collect_list(F.when(ident(field).isNotNull(), entry))
+
+    def compare(a: Column, b: Column) -> Column:
+        """Key by key in its own direction, NULL as the smallest value; then by the cell."""
+        out = F.lit(0)
+        for name, desc in reversed([*((f"o{i}", k.desc) for i, k in enumerate(ks)), ("v", ks[0].desc)]):
+            x, y = F.struct(a[name].alias("c")), F.struct(b[name].alias("c"))
+            out = F.when(x < y, F.lit(1 if desc else -1)).when(x > y, F.lit(-1 if desc else 1)).otherwise(out)
+        return out
+
+    mixed = len({k.desc for k in ks}) > 1
+    arr = F.array_sort(held, compare) if mixed else F.sort_array(held, asc=not ks[0].desc)
     return df.groupBy(*keys).agg(text(F.transform(arr, lambda s: s["v"]), delim).alias(field))
 
 

@@ -77,9 +77,16 @@ def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "s
     ``ratio`` times the mean interval since the last stop.
 
     State per key: last time, sum and number of intervals. Rows arrive in time order per
-    key, as a followed file delivers them; each trigger sorts its own rows.
+    key, as a followed file delivers them; each trigger sorts its own rows. A row that is
+    older than the last one of its key ends no stop and leaves the state as it is. Whole
+    numbers travel as text, since pandas would turn nullable ones into floats.
     """
     keys = as_list(by)
+    given = stream.schema
+    whole = [f.name for f in given.fields if isinstance(f.dataType, T.IntegralType)]
+    if time in whole:
+        raise ValueError(f"{time} has to be a time column")
+    stream = stream.withColumns({c: ident(c).cast("string") for c in whole})
     out = T.StructType([*stream.schema.fields, T.StructField(name, T.IntegerType())])
     kept = T.StructType([T.StructField("last", T.DoubleType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.DoubleType())])
     columns = stream.columns
@@ -90,6 +97,9 @@ def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "s
         flags = []
         for t in pdf[time].astype("int64").to_numpy() / _unit(pdf[time]):
             gap, stop = t - last, False
+            if gap < 0:
+                flags.append(0)
+                continue
             if gap == gap:
                 mean = total / n if n else 0.0
                 stop = mean != 0 and gap / mean >= ratio
@@ -99,7 +109,8 @@ def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "s
         state.update((last, total, n))
         yield pdf[columns].assign(**{name: flags})
 
-    return stream.groupBy(*[ident(k) for k in keys]).applyInPandasWithState(walk, out, kept, "append", GroupStateTimeout.NoTimeout)
+    flagged = stream.groupBy(*[ident(k) for k in keys]).applyInPandasWithState(walk, out, kept, "append", GroupStateTimeout.NoTimeout)
+    return flagged.withColumns({c: ident(c).cast(given[c].dataType) for c in whole})
 
 
 def _unit(times: pd.Series) -> float:
