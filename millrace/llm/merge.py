@@ -32,7 +32,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["piece", "shard", "values"])
 
 
-def total(rows: DataFrame, size: int, groups: int = 32) -> np.ndarray:
+def total(rows: DataFrame, size: int, groups: int = 16) -> np.ndarray:
     """The sum of all arrays of ``size`` numbers; the driver gets one array's size.
 
     The rows of a piece are first added in ``groups`` parts, then the parts; each step streams its rows.
