@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, expand, ident, order_keys
-from millrace.plans.ordered import RN, number_rows, with_row
+from millrace.plans.ordered import RN, join_keys, number_rows, with_row
+from millrace.session import setting
 
 
 def _values(df: DataFrame, column: str, values) -> list:
@@ -63,16 +64,16 @@ def transpose(df: DataFrame, fields, column: str, by=None, name: str = "field",
 def combinations(df: DataFrame, field: str, n: int, names, by=None, order=None, permutations: bool = False, repeat: bool = False) -> DataFrame:
     """All n-combinations (or permutations, with or without repetition) of one column inside each key.
 
-    The operator's result is every such tuple. A row meets its partners tile by tile:
-    positions are divided into tiles and joined on (key, tile), so no task receives a
-    whole hot group.
+    The operator's result is every such tuple. Positions are divided into tiles, and rows
+    meet on (key, own tile, partner's tile): both sides are copied once per tile of the
+    other, so every pair of tiles is a key of its own and no task receives a whole group.
     """
     keys, names = as_list(by), as_list(names)
     if len(names) != n:
         raise ValueError("give one output name per position")
     order = order_keys(order or field)
     base = number_rows(df.filter(ident(field).isNotNull()), keys, order).select(*[ident(k) for k in keys], ident(field).alias("__x"), RN)
-    tile = 1000
+    tile = setting(df.sparkSession, "comboTile", 1000)
     base = base.withColumn("__tile", F.floor((F.col(RN) - 1) / tile))
     sizes = base.groupBy(*[ident(k) for k in keys]).agg(F.max("__tile").alias("__tiles"))
     out = base.select(*[ident(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__x").alias("__x0"), F.col(RN).alias("__n0"), F.col("__tile").alias("__t0"))
@@ -86,8 +87,12 @@ def combinations(df: DataFrame, field: str, n: int, names, by=None, order=None,
             sized = with_row(out, sizes)
         tiles = sized.withColumn("__want", F.explode(F.sequence(low, F.col("__tiles")))).drop("__tiles")
         right = base.withColumnsRenamed({"__x": f"__x{step}", RN: f"__n{step}", "__tile": f"__t{step}"})
-        cond = F.col("__want") == F.col(f"__t{step}")
-        out = tiles.join(right, reduce(and_, same, cond & meet)).drop("__want", *keys)
+        if permutations:
+            right = join_keys(right, sizes, keys) if keys else with_row(right, sizes)
+        last = F.col("__tiles") if permutations else F.col(f"__t{step}")
+        right = right.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__tiles")
+        cond = (F.col("__want") == F.col(f"__t{step}")) & (F.col("__from") == F.col(f"__t{step - 1}"))
+        out = tiles.join(right, reduce(and_, same, cond & meet)).drop("__want", "__from", *keys)
     return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"__x{i}").alias(a) for i, a in enumerate(names)])
 
 

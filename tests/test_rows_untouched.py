@@ -1,10 +1,12 @@
 """Columns that an operator does not use come back as they were, and blocks of a hot key give the same results."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import joins, rows, timeseries, windows
+from millrace.operators import joins, pivots, rows, timeseries, windows
 from millrace.sources import repair
 from tests.conftest import rows as values
 
@@ -84,6 +86,20 @@ def test_product_spreads_over_partitions(spark):
     assert sum(sizes) == 120_000 and max(sizes) <= 2 * 120_000 / 8
 
 
+@pytest.mark.parametrize("by", ["k", None])
+@pytest.mark.parametrize("n", [2, 3])
+def test_combinations_over_several_tiles(spark, by, n):
+    d = spark.createDataFrame([("a", i) for i in range(8)] + ([(None, i) for i in range(5)] if by else []), "k string, v int")
+    groups = [range(8), range(5)] if by else [range(8)]
+    spark.conf.set("millrace.comboTile", "3")
+    try:
+        for how, make in (({}, itertools.combinations), ({"permutations": True}, itertools.permutations), ({"repeat": True}, itertools.combinations_with_replacement)):
+            got = pivots.combinations(d, "v", n, list("xyz"[:n]), by, "v", **how).select(*"xyz"[:n]).collect()
+            assert sorted(map(tuple, got)) == sorted(c for g in groups for c in make(g, n))
+    finally:
+        spark.conf.unset("millrace.comboTile")
+
+
 def test_frame_longer_than_a_block(spark, tiny_blocks):
     d = table(spark)
     got = values(windows.slide(d, "big:b", "t", "k", t=20))
