@@ -3,9 +3,8 @@
 Rows of equal shingle sets form one class, represented by its smallest doc_id. Each class gets ``bands * rows`` bins
 from a single hash per shingle; empty bins borrow from bins drawn by a hash (optimal densification). Members of a bucket
 are linked with the bucket's smallest member only, so a bucket of m classes gives m - 1 candidates. Members that turn
-out not to be similar to that centre stay in the bucket and get a new centre in the next round. What is still left
-together after the rounds are unlike documents that share a long passage; a prefix-filtered join on their full sets
-finds every link among them, exactly. Every candidate is confirmed on the full sets. Components come from label propagation with pointer jumping. Nothing is capped.
+out not to be similar to that centre get another one. Every candidate is confirmed on the full sets. Components
+come from label propagation with pointer jumping.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.text import SPACED, Texts, mix, slices
@@ -105,10 +104,9 @@ def _full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _confirmed(docs: DataFrame, edges: DataFrame, words: int, percent: int, per_salt: int = 256) -> DataFrame:
+def _confirmed(sets: DataFrame, edges: DataFrame, percent: int, per_salt: int = 256) -> DataFrame:
     """The candidate edges (a, b) with ``linked``: whether their full sets are similar enough. A centre's set is
     copied once per ``per_salt`` of its edges, so that no task gets all edges of a centre."""
-    sets = cut_lineage(_full_sets(docs, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words).dropDuplicates(["id"]))
     salts = edges.groupBy("a").agg(F.ceil(F.count("*") / per_salt).alias("salts"))
     left = sets.join(salts, F.col("id") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("shingles").alias("set_a"))
     right = edges.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
@@ -117,64 +115,58 @@ def _confirmed(docs: DataFrame, edges: DataFrame, words: int, percent: int, per_
     return right.join(left, ["a", "salt"]).select("a", "b", (100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).alias("linked"))
 
 
-def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Buckets with their smallest member as centre, and the members that remain beside it."""
+def _stars(members: DataFrame) -> DataFrame:
+    """Members of each bucket beside its smallest one, the centre; buckets of one are gone."""
     centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    return members.join(centres, "key").where("id <> centre"), centres
+    return members.join(centres, "key").where("id <> centre")
 
 
-def _exact_candidates(docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of the named documents that can be similar enough, by prefix and length.
+def _apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges whose ends are not known to be in one component."""
+    for end in "ab":
+        edges = edges.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    return edges.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
-    At least percent / 100 of a set must be shared, so two similar sets meet in their n - ceil(n * percent / 100) + 1
-    rarest shingles, in one common order of rarity.
+
+def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent: int, first: int = 8) -> DataFrame:
+    """id, label: the components of the class representatives that have a confirmed link.
+
+    The stars of the first bands join most of each group. After that only candidates between different components are
+    worth confirming, so a large group of near copies costs a few candidates per member, not one per band. Members
+    unlike their bucket's centre are compared with a second one, the smallest among them.
     """
-    sets = cut_lineage(_full_sets(docs, ids, words).dropDuplicates(["id"]).select("id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle")))
-    often = sets.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    order = Window.partitionBy("id").orderBy("often", "shingle")  # one document's set
-    ranked = sets.join(often, "shingle", "left").withColumn("r", F.row_number().over(order))
-    prefix = cut_lineage(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull()).select("id", "n", "shingle"))
-    left, right = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "shingle") for x in "ab")
-    near = left.join(right, "shingle").where((F.col("a") < F.col("b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    return near.select("a", "b").distinct()
-
-
-def links(docs: DataFrame, sketches: DataFrame, words: int, percent: int, rounds: int = 2) -> DataFrame:
-    """Confirmed links (a, b) between class representatives, a < b."""
     classes = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     members = sketches.join(classes, (F.col("doc_id") == F.col("id")) & (sketches["set_a"] == classes["set_a"]) & (sketches["set_b"] == classes["set_b"]))
-    members = members.select("id", F.explode("bands").alias("key")).distinct()
-    rest, known = cut_lineage(_stars(members)[0]), None
-    for k in range(rounds + 1):
-        if k == rounds:
-            ids = rest.select("id").unionByName(rest.select(F.col("centre").alias("id"))).distinct()
-            edges = _exact_candidates(docs, cut_lineage(ids), words, percent)
-        else:
-            edges = rest.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        if known is not None:
-            edges = edges.join(known, ["a", "b"], "left_anti")
-        tried = cut_lineage(_confirmed(docs, cut_lineage(edges), words, percent))
-        known = tried if known is None else known.unionByName(tried)
-        if k < rounds:
-            failed = rest.join(known.where("NOT linked"), (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi")
-            rest = cut_lineage(_stars(failed.select("id", "key"))[0])
-    return known.where("linked").select("a", "b")
+    stars = cut_lineage(_stars(members.select("id", F.posexplode("bands").alias("band", "key"))))
+    ids = stars.select("id").unionByName(stars.select(F.col("centre").alias("id"))).distinct()
+    sets = cut_lineage(_full_sets(docs, ids, words).dropDuplicates(["id"]))
+    pairs = lambda s: s.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    early = cut_lineage(_confirmed(sets, pairs(stars.where(F.col("band") < first)), percent))
+    labels = components(early.where("linked").select("a", "b"))
+    later = cut_lineage(_confirmed(sets, cut_lineage(_apart(pairs(stars).join(early, ["a", "b"], "left_anti"), labels)), percent))
+    known = early.unionByName(later)
+    unlike = _apart(known.where("NOT linked").select("a", "b"), labels)
+    failed = stars.join(unlike, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi")
+    again = cut_lineage(_apart(pairs(_stars(failed.select("id", "key"))).join(known, ["a", "b"], "left_anti"), labels))
+    last = cut_lineage(_confirmed(sets, again, percent))
+    return components(known.unionByName(last).where("linked").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label: the smallest id that each id reaches. Labels spread over the edges, then jump to their label's label."""
+    """id, label: the smallest id that each id reaches. Labels spread over the edges, then jump to their label's label;
+    they only fall, so they are final when their sum stays."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    total = None
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", "near").alias("label"))
-        spread = cut_lineage(spread)
-        jump = spread.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        after = cut_lineage(spread.join(jump, F.col("label") == F.col("via"), "left").select("id", F.least("label", "far").alias("label")))
-        before = labels.select(F.col("id").alias("same"), F.col("label").alias("was"))
-        if after.join(before, F.col("id") == F.col("same")).where("label <> was").isEmpty():
-            return after
-        labels = after
+        jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
+        labels = cut_lineage(spread.join(jump, F.col("label") == F.col("via"), "left").select("id", F.least("label", "far").alias("label")))
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            return labels
+        total = now
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
@@ -184,11 +176,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sets' Jaccard similarity is at least ``percent`` / 100; component_id is the smallest doc_id in reach, and kept the
     row that has it. Null, empty and word-less texts have no shingles and stand alone. Rows without doc_id stand alone
     too: component_id null, kept. Repeated doc_ids are one document with several texts. A pair of similarity s meets in
-    some bucket with probability 1 - (1 - s**rows)**bands: over 0.99999 at 0.8.
+    some bucket with probability 1 - (1 - s**rows)**bands: over 0.99999 at 0.8, in ten buckets on average. A link is
+    lost only if in all of them two unlike documents come first, which takes a passage that fills nearly the whole texts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut_lineage(_sketches(docs, words, bands, rows))
-    linked = components(links(docs, sketches, words, percent))
+    linked = linked_components(docs, sketches, words, percent)
     whole = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_a", "set_b")
     classes = whole.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     named = cut_lineage(classes.join(linked, "id", "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("label", "id").alias("component_id")))
