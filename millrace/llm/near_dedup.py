@@ -128,12 +128,38 @@ def _apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return edges.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
+def _undecided(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id: all members, the centre too, of the buckets of three or more whose members are not in one component.
+    In a bucket of two the only pair is the star's."""
+    pairs = stars.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    torn = stars.join(_apart(pairs, labels), (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("key").distinct()
+    large = stars.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    rest = stars.join(torn.join(large, "key"), "key", "left_semi")
+    return cut_lineage(rest.select("key", "id").unionByName(rest.select("key", F.col("centre").alias("id"))).distinct())
+
+
+def _hubs(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges (a, b) from the member of each bucket that has most links, a, to the others. An original is linked to many
+    of its copies, whatever its doc_id, while copies may be linked to nothing else."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    best = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("best"))
+    return members.join(best, "key").select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+
+
+def _untried(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """The edges (a, b) not yet confirmed or refused, once each."""
+    tried = known.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    once = edges.withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).dropDuplicates(["low", "high"])
+    return once.join(tried, ["low", "high"], "left_anti").select("a", "b")
+
+
 def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent: int, first: int = 8) -> DataFrame:
     """id, label: the components of the class representatives that have a confirmed link.
 
     The stars of the first bands join most of each group. After that only candidates between different components are
     worth confirming, so a large group of near copies costs a few candidates per member, not one per band. Members
-    unlike their bucket's centre are compared with a second one, the smallest among them.
+    unlike their bucket's centre are compared with a second one, the smallest among them, and members of a bucket in
+    several components with the one among all of them that has most links.
     """
     classes = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     members = sketches.join(classes, (F.col("doc_id") == F.col("id")) & (sketches["set_a"] == classes["set_a"]) & (sketches["set_b"] == classes["set_b"]))
@@ -145,11 +171,13 @@ def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent:
     labels = components(early.where("linked").select("a", "b"))
     later = cut_lineage(_confirmed(sets, cut_lineage(_apart(pairs(stars).join(early, ["a", "b"], "left_anti"), labels)), percent))
     known = early.unionByName(later)
+    labels = cut_lineage(components(known.where("linked").select("a", "b")))
     unlike = _apart(known.where("NOT linked").select("a", "b"), labels)
     failed = stars.join(unlike, (F.col("centre") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi")
-    again = cut_lineage(_apart(pairs(_stars(failed.select("id", "key"))).join(known, ["a", "b"], "left_anti"), labels))
-    last = cut_lineage(_confirmed(sets, again, percent))
-    return components(known.unionByName(last).where("linked").select("a", "b"))
+    again = pairs(_stars(failed.select("id", "key"))).unionByName(_hubs(_undecided(stars, labels), known.where("linked")))
+    again = cut_lineage(_untried(_apart(again, labels), known))
+    known = known.unionByName(cut_lineage(_confirmed(sets, again, percent)))
+    return components(known.where("linked").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

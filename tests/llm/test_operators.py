@@ -403,6 +403,24 @@ def test_near_duplicates_match_brute_force(docs):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def hub_of_copies(n, seed):
+    """n copies of one text of 103 words, two words replaced far from each other, and the text itself with the largest id."""
+    rng = random.Random(seed)
+    base = [f"w{seed}x{k}" for k in range(103)]
+    rows = []
+    for i in range(n):
+        copy, at = list(base), rng.randrange(5, 45)
+        copy[at], copy[at + rng.randrange(10, 50)] = f"a{seed}y{i}", f"b{seed}y{i}"
+        rows.append((seed * 1000 + i, " ".join(copy)))
+    return [*rows, (seed * 1000 + n, " ".join(base))]
+
+
+def test_near_duplicates_of_an_original_with_the_largest_id(spark):
+    rows = [r for seed in (1, 2, 3) for r in hub_of_copies(80, seed)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i // 1000 * 1000) for i, _ in rows}
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     donors = near_dedup._donors(240)
