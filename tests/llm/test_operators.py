@@ -421,6 +421,41 @@ def test_near_duplicates_of_an_original_with_the_largest_id(spark):
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, i // 1000 * 1000) for i, _ in rows}
 
 
+def family(n, seed):
+    """n pairs of texts of one template: texts of a pair are similar (0.81), texts of different pairs are not (0.77)."""
+    rng = random.Random(seed)
+    body = [f"t{k}" for k in range(174)]
+    texts = [body + [f"p{seed}x{k}" for k in range(6)] + [f"q{seed}x{k}x{side}" for k in range(20)] for seed in range(n) for side in "ab"]
+    rng.shuffle(texts)
+    return list(enumerate(" ".join(t) for t in texts))
+
+
+def test_near_duplicates_inside_a_family_of_unlike_texts(spark):
+    rows = family(100, 5)
+    sets = [{tuple(w[k:k + 4]) for k in range(len(w) - 3)} for w in (t.split() for _, t in rows)]
+    want = {}
+    for i, x in enumerate(sets):
+        alike = [j for j, y in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)]
+        assert len(alike) == 2
+        want[i] = min(alike)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_exact_candidates_hold_all_similar_pairs(spark):
+    rng = random.Random(2)
+    sets = []
+    for _ in range(30):
+        base = rng.sample(range(60), rng.randint(1, 40))
+        sets += [sorted({*base, *rng.sample(range(60, 200), rng.randint(0, 4))} - set(rng.sample(base, rng.randint(0, len(base) // 8)))) for _ in range(4)]
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>")
+    ids = spark.createDataFrame([(i, i % 40) for i in range(len(sets))], "id long, label long")
+    for per_salt in (2, 256):
+        got = {(r["a"], r["b"]) for r in near_dedup._exact_candidates(frame, ids, 80, per_salt).collect()}
+        want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if i % 40 != j % 40 and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})}
+        assert len(want) > 20 and want <= got and all(i < j and i % 40 != j % 40 for i, j in got)
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     donors = near_dedup._donors(240)
