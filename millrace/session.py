@@ -45,6 +45,8 @@ def ship(spark: SparkSession) -> None:
                 if name.endswith(".py"):
                     full = os.path.join(folder, name)
                     out.write(full, os.path.relpath(full, root))
+            if os.path.relpath(folder, root).count("__pycache__") == 0:
+                out.write(folder, os.path.relpath(folder, root))  # an entry of its own, else Python sees no package there
     spark.sparkContext.addPyFile(path)  # the driver serves the file; nothing is read from its folder by path
     _SHIPPED.add(app)
 
