@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 from collections.abc import Callable
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, token_files, token_rollup
+from millrace.llm import chat, decontaminate, fill_middle, license_scan, lm_scoring, near_dedup, packing, pieces, quality_classifier, quality_rules, source_audit, token_files, token_rollup
 from millrace.session import cut_lineage, shared_folder
 
 
@@ -115,8 +116,25 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2(F.col("masked").cast("binary"), 256).alias("loss_sha256"), F.length("text").cast("long").alias("formatted_chars"))
 
 
+def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model, sha = public_tokenizers.path("piece_bpe_32k.model"), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = pieces.encode(_table(spark, folder, "documents"), model)
+    result = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    return pieces.decoded(ids, model, result, lambda ids, text: (len(ids), sha(" ".join(map(str, ids))), sha(text)))
+
+
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(_table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, folder, "documents").select("doc_id", "text"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_token_rollup, op8_token_files, op9_near_dedup, op10_chat_format)
+    f.__name__: f for f in (op1_lm_scoring, op2_best_fit_packing, op3_license_scan, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_token_rollup, op8_token_files, op9_near_dedup, op10_chat_format, op11_sentence_pieces, op12_source_audit, op13_fill_in_middle)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -172,4 +190,23 @@ ORACLE: dict[str, str] = {
           coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
           sum(24 + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op12_source_audit": rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS r FROM documents),
+        t AS MATERIALIZED (SELECT lang, source, r, unnest(ws) AS term FROM d),
+        k AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+        c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY ALL),
+        p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 5)) // (v.n + 5 * v.v) AS q
+          FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM x QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+        h AS (SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS r, ('0x' || h[25:32])::BIGINT % 100 AS s FROM d),
+        f AS (SELECT doc_id, t, n, least(a, b) AS a, greatest(a, b) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        o AS (SELECT *, t[:a] AS x, t[a + 1:b] AS m, t[b + 1:] AS y FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || y || '<M>' || m ELSE '<S>' || y || '<P>' || x || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
 }

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import chat, decontaminate, license_scan, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, token_files, token_rollup
+from millrace.llm import chat, decontaminate, fill_middle, license_scan, lm_scoring, near_dedup, packing, pieces, quality_classifier, quality_rules, source_audit, token_files, token_rollup
 from millrace.llm import queries as Q
 from millrace.llm.text import SPACED, Texts, slices
 from millrace.llm.tokens import Encoder
@@ -523,3 +523,131 @@ def test_every_operator_takes_clashing_columns_and_empty_tables(spark, clashing,
         assert token_files.read(spark, str(tmp_path / f"ids{n}")).count() == n
         assert near_dedup.near_duplicates(docs).count() == n
     assert chat.conversations(chat.thread(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+# --- op11
+
+
+def test_sentence_pieces_are_the_librarys(spark, docs, empty):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    odd = ["".join(rng.choice("  ▁▁ab\n\tÀé①ﬁ\0<s>語　.x") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    given = [(i, t) for i, t in enumerate(odd)] + [(None, "a b"), (None, None), (7, "a b"), (7, "a b"), (8, "y" * 30000), (9, " " * 3000 + "end")]
+    df = docs.unionByName(spark.createDataFrame(given, docs.schema)).repartition(3)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["text"] or "")
+    for block in (1 << 22, 300):
+        ids = pieces.encode(df, path, keep=("doc_id", "text"), block=block)
+        got, want = sorted(ids.collect(), key=key), sorted(df.collect(), key=key)
+        assert len(got) == len(want)
+        for g, w in zip(got, want):
+            expected = library.encode(w["text"] or "") + [library.eos_id()]
+            assert (g["doc_id"], g["text"], g["ids"]) == (w["doc_id"], w["text"], expected)
+        back = pieces.decode(ids.drop("text"), path).collect()
+        assert sorted(r["text"] for r in back) == sorted(library.decode(r["ids"]) for r in got)
+    assert pieces.encode(empty, path).count() == 0
+    assert pieces.encode(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), path, end_id=False).where("size(ids) = 0").count() == 2
+
+
+def test_each_distinct_chunk_is_segmented_once(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    chunks = spark.createDataFrame([(c,) for c in ["▁a", "▁b", "▁a", "▁▁", "▁"]], "chunk string")
+    table = {r["chunk"]: r["ids"] for r in pieces.chunk_table(chunks, path).collect()}
+    model = pieces.processor(path)
+    assert len(table) == 4 and all([model.id_to_piece(i) for i in ids] == [c] for c, ids in table.items())
+
+
+# --- op12
+
+
+def audit_by_hand(rows, least, top):
+    terms = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text))) for text, lang, source in rows]
+    out = []
+    for lang in {x[0] for x in terms}:
+        having = Counter(t for x in terms if x[0] == lang for t in set(x[2]))
+        kept = sorted(t for t, n in having.items() if n >= least)
+        counts = {s: Counter(t for x in terms if x[:2] == (lang, s) for t in x[2] if having[t] >= least) for s in {x[1] for x in terms if x[0] == lang}}
+        everywhere = sum(counts.values(), Counter())
+        share = lambda c, t: 1 + 10**9 * (c[t] + 5) // (sum(c.values()) + 5 * len(kept))
+        for s, c in counts.items():
+            pairs = [(o, sum(abs(share(c, t) - share(d, t)) for t in kept)) for o, d in counts.items() if o != s]
+            own = [(t, share(c, t) - share(everywhere, t)) for t in kept if c[t] and share(c, t) > share(everywhere, t)]
+            for part, found, most in (("pair", pairs, None), ("term", own, top)):
+                ranked = sorted(found, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, item, value, i + 1) for i, (item, value) in enumerate(ranked)]
+    return sorted(out)
+
+
+def test_source_audit_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["alpha", "Beta", "élan", "Zéta", "x", "語語", "gamma"] + WORDS
+    rows = [(" ".join(rng.choice(words[:rng.randint(2, 40)]) + rng.choice(["", ".", "7"]) for _ in range(rng.randint(0, 60))), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "S3", "é", None])) for _ in range(300)]
+    rows += [(None, "en", "silent"), ("", "fr", "only"), ("rare words here", "it", "a"), ("other words there", "it", "b")] + [rows[0]] * 20
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "text string, lang string, source string, value int, term string").repartition(6)
+    want = audit_by_hand(rows, 30, 5)
+    assert sorted(map(tuple, source_audit.audit(df, top=5).collect())) == want
+    monkeypatch.setattr(source_audit, "CELLS", 7)  # many small trees
+    monkeypatch.setattr(source_audit, "HELD", 3)
+    assert sorted(map(tuple, source_audit.audit(df, top=5).collect())) == want
+    assert source_audit.audit(df.limit(0)).count() == 0
+
+
+def test_tree_corrections_count_shared_paths():
+    rng = np.random.default_rng(2)
+    paths = sorted({(int(rng.integers(2)), tuple((s, int(rng.integers(3, 6))) for s in range(5) if rng.random() < 0.7)) for _ in range(200)})
+    zero = {(k, s): 1 + k + s for k in range(2) for s in range(5)}
+    times = rng.integers(1, 9, len(paths))
+    want = Counter()
+    for (k, path), n in zip(paths, times):
+        for j, (b, pb) in enumerate(path):
+            for a, pa_ in path[:j]:
+                za, zb = zero[k, a], zero[k, b]
+                want[k, a, b] += int(n) * (abs(pa_ - pb) - abs(pa_ - zb) - abs(za - pb) + abs(za - zb))
+    cells = [(k, s, p) for k, path in paths for s, p in path]
+    first = np.concatenate([[0], np.cumsum([len(path) for _, path in paths])])
+    got = source_audit.pair_corrections(np.array([k for k, _ in paths]), first, np.array([s for _, s, _ in cells]), np.array([p for *_, p in cells]), np.array([zero[k, s] for k, s, _ in cells]), times)
+    assert {(k, a, b): v for k, a, b, v in zip(*map(np.ndarray.tolist, got)) if v} == {k: v for k, v in want.items() if v}
+
+
+# --- op13
+
+
+def test_rank_index_is_exact_and_bounded():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 257, 5000):
+        offsets = np.concatenate([[0], np.cumsum(np.repeat(rng.integers(1, 5, n // 50 + 1), 50))])[:n].astype(np.int64)
+        for error in (1, 3, 100):
+            index = fill_middle.RankIndex(offsets, error)
+            assert (index.offsets(np.arange(n)) == offsets).all()
+            assert np.abs(index.residual).max() <= error + 1
+    even = fill_middle.RankIndex(np.arange(100_000))
+    assert len(even.first) == 1 and not even.residual.any()
+
+
+def test_fill_in_middle_matches_the_rule(spark, docs, clashing, empty):
+    texts = [t for _, t in corpus()] + ["a <P> b", "<M>", "<", "<S", "P><S", "語" * 5000 + "x" * 5000] + ["é<" * k for k in range(60)]
+    given = [(i, t) for i, t in enumerate(texts)] + [(3, "twice é"), (3, "twice é"), (None, "no id")]
+    df = spark.createDataFrame(given, "doc_id long, text string").withColumn("form", F.lit(1)).repartition(3)
+    out = fill_middle.fill_in_middle(df.withColumn("asked", F.col("text")))
+    got = out.withColumn("restored", fill_middle.restore(F.col("output"), F.col("form"))).collect()
+    assert len(got) == len(given)
+    forms = Counter()
+    for r in got:
+        text = r["asked"] or ""
+        digest = hashlib.sha256(f"1:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()
+        h = [int(digest[i:i + 8], 16) for i in range(0, 32, 8)]
+        a, b = sorted(x % (len(text) + 1) for x in h[:2])
+        if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+            want = ("plain", None, None, text)
+        elif h[3] % 100 < 20:
+            want = ("spm", a, b - a, f"<S>{text[b:]}<P>{text[:a]}<M>{text[a:b]}")
+        else:
+            want = ("psm", a, b - a, f"<P>{text[:a]}<S>{text[b:]}<M>{text[a:b]}")
+        assert (r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"]) == (len(text), *want)
+        assert r["restored"] == text
+        forms[r["form"]] += 1
+    assert set(forms) == {"plain", "psm", "spm"}
+    assert fill_middle.fill_in_middle(empty).count() == 0
+    assert fill_middle.fill_in_middle(clashing).columns == ["doc_id", "label", "n_words", "score", "kept", *fill_middle.COLUMNS]
