@@ -34,7 +34,7 @@ from millrace.llm.text import slices
 MARK = "▁"
 LINE = "\n"
 #: Bytes of text in one block, whose distinct chunks and ids one task holds.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}{LINE}]*|{LINE}|[^{MARK}{LINE}]+").findall
 _LOADED: dict[str, sentencepiece.SentencePieceProcessor] = {}
 
