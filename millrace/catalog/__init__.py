@@ -2,5 +2,5 @@
 
 from millrace.catalog.registry import ORACLE, QUERIES  # noqa: F401
 from millrace.catalog import (  # noqa: F401  (each module registers its queries)
-    aggregates, basics, feature_set, joins, models, order, plots, series, streams, text,
+    aggregates, basics, custom, feature_set, joins, models, order, plots, series, streams, text,
 )

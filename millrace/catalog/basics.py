@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from millrace.catalog.registry import GAPS, query
 from millrace.operators import columns as col
 from millrace.operators import rows as row
-from millrace.sources import files, generators, repair
+from millrace.sources import files, generators, ranges, repair
 
 # generators: as many rows as a table has
 query("mnewnumber", lambda t: generators.new_number(t.spark, "n", t.orders, 100, 5),
@@ -131,6 +131,24 @@ query("plaintext2csv_rows", lambda t: repair.cut_region(
 query("align", lambda t: repair.align(t.part.select("p_partkey", F.concat_ws(",", F.replace("p_name", F.lit(" "), F.lit(",")), "p_type", F.col("p_size").cast("string")).alias("line")), "line", 3),
       """SELECT p_partkey, array_to_string(list_resize(string_split(replace(p_name, ' ', ',') || ',' || p_type || ',' || p_size, ','), 3, ''), ',') AS line FROM part""")
 
+# files read by ranges of bytes: texts with line ends in quoted cells, and numbered lines
+def _quoted(t):
+    path = t.scratch()
+    df = t.documents.select("doc_id", "lang", "text")
+    files.write_csv(df, path)
+    return ranges.read_csv(t.spark, path, df.schema, size=1 << 16)
+
+
+def _numbered_lines(t):
+    path = t.scratch()
+    t.orders.select(F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("value")).repartition(3, "o_orderkey").write.text(path)
+    return ranges.read_lines(t.spark, path, size=1 << 14).groupBy("file").agg(F.max("line").alias("last"), F.count("value").alias("n"), F.countDistinct("line").alias("lines")).agg(
+        F.sum("n").alias("n"), F.bool_and((F.col("last") == F.col("n")) & (F.col("lines") == F.col("n"))).alias("gapless"))
+
+
+query("csv_by_range", _quoted, "SELECT doc_id, lang, nullif(text, '') AS text FROM documents")
+query("lines_by_range", _numbered_lines, "SELECT count(*) AS n, true AS gapless FROM orders")
+
 # projections
 query("mcut", lambda t: col.cut(t.customer, "c_custkey,c_mkt*"), "SELECT c_custkey, c_mktsegment FROM customer")
 query("mcut_r", lambda t: col.cut(t.customer, "c_name,c_acct???", drop=True), "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")

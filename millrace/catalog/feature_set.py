@@ -51,6 +51,12 @@ def _strike(op):
                FROM (SELECT *, coalesce(x {op} mean, false) AS h FROM {_G})) GROUP BY user_id, g) GROUP BY user_id"""
 
 
+_WAVE = """(SELECT user_id, k, sqrt(pow(sum(value * cos(2 * pi() * j * k / n)), 2) + pow(sum(value * sin(2 * pi() * j * k / n)), 2)) AS a FROM (
+   SELECT user_id, value, j, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n FROM events)) GROUP BY user_id, k)"""
+_CENTRE = f"(SELECT user_id, sum(k * a) / sum(a) AS c FROM {_WAVE} GROUP BY user_id)"
+_SPREAD = f"(SELECT user_id, sum(a * pow(k - c, 2)) / sum(a) AS c FROM {_WAVE} JOIN {_CENTRE} USING (user_id) GROUP BY user_id)"
+
+
 def _sql(name):
     if name == "mode":
         return _MODE
@@ -60,6 +66,8 @@ def _sql(name):
         return f"SELECT user_id, {_AGG[name]} AS f FROM {_G} GROUP BY user_id"
     if name in _REP:
         return f"SELECT user_id, {_REP[name]} AS f FROM {_C} GROUP BY user_id"
+    if name in ("meanf", "varf"):
+        return f"SELECT user_id, CASE WHEN count(x) = count(*) THEN any_value(c) END AS f FROM {GAPS} JOIN {_CENTRE if name == 'meanf' else _SPREAD} USING (user_id) GROUP BY user_id"
     return {"binned_entropy": _ENTROPY, "longest_strike_above_mean": _strike(">="), "longest_strike_below_mean": _strike("<=")}.get(name)
 
 
@@ -73,13 +81,10 @@ for name in FEATURES:
     else:
         query(f"groupby2_{name}", lambda t, n=name: features(t.gaps, "user_id", {"f": _feature(n)}), sql, "" if name in _EXACT else "f", _LARGE.get(name, 5))
 
-# on a column without NULL the spectra are checked against a direct transform
-_WAVE = """(SELECT user_id, k, sqrt(pow(sum(value * cos(2 * pi() * j * k / n)), 2) + pow(sum(value * sin(2 * pi() * j * k / n)), 2)) AS a FROM (
-   SELECT user_id, value, j, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS j, count(*) OVER (PARTITION BY user_id) AS n FROM events)) GROUP BY user_id, k)"""
-_CENTRE = f"(SELECT user_id, sum(k * a) / sum(a) AS c FROM {_WAVE} GROUP BY user_id)"
+# the direct transform; a NULL in the column leaves no spectrum
 query("groupby2_meanf_value", lambda t: features(t.events, "user_id", {"f": Feature("meanf", "value", time="ts")}), f"SELECT user_id, c AS f FROM {_CENTRE}", "f", 5)
 query("groupby2_varf_value", lambda t: features(t.events, "user_id", {"f": Feature("varf", "value", time="ts")}),
-      f"SELECT user_id, sum(a * pow(k - c, 2)) / sum(a) AS f FROM {_WAVE} JOIN {_CENTRE} USING (user_id) GROUP BY user_id", "f", 4)
+      f"SELECT user_id, c AS f FROM {_SPREAD}", "f", 4)
 
 _TOGETHER = [n for n in FEATURES if n in _AGG and n not in ("strmin", "strmax", "imq", "integral")]
 query("groupby2", lambda t: features(t.gaps, "user_id", {n: _feature(n) for n in _TOGETHER}),

@@ -72,6 +72,11 @@ query("knearest_neighbors_classifier", lambda t: ml.knn(t.embeddings, t.embeddin
       f"SELECT vec_id, y AS prediction FROM (SELECT vec_id, y, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, y) AS r FROM {_NEAR} GROUP BY vec_id, y) WHERE r = 1")
 query("knearest_neighbors_regressor", lambda t: ml.knn(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5, regression=True, skip_self="vec_id"),
       f"SELECT vec_id, avg(y) AS prediction FROM {_NEAR} GROUP BY vec_id", "prediction")
+query("knearest_neighbors_by_distance", lambda t: ml.knn(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5, regression=True, by_distance=True, skip_self="vec_id"),
+      f"SELECT vec_id, sum(y / sqrt(d)) / sum(1 / sqrt(d)) AS prediction FROM {_NEAR} GROUP BY vec_id", "prediction")
+_BLOCKS = _NEAR.replace("pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)", "abs(z[1]::DOUBLE - z[2]::DOUBLE)")
+query("knearest_neighbors_p1", lambda t: ml.knn(t.embeddings, t.embeddings, "vec_id", "embedding", "label", 5, regression=True, p=1.0, skip_self="vec_id"),
+      f"SELECT vec_id, avg(y) AS prediction FROM {_BLOCKS} GROUP BY vec_id", "prediction")
 query("cross_validation", lambda t: ml.cross_validate(_rows(t), "decision_tree_classifier", X, "flag", 2, maxDepth=3))
 query("predict_probability", lambda t: ml.predict(ml.train(_rows(t), "gaussian_naive_bayes", X, "flag"), _rows(t), X, probabilities=3).agg(
     F.count(F.lit(1)).alias("n"), F.avg(F.col("probability_0") + F.col("probability_1") + F.col("probability_2")).alias("p")), "SELECT count(*) AS n, 1.0::DOUBLE AS p FROM lineitem", "p")

@@ -22,7 +22,8 @@ from millrace.functions.spec import as_list, ident
 from millrace.functions.stats import QUANTILE_POINTS, STATS, stat
 from millrace.operators.aggs import _attach, _attach_rows, describe
 from millrace.operators.timeseries import seconds
-from millrace.plans.ordered import ALL, Ordered, hot_groups, join_keys, quantiles, setting, totals
+from millrace.plans.fourier import magnitude_sums
+from millrace.plans.ordered import ALL, BLOCK_ROWS, Ordered, hot_groups, join_keys, quantiles, setting, totals
 
 # fixed values: feature names by what they need
 TEXT = "miss strucount strmin strmax has_dup value_count".split()
@@ -37,7 +38,6 @@ TIMED = ("slope slope_pearson slope_pattern mean_second_derivative_central mean_
          "integral meanf varf firstmin firstmax lastmin lastmax longest_strike_above_mean longest_strike_below_mean "
          "autocorr crossing_m peaks imq").split()
 FEATURES = ["rows", *STATS, *TEXT, *REPEATS, *[a for a in AGAINST if a not in TIMED], *SIMPLE, *TIMED]
-MAX_SERIES = 50_000_000  # longest series one task may transform (meanf, varf)
 
 
 @dataclass(frozen=True)
@@ -293,29 +293,29 @@ def _series(n: str, f: Feature, name: str) -> Column:
 def _spectrum(data: DataFrame, keys: list[str], wants: dict[str, Feature], x: str) -> DataFrame:
     """Centroid and variance of the magnitude spectrum of each series.
 
-    The transform needs the whole series of a key, as two numbers per row. A series
-    longer than ``millrace.maxSeriesRows`` stops the query instead of the executor.
+    A series of up to ``blockRows`` rows is transformed in one task, a longer one in many (``plans.fourier``).
     """
-    longest = setting(data.sparkSession, "maxSeriesRows", MAX_SERIES)
+    block = setting(data.sparkSession, "blockRows", BLOCK_ROWS)
     base = data if keys else data.withColumn(ALL, F.lit(0))
     group = keys or [ALL]
     hot = hot_groups(base, group)
-    if hot is not None and (most := hot.agg(F.max("__n")).first()[0]) > longest:
-        raise ValueError(f"a series of {most} rows exceeds millrace.maxSeriesRows={longest}")
+    by = [ident(k) for k in group]
     fields = [base.schema[k] for k in group]
-    schema = T.StructType([*fields, T.StructField("__mean", T.DoubleType()), T.StructField("__var", T.DoubleType())])
+    schema = T.StructType([*fields, *(T.StructField(c, T.DoubleType()) for c in ("__s0", "__s1", "__s2"))])
 
     def transform(key, pdf: pd.DataFrame) -> pd.DataFrame:
         series = pdf.sort_values("__t", kind="stable")[x].to_numpy(dtype="float64")
         size = np.abs(np.fft.rfft(series))
-        centre = spread = None
-        if np.isfinite(size).all() and size.any():  # the magnitudes as a distribution over the frequencies
-            share, place = size / size.sum(), np.arange(size.size)
-            centre = float(np.average(place, weights=share))
-            spread = float(np.average(np.square(place - centre), weights=share))
-        return pd.DataFrame([[*key, centre, spread]], columns=[*group, "__mean", "__var"])
-
-    out = base.select(*[ident(k) for k in group], "__t", x).groupBy(*[ident(k) for k in group]).applyInPandas(transform, schema)
-    pick = {"meanf": "__mean", "varf": "__var"}
-    named = {n: F.when(~F.isnan(pick[f.name]), F.col(pick[f.name])) for n, f in wants.items()}
-    return out.select(*[ident(k) for k in keys], *[c.alias(n) for n, c in named.items()])
+        place = np.arange(size.size)
+        return pd.DataFrame([[*key, size.sum(), size @ place, size @ np.square(place)]], columns=schema.names)
+
+    rows = base.select(*by, "__t", x)
+    short = rows if hot is None else join_keys(rows, hot.drop("__n"), group, "left_anti", hint=True)
+    sums = short.groupBy(*by).applyInPandas(transform, schema)
+    if hot is not None:
+        sums = sums.unionByName(magnitude_sums(rows, group, "__t", x, hot, block))
+    mean = F.col("__s1") / F.col("__s0")
+    spread = F.greatest(F.col("__s2") / F.col("__s0") - mean * mean, F.lit(0.0))
+    known = (F.col("__s0") > 0) & ~F.isnan("__s0") & (F.col("__s0") < float("inf"))
+    named = {n: F.when(known, mean if f.name == "meanf" else spread) for n, f in wants.items()}
+    return sums.select(*[ident(k) for k in keys], *[c.alias(n) for n, c in named.items()])

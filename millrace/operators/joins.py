@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, ident, no_clash, renames
-from millrace.plans.ordered import ALL, RN, Ordered, join_keys, number_rows, spread
-
+from millrace.plans.ordered import ALL, HOT_GROUPS, RN, Ordered, join_keys, number_rows, spread
 
 
 def _reference(ref: DataFrame, by: list[str], ref_by, fields) -> tuple[DataFrame, list[str]]:
@@ -155,10 +154,6 @@ def _bounds(low: Column, high: Column) -> tuple[Column, Column]:
     return F.coalesce(low.cast("double"), F.lit(-inf)), F.coalesce(high.cast("double"), F.lit(inf))
 
 
-def _within(x: Column, lo: Column, hi: Column, closed: str) -> Column:
-    return (x >= lo if closed[0] == "[" else x > lo) & (x <= hi if closed[1] == "]" else x < hi)
-
-
 def covered(df: DataFrame, ref: DataFrame, value: str, low: str, high: str, by=None, ref_by=None, closed: str = "[)", flag: str = "covered") -> DataFrame:
     """Flag the rows whose value lies in at least one reference interval of the same key.
 
@@ -202,47 +197,83 @@ def _reached(df: DataFrame, ref: DataFrame, value: str, low: str, high: str, by:
     return o.result().filter(F.col("__row").isNotNull() & ~F.coalesce(hit & known, F.lit(False))).select("__row.*")
 
 
-LEVELS = 24  # grid sizes used by the interval join, each half of the one above
+SIZES = (0, 5, 10, 15)  # values in one segment of each level, as powers of two
+PAIRS = 1 << 22  # result rows that one join key may give
 
 
-def interval_join(df: DataFrame, ref: DataFrame, value: str, low: str, high: str, by=None, ref_by=None, fields=None,
-                  closed: str = "[)", left: bool = False, right: bool = False) -> DataFrame:
-    """Join each value with every interval that holds it; NULL ends are open to infinity.
+def _places(values: DataFrame, side: DataFrame, by: list[str], end: str, after_equal: bool, name: str) -> DataFrame:
+    """``side`` with ``name``: how many values of the same key lie before the end (up to and with it if ``after_equal``)."""
+    own = values.select(*[ident(k) for k in by], "__v", F.lit(0 if after_equal else 1).alias("__kind"), F.lit(1).alias("__one"))
+    ends = side.select(*[ident(k) for k in by], ident(end).alias("__v"), F.lit(1 if after_equal else 0).alias("__kind"), F.struct(*[ident(c) for c in side.columns]).alias("__row"))
+    o = Ordered(own.unionByName(ends, allowMissingColumns=True), by, ["__v", "__kind"]).running(__n=("count", F.col("__one")))
+    return o.result().filter(F.col("__row").isNotNull()).select("__row.*", F.coalesce("__n", F.lit(0)).cast("long").alias(name))
+
+
+def _segments(first: Column, end: Column) -> Column:
+    """The positions from ``first`` to before ``end`` as whole segments, the largest that fit: (level, segment)."""
+    parts, none = [], F.array().cast("array<struct<__level:int,__segment:bigint>>")
+
+    def span(level: int, lo: Column, hi: Column) -> Column:
+        run = F.transform(F.sequence(lo, F.greatest(hi - 1, lo)), lambda i: F.struct(F.lit(level).alias("__level"), i.alias("__segment")))
+        return F.when(lo < hi, run).otherwise(none)
+
+    for level, bits in enumerate(SIZES):
+        lo, hi = F.shiftright(first + ((1 << bits) - 1), bits), F.shiftright(end, bits)
+        if level + 1 == len(SIZES):
+            parts.append(span(level, lo, hi))
+            continue
+        up, more = SIZES[level + 1], SIZES[level + 1] - bits
+        next_lo, next_hi = F.shiftright(first + ((1 << up) - 1), up), F.shiftright(end, up)
+        inner = next_lo < next_hi
+        parts.append(span(level, lo, F.when(inner, F.shiftleft(next_lo, more)).otherwise(hi)))
+        parts.append(F.when(inner, span(level, F.shiftleft(next_hi, more), hi)).otherwise(none))
+    return F.concat(*parts)
+
 
-    An interval is filed on the grid whose cell is just as long as itself, where it
-    touches at most two cells; a value looks into its cell on every grid in use. So the
-    join is an equi-join on (key, grid, cell) whatever mix of lengths the intervals have.
+def interval_pieces(df: DataFrame, ref: DataFrame, value: str, low: str, high: str, by: list[str], rkeys: list[str], columns: dict[str, str], closed: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of the interval join as an equi-join, and its keys: every pair that meets is a result.
+
+    The values of a key are numbered in order. An interval, whatever its ends, holds the values of a run of numbers, and
+    the run is cut into segments of 1, 32, 1,024 and 32,768 numbers: at most 62 of each size but the largest, so never
+    more than the results of the interval. A value belongs to one segment of each size. Where a segment has more
+    intervals than give ``PAIRS`` results, they are dealt over parts, and its values are copied to each part.
     """
+    known = reduce(lambda a, k: a & ident(k).isNotNull(), by, F.lit(True))
+    own = df.filter(ident(value).isNotNull() & known).withColumn("__v", ident(value).cast("double"))
+    lo, hi = _bounds(ident(low), ident(high))
+    keyed = [ident(r).alias(f"__k{i}") for i, r in enumerate(rkeys)]
+    side = ref.select(*keyed, lo.alias("__lo"), hi.alias("__hi"), *[ident(s).alias(f"__f{i}") for i, s in enumerate(columns)])
+    names = [f"__k{i}" for i in range(len(by))]
+    side = side.filter(reduce(lambda a, k: a & F.col(k).isNotNull(), names, F.lit(True)))
+    values = own.select(*[ident(k).alias(n) for k, n in zip(by, names)], "__v")
+    side = _places(values, side, names, "__lo", closed[0] != "[", "__first")
+    side = _places(values, side, names, "__hi", closed[1] == "]", "__end").filter("__first < __end")
+    side = side.select("*", F.inline(_segments(F.col("__first"), F.col("__end"))))
+    cell = [*names, "__level", "__segment"]
+    counts = side.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.greatest(F.lit(1), F.lit(PAIRS) / F.element_at(F.array(*[F.lit(1 << b) for b in SIZES]), F.col("__level") + 1))
+    hot = counts.withColumn("__parts", F.ceil(F.col("__n") / share).cast("int")).filter("__parts > 1").orderBy(F.desc("__n")).limit(HOT_GROUPS).drop("__n")
+    hot = F.broadcast(df.sparkSession.createDataFrame(hot.collect(), hot.schema))  # the rest hold a 20,000th of the pieces at most
+    payload = [F.col(c) for c in side.columns if c.startswith("__f")]
+    draw = F.pmod(F.xxhash64(*[F.col(c) for c in side.columns if c != "__level" and c != "__segment"], F.spark_partition_id()), F.coalesce("__parts", F.lit(1))).cast("int")
+    side = side.join(hot, cell, "left").select(*cell, draw.alias("__part"), *payload)
+    o = number_rows(own, by, ["__v"])
+    o = o.select(*[ident(c) for c in df.columns], *[ident(k).alias(n) for k, n in zip(by, names)], F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__level"), F.shiftright(F.col(RN) - 1, b).alias("__segment")) for i, b in enumerate(SIZES)])))
+    o = o.join(hot, cell, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return o, side, [*cell, "__part"]
+
+
+def interval_join(df: DataFrame, ref: DataFrame, value: str, low: str, high: str, by=None, ref_by=None, fields=None,
+                  closed: str = "[)", left: bool = False, right: bool = False) -> DataFrame:
+    """Join each value with every interval that holds it; NULL ends are open to infinity."""
     by = as_list(by)
-    side, picked = _reference(ref, by, ref_by, fields)
+    _, picked = _reference(ref, by, ref_by, fields)
     rkeys = as_list(ref_by) or by
     pairs = renames(fields) if fields is not None else {c: c for c in ref.columns if c not in rkeys}
     no_clash(df, picked)
-    x = ident(value).cast("double")
-    least, most = df.agg(F.min(x), F.max(x)).first()
-    least, most = (0.0, 1.0) if least is None else (least, most)
-    span = max(most - least, 1e-9) * 1.0000001
-    lo, hi = _bounds(ident(low), ident(high))
-    # the part of the interval where there are values decides its grid
-    cut_lo, cut_hi = F.greatest(lo, F.lit(least)), F.least(hi, F.lit(most))
-    share = F.greatest((cut_hi - cut_lo) / span, F.lit(2.0 ** -LEVELS))
-    level = F.floor(-F.log2(share)).cast("int")
-
-    def cell(v: Column, lvl: Column) -> Column:
-        return F.floor((v - least) / span * F.pow(F.lit(2.0), lvl)).cast("long")
-
-    side = ref.select(*[ident(r).alias(f"__k{i}") for i, r in enumerate(rkeys)], lo.alias("__lo"), hi.alias("__hi"), cut_lo.alias("__a"), cut_hi.alias("__b"),
-                      level.alias("__level"), *[ident(s).alias(d) for s, d in pairs.items()]).filter("__a <= __b")
-    levels = sorted(r[0] for r in side.select("__level").distinct().collect())  # at most LEVELS + 1 numbers
-    side = side.withColumn("__cell", F.explode(F.sequence(cell(F.col("__a"), F.col("__level")), cell(F.col("__b"), F.col("__level")))))
-    own = df.filter(x.isNotNull()).withColumn("__x", x)
-    own = own.withColumn("__g", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
-    own = own.withColumn("__c", cell(F.col("__x"), F.col("__g")))
-    cond = (F.col("__g") == F.col("__level")) & (F.col("__c") == F.col("__cell"))
-    for i, k in enumerate(by):
-        cond = cond & (ident(k) == F.col(f"__k{i}"))
-    cond = cond & _within(F.col("__x"), F.col("__lo"), F.col("__hi"), closed)
-    out = own.join(side, cond).select(*[ident(c) for c in df.columns], *[ident(p) for p in picked])
+    own, side, keys = interval_pieces(df, ref, value, low, high, by, rkeys, pairs, closed)
+    out = own.join(side, keys).select(*[ident(c) for c in df.columns], *[F.col(f"__f{i}").alias(d) for i, d in enumerate(pairs.values())])
     if left:
         lone = range_common(df, ref, value, low, high, by, rkeys, closed)[1]
         out = out.unionByName(lone, allowMissingColumns=True)

@@ -12,12 +12,13 @@ from pyspark.ml import clustering as K
 from pyspark.ml import feature as FT
 from pyspark.ml import regression as R
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spec import expand, ident, renames
 from millrace.plans.ordered import RN, join_spread, number_rows, quantiles, totals, with_row
+from millrace.session import cut_lineage
 
 FEATURES, LABEL = "__features", "__label"
 
@@ -181,46 +182,177 @@ def boost(df: DataFrame, fields, target: str, classes: int, rounds: int = 10, de
 
 
 POINTS = 4_096  # rows of one block of either side of a neighbour search
+PIVOTS, SAMPLE = 128, 2_048
+MOST_BLOCKS = 100_000  # blocks that the index lists; larger tables get larger blocks
+
+
+def _distances(x: np.ndarray, y: np.ndarray, p: float) -> np.ndarray:
+    """All distances of some rows to others, as many rows at a time as fit 64 MB."""
+    out = np.empty((len(x), len(y)))
+    step = max(1, (1 << 23) // max(y.size, 1))
+    for lo in range(0, len(x), step):
+        out[lo:lo + step] = (np.abs(y[None] - x[lo:lo + step, None]) ** p).sum(axis=2) ** (1 / p)
+    return out
+
+
+def _pivots(sample: np.ndarray, n: int, p: float) -> np.ndarray:
+    """Points of a sample far from each other: the first, then always the one farthest from those taken."""
+    if not len(sample):
+        return sample
+    taken, far = [0], _distances(sample, sample[:1], p)[:, 0]
+    while len(taken) < n and far.max() > 0:
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, _distances(sample, sample[taken[-1:]], p)[:, 0])
+    return sample[taken]
+
+
+class _Rings:
+    """Blocks of an index as arrays: which pivot, between which distances from it; and the rows next to each pivot."""
+
+    def __init__(self, pivots: np.ndarray, p: float, k: int, blocks: list, near: list):
+        self.pivots, self.p, self.k = pivots, p, k
+        self.cell, self.sub, self.inner, self.outer, self.sizes = (np.array([r[i] for r in blocks], float if i in (2, 3) else int) for i in range(5))
+        self.near_cell, self.near_r = np.array([r[0] for r in near], int), np.array([r[1] for r in near], float)
+
+    def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row: an upper bound of the distance to its k-th neighbour, and a lower bound for every block."""
+        d = _distances(x, self.pivots, self.p)
+        reach = d[:, self.near_cell] + self.near_r
+        upper = np.partition(reach, self.k - 1, 1)[:, self.k - 1] if 0 < self.k <= reach.shape[1] else np.full(len(x), np.inf)
+        own = d[:, self.cell]
+        return upper, np.maximum(np.maximum(own - self.outer, self.inner - own), (own - d.min(1)[:, None]) / 2)
+
+
+class NeighbourIndex:
+    """An exact index of reference rows for a metric: rows go to their nearest pivot, and in rings around it into blocks.
+
+    Distances to pivots bound the distance to every row of a block from below (triangle inequality: by the ring's inner
+    and outer radius, and by half the difference of the distances to both pivots, since the row is nearest to its own),
+    and the rows next to each pivot bound the distance to the k-th neighbour from above. A search looks into a row's
+    nearest block first. Rows whose bound is still open then look into every other block whose lower bound is not above
+    it. Pivots come from a bounded sample; any choice gives the same neighbours.
+    """
+
+    def __init__(self, rows: DataFrame, k: int, p: float, pivots: int = PIVOTS):
+        """``rows``: __own, __v (array<double>), __y. ``k``: the row whose distance bounds a search from above, 0 for none."""
+        if p < 1:
+            raise ValueError("p has to be 1 or more: below, distances keep no triangle inequality")
+        self.p, self.spark = p, rows.sparkSession
+        sample = [r["__v"] for r in rows.select("__v").orderBy(F.xxhash64("__v"), "__v").limit(SAMPLE).collect()]
+        self.pivots = _pivots(np.array(sample) if sample else np.zeros((0, 1)), pivots, p)
+        assigned = cut_lineage(self._assign(rows))
+        self.points = max(POINTS, -(-assigned.count() // MOST_BLOCKS))
+        ringed = number_rows(assigned, ["__cell"], ["__r", "__v", "__y"], name="__i")
+        self.rows = cut_lineage(ringed.withColumn("__sub", F.floor((F.col("__i") - 1) / self.points).cast("int")))
+        blocks = self.rows.groupBy("__cell", "__sub").agg(F.min("__r"), F.max("__r"), F.count("*")).orderBy("__cell", "__sub").collect()  # MOST_BLOCKS and one per pivot
+        near = self.rows.where(F.col("__i") <= k).select("__cell", "__r").collect()  # k per pivot
+        self.rings = _Rings(self.pivots, p, k, blocks, near)
+
+    def _assign(self, rows: DataFrame) -> DataFrame:
+        """The rows with __cell, their nearest pivot, and __r, their distance to it."""
+        pivots, p = self.pivots, self.p
+        schema = T.StructType([*rows.schema.fields, T.StructField("__cell", T.IntegerType()), T.StructField("__r", T.DoubleType())])
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    d = _distances(np.stack(pdf["__v"].to_list()), pivots, p)
+                    pdf["__cell"], pdf["__r"] = d.argmin(1).astype(np.int32), d.min(1)
+                    yield pdf
+
+        return rows.where("__v IS NOT NULL").mapInPandas(run, schema)
+
+    def pairs(self, queries: DataFrame, first: bool) -> DataFrame:
+        """__key, __v, __bound with the __cell and __sub of the blocks to look into. ``first``: the nearest block;
+        otherwise all others that may hold a neighbour within ``__bound``."""
+        index = self.spark.sparkContext.broadcast(self.rings)
+        kept = [queries.schema["__key"], queries.schema["__v"], T.StructField("__bound", T.DoubleType())]
+        schema = T.StructType([*kept, T.StructField("__cell", T.IntegerType()), T.StructField("__sub", T.IntegerType())])
+
+        def run(batches):
+            rings = index.value
+            cell, sub = rings.cell, rings.sub
+            for pdf in batches:
+                for lo in range(0, len(pdf), 256):
+                    part = pdf.iloc[lo:lo + 256]
+                    if not len(cell):
+                        continue
+                    upper, lower = rings.bounds(np.stack(part["__v"].to_list()))
+                    best = lower.argmin(1)
+                    if first:
+                        row, block = np.arange(len(part)), best
+                    else:  # rounding must not close a block that holds a neighbour at just that distance
+                        upper = np.minimum(upper, part["__bound"].to_numpy())
+                        open_ = lower <= (upper * (1 + 1e-9) + 1e-12)[:, None]
+                        open_[np.arange(len(part)), best] = False
+                        row, block = np.nonzero(open_)
+                    yield pd.DataFrame({"__key": part["__key"].to_numpy()[row], "__v": part["__v"].to_numpy()[row], "__bound": upper[row], "__cell": cell[block].astype(np.int32), "__sub": sub[block].astype(np.int32)})
+
+        return queries.mapInPandas(run, schema)
+
+    def search(self, pairs: DataFrame, k: int, skip_self: bool) -> DataFrame:
+        """__key, distance, target: the k nearest rows of each pair's block, within the pair's bound.
+
+        The queries of a block are divided into parts of bounded size, for which the block is copied.
+        """
+        p, key = self.p, pairs.schema["__key"]
+        pairs = cut_lineage(pairs)
+        asked = pairs.groupBy("__cell", "__sub").agg(F.ceil(F.count("*") / self.points).cast("int").alias("__parts"))
+        asked = F.broadcast(cut_lineage(asked))  # one row per block
+        left = pairs.join(asked, ["__cell", "__sub"]).withColumn("__part", F.pmod(F.xxhash64("__key", "__v"), F.col("__parts")).cast("int")).drop("__parts")
+        right = self.rows.select("__cell", "__sub", "__own", "__v", "__y", "__r").join(asked, ["__cell", "__sub"]).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+        schema = T.StructType([key, T.StructField("distance", T.DoubleType()), T.StructField("target", T.DoubleType())])
+        pivots = self.pivots
+
+        def look(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            rows, ds, ys = [np.zeros(0, int)], [np.zeros(0)], [np.zeros(0)]
+            if len(a) and len(b):
+                x, b = np.stack(a["__v"].to_list()), b.sort_values("__r")
+                y, r = np.stack(b["__v"].to_list()), b["__r"].to_numpy()
+                own_ids, labels, keys = b["__own"].to_numpy(), b["__y"].to_numpy(), a["__key"].to_numpy()
+                centre = _distances(x, pivots[int(a["__cell"].iloc[0])][None], p)[:, 0]
+                bound = a["__bound"].to_numpy() * (1 + 1e-9) + 1e-12
+                lows, highs = np.searchsorted(r, centre - bound, "left"), np.searchsorted(r, centre + bound, "right")
+                for i, (lo, hi) in enumerate(zip(lows, highs)):  # the part of the ring within reach
+                    d = (np.abs(y[lo:hi] - x[i]) ** p).sum(axis=1) ** (1 / p)
+                    if skip_self:
+                        d = np.where(own_ids[lo:hi] == keys[i], np.inf, d)
+                    m = min(k, len(d))
+                    if m:
+                        near = np.flatnonzero(d <= np.partition(d, m - 1)[m - 1])
+                        near = near[np.lexsort((labels[lo:hi][near], d[near]))[:m]]
+                        near = near[np.isfinite(d[near])]
+                        rows.append(np.full(len(near), i))
+                        ds.append(d[near])
+                        ys.append(labels[lo:hi][near])
+            return pd.DataFrame({"__key": a["__key"].to_numpy()[np.concatenate(rows)], "distance": np.concatenate(ds), "target": np.concatenate(ys)})
+
+        by = ["__cell", "__sub", "__part"]
+        return left.groupBy(*by).cogroup(right.withColumnsRenamed({c: f"{c}2" for c in by}).groupBy(*[f"{c}2" for c in by])).applyInPandas(look, schema)
 
 
 def nearest_neighbours(df: DataFrame, ref: DataFrame, key: str, fields, target: str, k: int = 5, p: float = 2.0, skip_self: str | None = None) -> DataFrame:
-    """The k nearest reference rows of each row: (key, rank, distance, target).
+    """The k nearest reference rows of each row: (key, rank, distance, target); the smaller target first at equal distance.
 
-    Both sides are divided into blocks of bounded size. Each pair of blocks is one small
-    task that returns k candidates per row, never the distances; candidates are merged
-    with a per-key limit that already applies before the shuffle.
+    Exact, through a ``NeighbourIndex`` of the reference: two rounds of bounded tasks, each of which returns k candidates
+    per row, never the distances; candidates are merged with a per-key limit that already applies before the shuffle.
+    Rows without a value in one of the fields have no neighbours and are none.
     """
     vec = lambda d: ident(expand(d, fields)[0]).cast("array<double>") if isinstance(d.schema[expand(d, fields)[0]].dataType, T.ArrayType) else F.array(*[ident(f).cast("double") for f in expand(d, fields)])
-    left = number_rows(df.select(ident(key).alias("__key"), vec(df).alias("__v")), None, ["__key"]).withColumn("__lb", F.floor((F.col(RN) - 1) / POINTS)).drop(RN)
+    whole = lambda d: d.where(F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    left = whole(df.select(ident(key).alias("__key"), vec(df).alias("__v")))
     own = ident(skip_self) if skip_self else F.lit(None).cast(df.schema[key].dataType)
-    right = number_rows(ref.select(own.alias("__own"), vec(ref).alias("__v"), ident(target).cast("double").alias("__y")), None, ["__v", "__y"])
-    right = right.withColumn("__rb", F.floor((F.col(RN) - 1) / POINTS)).drop(RN)
-    lefts, rights = -(-df.count() // POINTS), -(-ref.count() // POINTS)
-    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long")))
-    schema = T.StructType([T.StructField("__key", df.schema[key].dataType), T.StructField("distance", T.DoubleType()), T.StructField("target", T.DoubleType())])
-
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"__key": a["__key"][:0], "distance": [], "target": []})
-        x, y = np.stack(a["__v"].to_list()), np.stack(b["__v"].to_list())
-        own_ids, labels, keys = b["__own"].to_numpy(), b["__y"].to_numpy(), a["__key"].to_numpy()
-        out = []
-        for i in range(len(x)):
-            d = (np.abs(y - x[i]) ** p).sum(axis=1) ** (1 / p)
-            if skip_self:
-                d = np.where(own_ids == keys[i], np.inf, d)
-            m = min(k, len(d))
-            pick = np.lexsort((labels, d))[:m] if len(d) <= 4 * k else (lambda c: c[np.lexsort((labels[c], d[c]))[:m]])(np.flatnonzero(d <= np.partition(d, m - 1)[m - 1]))
-            out.append(pd.DataFrame({"__key": keys[i], "distance": d[pick], "target": labels[pick]}))
-        res = pd.concat(out)
-        return res[np.isfinite(res["distance"])]
-
-    a = left.withColumn("__rb", blocks(rights)).groupBy("__lb", "__rb")
-    b = right.withColumn("__lb", blocks(lefts)).groupBy("__lb", "__rb")
-    found = a.cogroup(b).applyInPandas(search, schema)
-    from pyspark.sql import Window
-
+    right = whole(ref.select(own.alias("__own"), vec(ref).alias("__v"), ident(target).cast("double").alias("__y")))
+    # a row's own rows do not count, so the bound from above has to leave room for them
+    own_rows = right.groupBy("__own").count().agg(F.max("count")).first()[0] or 0 if skip_self else 0
+    index = NeighbourIndex(right, k + own_rows if own_rows < 100 else 0, p)
+    queries = left.withColumn("__bound", F.lit(float("inf")))
     w = Window.partitionBy("__key").orderBy("distance", "target")
+    first = cut_lineage(index.search(index.pairs(queries, True), k, bool(skip_self)))
+    ranked = first.withColumn("__n", F.row_number().over(w))
+    reached = ranked.where(F.col("__n") == k).select(F.col("__key").alias("__k"), F.col("distance").alias("__reached"))
+    bounded = left.join(reached, F.col("__key").eqNullSafe(F.col("__k")), "left").select("__key", "__v", F.coalesce("__reached", F.lit(float("inf"))).alias("__bound"))
+    found = first.unionByName(index.search(index.pairs(bounded, False), k, bool(skip_self)))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("__key").alias(key), "rank", "distance", "target")
 
 

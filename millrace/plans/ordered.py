@@ -43,7 +43,7 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-_COUNTED: list[tuple[DataFrame, tuple[str, ...], int, DataFrame | None]] = []
+_COUNTED: list[tuple[DataFrame, tuple[str, ...], int, int, DataFrame | None]] = []
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
@@ -57,12 +57,13 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
         return None
     spark, limit, wanted = df.sparkSession, setting(df.sparkSession, "blockRows", BLOCK_ROWS), tuple(keys)
     counts = df.groupBy(*[ident(k) for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    for seen, names, size, hot in _COUNTED:
-        if names == wanted and size == limit and seen.sparkSession is spark and seen.sameSemantics(counts):
+    files = hash(tuple(sorted(df.inputFiles())))  # a path that was written anew has other files
+    for seen, names, size, read, hot in _COUNTED:
+        if names == wanted and size == limit and read == files and seen.sparkSession is spark and seen.sameSemantics(counts):
             return hot
     rows = counts.filter(F.col("__n") > limit).orderBy(F.desc("__n")).limit(HOT_GROUPS).collect()
     hot = spark.createDataFrame(rows, counts.schema) if rows else None
-    _COUNTED.append((counts, wanted, limit, hot))
+    _COUNTED.append((counts, wanted, limit, files, hot))
     del _COUNTED[:-32]
     return hot
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.spec import as_list, ident
 from millrace.operators.windows import number
+from millrace.sources import ranges
 
 RUN_ID = "run_id"
 
@@ -36,7 +37,7 @@ def read_csv(spark: SparkSession, path, schema=None, header: bool = True, encodi
 
 def write_csv(df: DataFrame, path: str, header: bool = True, encoding: str = "UTF-8", sep: str = ",", line_sep: str | None = None, mode: str = "errorifexists") -> None:
     _allow(df.sparkSession, encoding)
-    writer = df.write.mode(mode).options(header=header, encoding=encoding, sep=sep, nullValue="", emptyValue="", escape='"')
+    writer = df.write.mode(mode).options(header=header, encoding=encoding, sep=sep, nullValue="", emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if line_sep:
         writer = writer.option("lineSep", line_sep)
     writer.csv(path)
@@ -148,7 +149,7 @@ def _guess(data: bytes) -> tuple[str, str]:
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     """Encoding and newline of each file, from its first 100 KB."""
-    heads = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD_BYTES).alias("head"))
+    heads = ranges.heads(spark, path, HEAD_BYTES)
 
     def guess(batches):
         for pdf in batches:

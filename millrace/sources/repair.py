@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.spec import as_list, ident
 from millrace.plans.folds import fold
 from millrace.plans.ordered import Ordered
+from millrace.sources import ranges
 
 _COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # a comma outside quotes
 
@@ -28,10 +29,9 @@ def align(df: DataFrame, field: str, width: int) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of each file with their 1-based number; a file must fit one task to be numbered."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n", -1)).alias("line", "text"))
-    return lines.withColumn("line", F.col("line") + 1)
+    """Lines of each file with their 1-based number; a file may have any size."""
+    lines = ranges.read_lines(spark, path)
+    return lines.select("file", "line", F.regexp_replace("value", r"\r$", "").alias("text"))
 
 
 def _exclusion(text: str, start: str | None, start_blank: bool, end: str | None, end_blank: bool, end_rows: int | None):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,14 +74,36 @@ def sessions(stream: DataFrame, time: str, gap_seconds: float, aggs: dict, by=No
     return out.select(F.col("session_window.start").alias("start"), *[ident(k) for k in as_list(by)], *aggs)
 
 
-def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "stop_ends") -> DataFrame:
+def _stops(times: np.ndarray, last: float, total: float, n: float, ratio: float) -> tuple[list[int], float, float, float]:
+    """Flags of rows in order, and the state after them: last time, sum and number of intervals since the last stop."""
+    flags = []
+    for t in times:
+        gap, stop = t - last, False
+        if gap < 0:
+            flags.append(0)
+            continue
+        if gap == gap:
+            mean = total / n if n else 0.0
+            stop = mean != 0 and gap / mean >= ratio
+            total, n = (gap, 1.0) if n == 0 or stop else (total + gap, n + 1)
+        flags.append(int(stop))
+        last = t
+    return flags, last, total, n
+
+
+def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "stop_ends", late: str | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Stateful stops of a stream: a row ends a stop when its interval to the row before reaches
     ``ratio`` times the mean interval since the last stop.
 
-    State per key: last time, sum and number of intervals. Rows arrive in time order per
-    key, as a followed file delivers them; each trigger sorts its own rows. A row that is
-    older than the last one of its key ends no stop and leaves the state as it is. Whole
-    numbers travel as text, since pandas would turn nullable ones into floats.
+    State per key: last time, sum and number of intervals. Without ``late``, rows are taken to arrive in time order per
+    key; each trigger sorts its own rows, and a row older than the last one of its key ends no stop and leaves the state
+    as it is.
+
+    With ``late`` (such as "1 hour", the delay of the watermark) a row waits in its key's state until the watermark has
+    passed it, so no earlier row can come any more, and rows go out in time order. Rows that come later than that are
+    dropped, and rows without a time with them. A key whose last row lies ``idle_seconds`` behind the watermark is
+    forgotten: its next row is a first one. Whole numbers travel as text, since pandas would turn nullable ones into
+    floats.
     """
     keys = as_list(by)
     given = stream.schema
@@ -88,28 +112,50 @@ def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "s
         raise ValueError(f"{time} has to be a time column")
     stream = stream.withColumns({c: ident(c).cast("string") for c in whole})
     out = T.StructType([*stream.schema.fields, T.StructField(name, T.IntegerType())])
-    kept = T.StructType([T.StructField("last", T.DoubleType()), T.StructField("total", T.DoubleType()), T.StructField("n", T.DoubleType())])
+    kept = T.StructType([*(T.StructField(c, T.DoubleType()) for c in ("last", "total", "n")), T.StructField("waiting", T.BinaryType())])
     columns = stream.columns
+    fresh = (float("nan"), 0.0, 0.0, b"")
+
+    def seconds(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf[time].astype("int64").to_numpy() / _unit(pdf[time])
 
     def walk(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total, n = state.get if state.exists else (float("nan"), 0.0, 0.0)
+        last, total, n, _ = state.get if state.exists else fresh
         pdf = pd.concat(list(batches)).sort_values(time)
-        flags = []
-        for t in pdf[time].astype("int64").to_numpy() / _unit(pdf[time]):
-            gap, stop = t - last, False
-            if gap < 0:
-                flags.append(0)
-                continue
-            if gap == gap:
-                mean = total / n if n else 0.0
-                stop = mean != 0 and gap / mean >= ratio
-                total, n = (gap, 1.0) if n == 0 or stop else (total + gap, n + 1)
-            flags.append(int(stop))
-            last = t
-        state.update((last, total, n))
+        flags, last, total, n = _stops(seconds(pdf), last, total, n, ratio)
+        state.update((last, total, n, b""))
         yield pdf[columns].assign(**{name: flags})
 
-    flagged = stream.groupBy(*[ident(k) for k in keys]).applyInPandasWithState(walk, out, kept, "append", GroupStateTimeout.NoTimeout)
+    def ordered(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, total, n, waiting = state.get if state.exists else fresh
+        held = pickle.loads(waiting) if waiting else None  # written by this function
+        parts = [held] if held is not None else []
+        if not state.hasTimedOut:
+            parts += list(batches)
+        passed = state.getCurrentWatermarkMs()
+        rows = pd.concat(parts).sort_values([time, *[c for c in columns if c != time]], kind="stable") if parts else None
+        if rows is not None:
+            ready = seconds(rows) * 1000 <= passed
+            done, rest = rows[ready], rows[~ready]
+            if len(done):
+                flags, last, total, n = _stops(seconds(done), last, total, n, ratio)
+                yield done[columns].assign(**{name: flags})
+            rows = rest if len(rest) else None
+        if rows is not None:
+            state.update((last, total, n, pickle.dumps(rows.reset_index(drop=True))))
+            state.setTimeoutTimestamp(max(int(seconds(rows).min() * 1000), passed + 1))
+        elif idle_seconds is not None and (last != last or (last + idle_seconds) * 1000 <= passed):
+            state.remove()
+        else:
+            state.update((last, total, n, b""))
+            if idle_seconds is not None:
+                state.setTimeoutTimestamp(max(int((last + idle_seconds) * 1000), passed + 1))
+
+    if late is None:
+        flagged = stream.groupBy(*[ident(k) for k in keys]).applyInPandasWithState(walk, out, kept, "append", GroupStateTimeout.NoTimeout)
+    else:
+        grouped = stream.withWatermark(time, late).groupBy(*[ident(k) for k in keys])
+        flagged = grouped.applyInPandasWithState(ordered, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
     return flagged.withColumns({c: ident(c).cast(given[c].dataType) for c in whole})
 
 

@@ -53,6 +53,26 @@ def test_spectrum(series):
         assert abs(r["m"] - m) < 1e-9 and abs(r["v"] - (y.dot(b ** 2) / y.sum() - m * m)) < 1e-7
 
 
+@pytest.mark.parametrize("n,block", [(8, "7"), (97, "40"), (500, "7"), (512, "300")])
+def test_spectrum_of_divided_series(spark, n, block):
+    """The transform over many tasks gives numpy's spectrum, for lengths that are powers of two, prime and others."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(3, 2, n)
+    rows = [("long", i, float(v)) for i, v in enumerate(x)] + [(None, i, float(v)) for i, v in enumerate(x[:n // 2])] + [("gap", i, None if i == 3 else 1.0) for i in range(n)] + [("zero", i, 0.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, t long, x double").repartition(3)
+    spark.conf.set("millrace.blockRows", block)
+    try:
+        got = {r["k"]: (r["m"], r["v"]) for r in features(df, "k", {"m": Feature("meanf", "x", time="t"), "v": Feature("varf", "x", time="t")}).collect()}
+    finally:
+        spark.conf.unset("millrace.blockRows")
+    for k, series in (("long", x), (None, x[:n // 2])):
+        y = np.abs(np.fft.rfft(series))
+        b = np.arange(len(y))
+        m = y @ b / y.sum()
+        assert got[k] == pytest.approx((m, y @ b**2 / y.sum() - m * m), rel=1e-9, abs=1e-9)
+    assert got["gap"] == got["zero"] == (None, None)
+
+
 def test_exponential_mean(series):
     df, pdf = series
     got = {(r["k"], r["t"]): r["m"] for r in windows.exponential_mean(df, "x:m", "t", "k", alpha=0.3).collect()}

@@ -47,3 +47,28 @@ def test_sessions_split_at_the_gap(spark, tmp_path):
     stream = st.follow(spark, path, df.schema, "parquet")
     got = st.run_available(st.sessions(stream, "ts", 600, {"n": F.count(F.lit(1))}), str(tmp_path / "out"), "complete")
     assert sorted(r["n"] for r in got.collect()) == [1, 2]
+
+
+def test_late_rows_change_their_stop_and_state_empties(spark, tmp_path):
+    """A row late by less than the watermark is put in order; one that is later is dropped; idle keys are forgotten."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from millrace.streaming import core
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda minute: start + dt.timedelta(minutes=minute)
+    parts = [[("a", m) for m in (0, 10, 40, 50)] + [("b", 5)], [("a", 20), ("a", 30), ("a", 60)], [("a", 1)], [("b", 200)], [("c", 100_000)]]
+    folder = str(tmp_path / "in")
+    progress = []
+    for i, part in enumerate(parts):
+        spark.createDataFrame([(k, at(m)) for k, m in part], "k string, ts timestamp").write.parquet(f"{folder}/p{i}")
+        stream = core.follow(spark, f"{folder}/*", spark.read.parquet(f"{folder}/*").schema, "parquet")
+        stops = core.dynamic_stops(stream, "ts", 2.0, "k", late="45 minutes", idle_seconds=3600)
+        query = stops.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    got = sorted((r["k"], int((r["ts"] - start).total_seconds() // 60), r["stop_ends"]) for r in spark.read.parquet(str(tmp_path / "out")).where(F.col("k") != "c").collect())
+    assert got == [("a", m, 0) for m in (0, 10, 20, 30, 40, 50, 60)] + [("b", 5, 0), ("b", 200, 0)]  # without 20 and 30, 40 would end a stop
+    assert progress[-1] == 1  # only the key that waits for the watermark
