@@ -45,26 +45,31 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def _donors(bins: int) -> np.ndarray:
-    """The bins that an empty bin asks, in order; the same in every set."""
-    seeds = np.arange(bins * _ATTEMPTS, dtype=np.uint64).reshape(bins, _ATTEMPTS)
+def _donors(bins: int, which: np.ndarray | None = None, first: int = 0) -> np.ndarray:
+    """The bins that each empty bin asks, in order, from its ``first`` question on; the same in every set."""
+    which = np.arange(bins) if which is None else which
+    seeds = (which.astype(np.uint64)[:, None] << np.uint64(32)) + np.arange(first, first + _ATTEMPTS, dtype=np.uint64)
     return (mix(seeds * _STEP + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
 
 
 def signature(shingles: np.ndarray, bins: int, donors: np.ndarray) -> np.ndarray:
-    """The smallest hash in each bin of the hash range; an empty bin takes the value of the first full bin it asks."""
+    """The smallest hash in each bin of the hash range; an empty bin takes the value of the first full bin it asks.
+
+    It asks until it meets one, so the donor depends on which bins are full and not on how many are.
+    """
     own = (((shingles >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
     full, first = np.unique(own, return_index=True)
     out, has = np.zeros(bins, np.uint64), np.zeros(bins, bool)
     out[full], has[full] = shingles[first], True
-    empty = np.flatnonzero(~has)
-    if len(empty):
-        found = has[donors[empty]]
-        at = donors[empty, found.argmax(1)]
-        lost = ~found.any(1)
-        if lost.any():  # none of the drawn bins is full: one more draw, straight from the full ones
-            at[lost] = full[(mix(empty[lost].astype(np.uint64) * _STEP + np.uint64(2)) % np.uint64(len(full))).astype(np.int64)]
-        out[empty] = out[at]
+    empty, asked = np.flatnonzero(~has), 0
+    if len(full) == 1:
+        out[:], empty = shingles[0], empty[:0]
+    while len(empty):
+        ask = donors[empty] if not asked else _donors(bins, empty, asked)
+        found = has[ask]
+        met = found.any(1)
+        out[empty[met]] = out[ask[met, found[met].argmax(1)]]
+        empty, asked = empty[~met], asked + _ATTEMPTS
     return out
 
 
@@ -115,10 +120,21 @@ def _confirmed(sets: DataFrame, edges: DataFrame, percent: int, per_salt: int =
     return right.join(left, ["a", "salt"]).select("a", "b", (100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).alias("linked"))
 
 
+def _dealt(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """Join rows that have an ``id`` with the one row of their key, whose column ``count`` says how many rows the key
+    has. Keys with more than a 2000th of all rows are divided by a salt; there are at most 2000 of them."""
+    right = cut_lineage(right)
+    limit = max((right.agg(F.sum(count)).first()[0] or 0) // 2000, 256)
+    salts = F.ceil(F.col(count) / limit).cast("long")
+    hot = F.broadcast(right.where(F.col(count) > limit).select(key, salts.alias("salts")))
+    salted = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
+    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))), [key, "salt"], how).drop("salt")
+
+
 def _stars(members: DataFrame) -> DataFrame:
     """Members of each bucket beside its smallest one, the centre; buckets of one are gone."""
-    centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    return members.join(centres, "key").where("id <> centre")
+    centres = members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("held")).where("centre < last").drop("last")
+    return _dealt(members, centres, "key", "held").where("id <> centre").select("key", "id", "band", "centre")
 
 
 def _apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -141,8 +157,9 @@ def _hubs(members: DataFrame, links: DataFrame) -> DataFrame:
     """Edges (a, b) from the member of each bucket that has most links, a, to the others. An original is linked to many
     of its copies, whatever its doc_id, while copies may be linked to nothing else."""
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    best = members.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("best"))
-    return members.join(best, "key").select((-F.col("best.minus")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    best = members.join(degree, "id", "left").groupBy("key").agg(F.max(F.when(F.col("degree").isNotNull(), F.struct("degree", (-F.col("id")).alias("minus")))).alias("best"), F.count("*").alias("held"))
+    best = best.where("best IS NOT NULL").select("key", (-F.col("best.minus")).alias("hub"), "held")
+    return _dealt(members, best, "key", "held").select(F.col("hub").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
 
 
 def _untried(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -164,12 +181,12 @@ def _exact_candidates(sets: DataFrame, ids: DataFrame, percent: int, per_salt: i
     each = sets.join(ids, "id").select("id", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "shingle")  # one document's set
-    ranked = each.join(often, "shingle", "left").withColumn("r", F.row_number().over(order).cast("long"))
+    ranked = _dealt(each, often, "shingle", "often", "left").withColumn("r", F.row_number().over(order).cast("long"))
     prefix = cut_lineage(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull()).select("id", "label", "n", "r", "shingle"))
     short = F.col("r") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    met = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(short).alias("shorts"))
-    met = met.where("low < high AND shorts > 0").select("shingle", F.ceil(F.col("shorts") / per_salt).alias("salts"))
-    found = prefix.join(met, "shingle")
+    met = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(short).alias("shorts"), F.count("*").alias("held"))
+    met = met.where("low < high AND shorts > 0").select("shingle", F.ceil(F.col("shorts") / per_salt).alias("salts_x"), "held")
+    found = _dealt(prefix, met, "shingle", "held").withColumnRenamed("salts_x", "salts")
     x = found.where(short).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("shingle", "salt", *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "n", "r")))
     y = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shingle", "salt", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "n", "r")))
     sizes = F.col("n_x") + F.col("n_y")
@@ -178,19 +195,20 @@ def _exact_candidates(sets: DataFrame, ids: DataFrame, percent: int, per_salt: i
     return x.join(y, ["shingle", "salt"]).where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
-def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent: int, first: int = 8) -> DataFrame:
+def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent: int, exact: int | None = 40, first: int = 8) -> DataFrame:
     """id, label: the components of the class representatives that have a confirmed link.
 
     The stars of the first bands join most of each group. After that only candidates between different components are
     worth confirming, so a large group of near copies costs a few candidates per member, not one per band. Members of a
     bucket in several components are also compared with the one among them that has most links. Among the members of
-    buckets that are in several components even then, linked or not, a prefix-filtered join on their full sets finds
-    every link that is missing.
+    buckets that are in several components even then, linked or not, and among all sets of up to ``exact`` shingles and
+    what can be similar to them, a prefix-filtered join on their full sets finds every link that is missing.
     """
-    classes = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
+    classes = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
+    small = classes.where("true" if exact is None else f"100 * {exact} >= {percent} * n").select("id")
     members = sketches.join(classes, (F.col("doc_id") == F.col("id")) & (sketches["set_a"] == classes["set_a"]) & (sketches["set_b"] == classes["set_b"]))
     stars = cut_lineage(_stars(members.select("id", F.posexplode("bands").alias("band", "key"))))
-    ids = stars.select("id").unionByName(stars.select(F.col("centre").alias("id"))).distinct()
+    ids = stars.select("id").unionByName(stars.select(F.col("centre").alias("id"))).unionByName(small).distinct()
     sets = cut_lineage(_full_sets(docs, ids, words).dropDuplicates(["id"]))
     pairs = lambda s: s.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     early = cut_lineage(_confirmed(sets, pairs(stars.where(F.col("band") < first)), percent))
@@ -199,30 +217,42 @@ def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent:
     tried = _apart(pairs(stars).unionByName(_hubs(torn, early.where("linked"))), labels)
     known = early.unionByName(cut_lineage(_confirmed(sets, cut_lineage(_untried(tried, early)), percent)))
     labels = components(known.where("linked").select("a", "b"))
-    left = _undecided(stars, labels).select("id").distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    left = _undecided(stars, labels).select("id").unionByName(small).distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     last = cut_lineage(_untried(_exact_candidates(sets, cut_lineage(left), percent), known))
     known = known.unionByName(cut_lineage(_confirmed(sets, last, percent)))
     return components(known.where("linked").select("a", "b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, share: int = 2000) -> DataFrame:
     """id, label: the smallest id that each id reaches. Labels spread over the edges, then jump to their label's label;
-    they only fall, so they are final when their sum stays."""
+    they only fall, so they are final when their sum stays.
+
+    Centres of stars and large components would each be one join key with many rows. Ids with more than one edge in
+    ``share`` and labels of more than one id in ``share`` are at most that many, and take part by broadcast.
+    """
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
-    total = None
+    labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("edges")))
+    limit = max((labels.agg(F.sum("edges")).first()[0] or 0) // share, 256)
+    hubs = cut_lineage(labels.where(F.col("edges") > limit).select("id"))
+    to_hub = both.join(F.broadcast(hubs), both["b"] == hubs["id"], "left_semi")
+    others = both.join(F.broadcast(hubs), both["b"] == hubs["id"], "left_anti")
+    labels, total = labels.select("id", "label"), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", "near").alias("label"))
+        seen = to_hub.join(F.broadcast(labels.join(F.broadcast(hubs), "id", "left_semi")), F.col("b") == F.col("id")).select("a", "label")
+        near = seen.unionByName(others.join(labels, F.col("b") == F.col("id")).select("a", "label")).groupBy("a").agg(F.min("label").alias("near"))
+        spread = cut_lineage(labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", "near").alias("label")))
+        large = spread.groupBy(F.col("label").alias("via")).agg(F.count("*").alias("ids")).where(F.col("ids") > limit).select("via")
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        labels = cut_lineage(spread.join(jump, F.col("label") == F.col("via"), "left").select("id", F.least("label", "far").alias("label")))
+        soon = spread.join(F.broadcast(jump.join(F.broadcast(large), "via").select("via", F.col("far").alias("soon"))), F.col("label") == F.col("via"), "left").drop("via")
+        soon = soon.withColumn("ask", F.when(F.col("soon").isNull(), F.col("label")).otherwise(F.col("id")))  # those that have an answer ask for themselves
+        labels = cut_lineage(soon.join(jump, F.col("ask") == F.col("via"), "left").select("id", F.least("label", F.coalesce("soon", "far")).alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels
         total = now
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, exact: int | None = 40) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row per row of ``docs`` (columns doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space. Two documents are linked when their shingle
@@ -230,11 +260,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     row that has it. Null, empty and word-less texts have no shingles and stand alone. Rows without doc_id stand alone
     too: component_id null, kept. Repeated doc_ids are one document with several texts. A pair of similarity s meets in
     some bucket with probability 1 - (1 - s**rows)**bands: over 0.99999 at 0.8. Components lose no link between
-    documents that meet.
+    documents that meet. Sets of up to ``exact`` shingles are also joined exactly, so they lose no link at all; None
+    joins all sets so, at the cost of a prefix of every set.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut_lineage(_sketches(docs, words, bands, rows))
-    linked = linked_components(docs, sketches, words, percent)
+    linked = linked_components(docs, sketches, words, percent, exact)
     whole = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_a", "set_b")
     classes = whole.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
     named = cut_lineage(classes.join(linked, "id", "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("label", "id").alias("component_id")))
