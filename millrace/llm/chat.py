@@ -49,24 +49,30 @@ def paths(messages: DataFrame) -> DataFrame:
     """tree_id, leaf, message_id, up: all messages on the way from each leaf to its root; ``up`` is 0 at the leaf.
 
     Input: tree_id, message_id, parent_id (null at a root), unique by tree and message. A parent that does not exist
-    makes its child a root. Replies in a circle have no leaf and give no path.
+    makes its child a root. Replies in a circle have no leaf and give no path, and neither does a leaf whose way ends in
+    a circle: it has no root. Jumps of one, two, four ... messages are found first; a message that can still jump as far
+    as its tree has messages stands in or below a circle.
     """
     links = messages.select("tree_id", "message_id", "parent_id")
     known = links.select("tree_id", F.col("message_id").alias("p"))
     real = cut_lineage(links.where("parent_id IS NOT NULL").join(known.withColumnRenamed("tree_id", "t"), F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("p")), "left_semi"))
     parents = real.select(F.col("tree_id").alias("t"), F.col("parent_id").alias("p")).distinct()
     leaves = links.join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("p")), "left_anti")
+    longest = links.groupBy("tree_id").count().agg(F.max("count")).first()[0] or 0
+    jumps = [real.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("parent_id").alias("far"))]
+    while not jumps[-1].isEmpty():
+        if 1 << (len(jumps) - 1) >= longest:
+            lost = jumps.pop().select("t", "m")
+            leaves = leaves.join(lost, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")), "left_anti")
+            break
+        there = jumps[-1].select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("far").alias("further"))
+        jumps.append(cut_lineage(jumps[-1].join(there, F.col("t").eqNullSafe(F.col("t2")) & (F.col("far") == F.col("m2"))).select("t", "m", F.col("further").alias("far"))))
     held = cut_lineage(leaves.select("tree_id", F.col("message_id").alias("leaf"), "message_id", F.lit(0).cast("long").alias("up")))
-    jump, reach = real.select(F.col("tree_id").alias("t"), F.col("message_id").alias("m"), F.col("parent_id").alias("far")), 1
-    while True:
+    for k, jump in enumerate(jumps):
         step = held.join(jump, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")))
-        more = cut_lineage(step.select("tree_id", "leaf", F.col("far").alias("message_id"), (F.col("up") + reach).alias("up")))
-        if more.isEmpty():
-            return held
+        more = step.select("tree_id", "leaf", F.col("far").alias("message_id"), (F.col("up") + (1 << k)).alias("up"))
         held = cut_lineage(held.unionByName(more))
-        there = jump.select(F.col("t").alias("t2"), F.col("m").alias("m2"), F.col("far").alias("further"))
-        jump = cut_lineage(jump.join(there, F.col("t").eqNullSafe(F.col("t2")) & (F.col("far") == F.col("m2"))).select("t", "m", F.col("further").alias("far")))
-        reach *= 2
+    return held
 
 
 def conversations(messages: DataFrame, best: int | None = 1, train_role: str = "assistant") -> DataFrame:
@@ -77,15 +83,15 @@ def conversations(messages: DataFrame, best: int | None = 1, train_role: str = "
     roles are empty. The loss covers the text of ``train_role`` turns as written, without role and control strings.
     """
     lines = paths(messages).join(messages.select("tree_id", "message_id", "role", "text", "score").withColumnRenamed("tree_id", "t").withColumnRenamed("message_id", "m"), F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("message_id") == F.col("m")))
-    if best is None:
-        scored = lines
-        ranks = None
-    else:
-        branches = lines.groupBy("tree_id", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
-        top = branches.groupBy("tree_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("k"), F.col("leaf").alias("l")))), 1, best).alias("top")) if best > 1 else branches.groupBy("tree_id").agg(F.array(F.min(F.struct((-F.col("total")).alias("k"), F.col("leaf").alias("l")))).alias("top"))
-        ranks = top.select(F.col("tree_id").alias("t1"), F.posexplode("top").alias("rank", "who")).select("t1", "rank", F.col("who.l").alias("l1"))
-        scored = lines.join(ranks, F.col("tree_id").eqNullSafe(F.col("t1")) & (F.col("leaf") == F.col("l1")))
-    rank = (F.col("rank") + 1).cast("int") if ranks is not None else F.lit(None).cast("int")
+    branches = lines.groupBy("tree_id", "leaf").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
+    if best == 1:
+        ranks = branches.groupBy("tree_id").agg(F.min(F.struct((-F.col("total")).alias("k"), F.col("leaf").alias("l"))).alias("who")).select("tree_id", F.col("who.l").alias("leaf"), F.lit(1).alias("rank"))
+    else:  # a limit on the rank already holds before the shuffle
+        ranks = branches.withColumn("rank", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("total"), "leaf")))
+        ranks = (ranks if best is None else ranks.where(F.col("rank") <= best)).select("tree_id", "leaf", "rank")
+    ranks = ranks.toDF("t1", "l1", "rank")
+    scored = lines.join(ranks, F.col("tree_id").eqNullSafe(F.col("t1")) & (F.col("leaf") == F.col("l1")))
+    rank = F.col("rank").cast("int")
     whole = scored.select("tree_id", "leaf", rank.alias("rank"), F.struct((-F.col("up")).alias("k"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), F.col("role").eqNullSafe(F.lit(train_role)).alias("loss"), F.coalesce("score", F.lit(0.0)).alias("score")).alias("turn"))
     whole = whole.groupBy("tree_id", "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     head = lambda t: F.length(F.lit(START)) + F.length(t["role"]) + 1
