@@ -100,15 +100,14 @@ def _scaled(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def vote(vectors: np.ndarray, ids: np.ndarray, labelled: np.ndarray, labelled_ids: np.ndarray, labels: np.ndarray, k: int, power: float, block: int = 256) -> np.ndarray:
-    """Similarity-weighted share of label 1 among each vector's k nearest labelled vectors, its own label left out."""
+def vote(vectors: np.ndarray, labelled: np.ndarray, labels: np.ndarray, k: int, power: float, block: int = 256) -> np.ndarray:
+    """Similarity-weighted share of label 1 among each vector's k nearest labelled vectors."""
     out = np.full(len(vectors), labels.mean() if len(labels) else 0.5)
     if not len(labels):
         return out
     k = min(k, len(labels))
     for lo in range(0, len(vectors), block):
         sims = vectors[lo:lo + block] @ labelled.T
-        sims[ids[lo:lo + block, None] == labelled_ids[None, :]] = -2
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) ** power
         mass = weight.sum(1)
@@ -120,15 +119,15 @@ def vote(vectors: np.ndarray, ids: np.ndarray, labelled: np.ndarray, labelled_id
 class Model:
     """Inverse document frequencies, the latent projection, and the labelled vectors. A few MB, whatever the corpus."""
 
-    def __init__(self, idf: np.ndarray, axes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, power: float):
-        self.idf, self.axes, self.ids, self.vectors, self.labels, self.k, self.power = idf, axes, ids, vectors, labels, k, power
+    def __init__(self, idf: np.ndarray, axes: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int, power: float):
+        self.idf, self.axes, self.vectors, self.labels, self.k, self.power = idf, axes, vectors, labels, k, power
 
     def project(self, texts: list[bytes]) -> np.ndarray:
         x = _scaled(features(texts), self.idf) @ self.axes
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-    def score(self, texts: list[bytes], ids: np.ndarray) -> np.ndarray:
-        return np.clip(vote(self.project(texts), ids, self.vectors, self.ids, self.labels, self.k, self.power), 0, 1)
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        return np.clip(vote(self.project(texts), self.vectors, self.labels, self.k, self.power), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", most: int = 5000, axes: int = 48, k: int = 15, power: float = 4.0) -> Model:
@@ -157,14 +156,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     rows.sort(key=lambda r: r["doc_id"])
     x = np.stack([np.frombuffer(r["vector"], np.float32) for r in rows]) if rows else np.zeros((0, space.shape[1]), np.float32)
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    return Model(idf, space, np.array([r["doc_id"] for r in rows], np.int64), x, np.array([float(r["label"]) for r in rows]), k, power)
+    return Model(idf, space, x, np.array([float(r["label"]) for r in rows]), k, power)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold, else 0); needs doc_id and text.
+    """The rows with ``score`` (0 to 1) and ``predicted`` (1 if score >= threshold, else 0); needs text.
 
-    Null and empty texts are scored by their constant feature, like very short texts. A row without doc_id is scored
-    like any other. Input columns named score or predicted are replaced. Without any label every score is 0.5.
+    The text alone decides: equal texts get equal scores, whatever their ids. Null and empty texts are scored by their
+    constant feature, like very short texts. Input columns named score or predicted are replaced. Without any label every score is 0.5.
     """
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*(f"`{c}`" for c in keep)).schema.add("score", "double").add("predicted", "integer")
@@ -172,8 +171,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
-            ids = np.array([-1 if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
-            score = held.value.score(texts, ids)
+            score = held.value.score(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     return docs.mapInArrow(run, schema)
