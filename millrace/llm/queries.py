@@ -30,7 +30,7 @@ def remainder(doc_id: Column) -> Column:
 
 def op1_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
-    return lm_scoring.score(docs, lm_scoring.fit(docs)).drop("text")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
 
 
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
