@@ -153,9 +153,12 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: tuple[
                 words = normal(text)
                 counts.append(max(words.count(" ") - 1, 0) if words.strip(" ") else 0)
                 exact, near = scanner.scan(words)
-                word = lambda at: words.count(" ", 0, at) - 1  # noqa: B023, E731
-                places.append([{"word": word(at), "phrase": p} for at, p in exact])
-                spans.append([{"start_word": word(a), "end_word": word(b), "start": a - 1, "end": b - 1, "label": label, "edits": e} for a, b, label, e in near])
+                word, last, n = {}, 0, -1  # the words before each place, counted once along the text
+                for at in sorted({*(at for at, _ in exact), *(x for a, b, _, _ in near for x in (a, b))}):
+                    n += words.count(" ", last, at)
+                    word[at], last = n, at
+                places.append([{"word": word[at], "phrase": p} for at, p in exact])
+                spans.append([{"start_word": word[a], "end_word": word[b], "start": a - 1, "end": b - 1, "label": label, "edits": e} for a, b, label, e in near])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(places, to_place), pa.array(spans, to_span)], [*keep, *made])
 
     return docs.mapInArrow(run, schema)

@@ -107,36 +107,71 @@ def test_encoder_gives_the_librarys_ids(name, space):
         assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes(), repr(text)
 
 
+def thue_morse(bits, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(1 << bits))
+
+
+@pytest.mark.parametrize("bits", range(3, 15))
+def test_words_of_equal_length_have_hashes_of_their_own(bits):
+    words = [thue_morse(bits, *x) for x in ("ab", "ba", "ac")]
+    hashes = Texts([" ".join(words).encode()], SPACED).hashes()
+    assert len(set(hashes.tolist())) == 3
+    lines = quality_rules.measure(["\n".join(w.replace("a", "a ") for w in words).encode()], (5,))
+    assert lines["n_dup_lines"].tolist() == [0]
+    x, y = (near_dedup.shingle_sets([f"one {w} two three four".encode()], 4)[0] for w in words[:2])
+    assert not set(x.tolist()) & set(y.tolist()) - set(near_dedup.shingle_sets([b"two three four"], 4)[0].tolist())
+
+
 # --- op1
 
 
 def test_lm_scores_are_sums_of_conditional_log_probabilities(spark, docs):
-    model = lm_scoring.fit(docs, vocabulary=30, classes=20)
+    model = lm_scoring.fit(docs, vocabulary=30, own=12, tails=6)
+    net = model.network
     got = {r["doc_id"]: r for r in lm_scoring.score(docs, model).collect()}
-    table, out, bias = model.weights
+    table, out, bias = net.weights
+    counts = Counter(w.encode() for _, text in corpus() for w in plain(text))
+    assert {bytes(r["word"]): r["n"] for r in model.counts.collect()} == counts
+    own = [w for w, i in net.ids.items() if i < 12]
+    assert sorted((counts[w] for w in own), reverse=True) == sorted(counts.values(), reverse=True)[:12]
+    of = lambda w: net.ids[w] if w in own else 12 + zlib.crc32(w[-3:]) % 6
+    mass = Counter()
+    for w, n in counts.items():
+        mass[of(w)] += n
     for i, text in corpus():
         words = [w.encode() for w in plain(text)]
-        ids = [model.edge] * 2 + [model.ids.get(w, model.rare) for w in words] + [model.edge] * 2
+        ids = [net.edge] * 2 + [net.ids.get(w, 30 + zlib.crc32(w[-3:]) % 6) for w in words] + [net.edge] * 2
         total = 0.0
-        for at in range(2, len(ids) - 2):
+        for at, w in enumerate(words, 2):
             hidden = np.tanh(sum(table[k][ids[at + o]].astype(float) for k, o in enumerate((-2, -1, 1, 2))))
             logits = hidden @ out.astype(float) + bias
             logits -= np.log(np.exp(logits - logits.max()).sum()) + logits.max()
-            total += logits[model.classes[ids[at]]] + model.inside[ids[at]]
+            total += logits[of(w)] + np.log(counts[w] / mass[of(w)])
         assert got[i]["n_tokens"] == len(words)
         assert got[i]["log_likelihood"] == pytest.approx(total, rel=1e-3, abs=1e-3)
         assert (got[i]["per_token"] is None) == (not words)
 
 
 def test_lm_gradient_and_distribution():
-    model = lm_scoring.Network([b"a", b"b", b"c", b"d"], [9, 5, 3, 2], (4, 3), 6, 1, 3)
-    mass = np.bincount(model.classes, np.exp(model.inside) * np.array([1, 1, 1, 1, 3]), model.n_classes)
-    assert np.allclose(mass, 1)  # the words of each class share its probability
-    ids = np.array([5, 0, 1, 2, 0, 3, 4, 5], np.int32)
+    words, counts = [b"a", b"b", b"c", b"d"], {b"a": 9, b"b": 5, b"c": 3, b"d": 2, b"e": 1, b"f": 2}
+    tails = [0, 0, 0]
+    for w, n in counts.items():
+        tails[zlib.crc32(w) % 3] += n
+    model = lm_scoring.Network(words, [9, 5, 3, 2], 2, tails, 1, 3)
+    mass = Counter()
+    for w, n in counts.items():
+        token = model.ids.get(w, 4 + model.ending(w))
+        mass[model.classes[token]] += np.exp(model.inside[token]) * (1 if w in model.ids else n)
+    assert all(np.isclose(m, 1) for m in mass.values())  # the words of each class share its probability
+    ids = np.array([7, 0, 1, 2, 0, 3, 4, 7], np.int32)
     at = np.arange(1, 7)
     sides, target = model.context(ids, at), model.classes[ids[at]]
     before = [w.copy() for w in model.weights]
-    loss = lambda: -np.mean([model.forward(sides)[1][i, t] for i, t in enumerate(target)])
+
+    def loss():
+        _, logits, _, mass = model.forward(sides)
+        return float(np.mean(np.log(mass) - logits[np.arange(6), target]))
+
     eps, numeric = 1e-2, np.zeros_like(before[1])
     for i, j in np.ndindex(*before[1].shape):
         model.weights[1][i, j] += eps
@@ -144,19 +179,33 @@ def test_lm_gradient_and_distribution():
         model.weights[1][i, j] -= 2 * eps
         numeric[i, j] = (up - loss()) / (2 * eps)
         model.weights[1][i, j] += eps
-    model.step(sides, target, 1.0)
+    want = loss()
+    assert model.step(sides, target, 1.0) / 6 == pytest.approx(want, rel=1e-4)
     assert np.allclose(before[1] - model.weights[1], numeric, atol=2e-3)
 
 
 def test_lm_learns_from_both_sides(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(x for _ in range(60) for x in rng.choice((("left", "mid", "right"), ("links", "mitte", "rechts"))))) for i in range(60)]
-    model = lm_scoring.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), vocabulary=10, classes=20, rounds=3)
+    model = lm_scoring.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), vocabulary=10, own=10, tails=4, rounds=9)
+    assert 2 <= len(model.loss) <= 9 and model.loss[-1] < model.loss[0]
     good, bad = [(1, "left mid right links mitte rechts"), (2, "left mitte right links mid rechts")]
     got = {r["doc_id"]: r["per_token"] for r in lm_scoring.score(spark.createDataFrame([good, bad], "doc_id long, text string"), model).collect()}
     assert got[1] > got[2] + 0.2
 
 
+def test_lm_grows_with_the_corpus_and_beats_a_unigram(spark):
+    small, large = lm_scoring.sizes(10**7), lm_scoring.sizes(10**9)
+    assert all(b > 1.9 * a for a, b in zip(small[:2], large)) and large[2] > small[2]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lm_scoring.fit(docs)
+    counts = {bytes(r["word"]): r["n"] for r in model.counts.collect()}
+    tokens = sum(counts.values())
+    unigram = sum(n * np.log(n / tokens) for n in counts.values()) / tokens
+    got = lm_scoring.score(docs, model).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first()
+    assert got[1] == tokens and got[0] / got[1] > unigram + 0.03
+
+
 # --- op2
 
 
@@ -278,14 +327,32 @@ def test_vote_is_exact():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(40, 6)).astype(np.float32), rng.normal(size=(25, 6)).astype(np.float32)
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    labels, ids, known = rng.integers(0, 2, 25).astype(float), np.arange(40), np.arange(10, 35)
-    got = quality_classifier.vote(x, ids, y, known, labels, 5, 2.0, block=7)
+    labels = rng.integers(0, 2, 25).astype(float)
+    got = quality_classifier.vote(x, y, labels, 5, 2.0, block=7)
     for i in range(40):
-        near = sorted(((float(x[i] @ y[j]), j) for j in range(25) if known[j] != i), reverse=True)[:5]
+        near = sorted(((float(x[i] @ y[j]), j) for j in range(25)), reverse=True)[:5]
         mass = sum(max(s, 0) ** 2 for s, _ in near)
         assert got[i] == pytest.approx(sum(max(s, 0) ** 2 * labels[j] for s, j in near) / mass, abs=1e-5)
 
 
+def test_classifier_reads_no_ids(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = quality_classifier.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"), F.lit(True))
+    scores = lambda ids: sorted((r["text"], r["score"]) for r in quality_classifier.classify(docs.withColumn("doc_id", ids), model).collect())
+    assert scores(F.col("doc_id")) == scores(F.col("doc_id") + 1000) == scores(F.lit(None).cast("long"))
+
+
+def test_latent_space_is_the_singular_value_decomposition(spark, docs):
+    labels = spark.createDataFrame([(12, 1), (13, 0)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, F.lit(True), axes=6)
+    x = quality_classifier.features([(t or "").encode() for _, t in corpus()])
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    assert model.idf == pytest.approx(idf)
+    _, _, right = np.linalg.svd(quality_classifier._scaled(x, idf).astype(float), full_matrices=False)
+    assert np.abs(right[:6] @ model.axes) == pytest.approx(np.eye(6), abs=1e-3)
+
+
 def test_classifier_without_labels(spark, docs):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     model = quality_classifier.fit(docs, none, F.lit(True))
@@ -347,6 +414,33 @@ def test_rollup_is_idempotent_and_signed(spark, tmp_path):
         r.apply("../x", rows)
 
 
+def test_no_batch_id_meets_a_compacted_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "t1", 5)], "source string, lang string, tokenizer string, n_tokens long")
+    r = token_rollup.Rollup(spark, str(tmp_path / "names"))
+    for i, name in enumerate(("compact-1", "x", "packed-2", "batch-y", "compact-2")):
+        assert r.apply(name, token_rollup.inserts(rows))
+        assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t1", i + 1, 5 * (i + 1))]
+        assert not i or r.compact()
+        assert not r.apply(name, token_rollup.inserts(rows))
+    other = token_rollup.Rollup(spark, str(tmp_path / "names"))
+    places, names = other._live()
+    assert len(names) == 5
+    for _ in range(2):  # two runs that compact the same batches at the same time
+        held = other._read([other._named(n) for n in names]).groupBy(*token_rollup.GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        other._put(f"{other.folder}/packed-{random.random()}", held.withColumn("batches", F.array(*map(F.lit, names))))
+    assert [tuple(x) for x in other.totals().collect()] == [("a", "en", "t1", 5, 25)]
+
+
+def test_a_second_writer_of_one_batch_is_refused(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", "en", "t1", 5)], "source string, lang string, tokenizer string, n_tokens long")
+    r = token_rollup.Rollup(spark, str(tmp_path / "two"))
+    assert r.apply("one", token_rollup.inserts(rows))
+    monkeypatch.setattr(r, "committed", list)  # as if the other had committed after the look
+    assert not r.apply("one", token_rollup.inserts(rows))
+    monkeypatch.undo()
+    assert [tuple(x) for x in r.totals().collect()] == [("a", "en", "t1", 1, 5)]
+
+
 def test_counts(spark, docs):
     got = token_rollup.count_ids(docs.withColumns({"w": token_rollup.count_words(F.col("text")), "b": token_rollup.count_bytes(F.col("text"))}), public_tokenizers.path("word_bpe_49k.json"), False).collect()
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -468,6 +562,46 @@ def test_densified_signatures_estimate_similarity():
         assert np.mean(same) == pytest.approx(shared / (2 * n - shared), abs=0.06)
 
 
+def test_empty_bins_ask_until_they_meet_a_full_one():
+    """Agreement per bin is the similarity, however few bins are full."""
+    rng, donors = np.random.default_rng(6), near_dedup._donors(240)
+    for n, m in ((4, 5), (8, 10)):
+        same = []
+        for _ in range(400):
+            all_ = np.sort(rng.integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2))
+            few = np.sort(rng.permutation(all_)[:n])
+            same.append((near_dedup.signature(all_, 240, donors) == near_dedup.signature(few, 240, donors)).mean())
+        assert np.mean(same) == pytest.approx(0.8, abs=0.04)
+
+
+@pytest.mark.parametrize("pairs", [300])
+def test_no_link_between_short_texts_is_lost(spark, pairs):
+    rows, want = [], {}
+    for n, m in ((4, 5), (8, 10), (12, 15), (40, 50)):
+        for k in range(pairs):
+            words = [f"w{n}x{k}x{i}" for i in range(m + 3)]
+            i = len(rows)
+            rows += [(i, " ".join(words)), (i + 1, " ".join(words[:n + 3]))]
+            want |= {i: i, i + 1: i}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_exact_join_over_all_sets(spark):
+    """Without any band the exact join alone finds the links."""
+    rows = family(30, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, words=4).collect()}
+    got = near_dedup.near_duplicates(docs, words=4, bands=1, rows=30, exact=None).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) == 30
+
+
+def test_components_with_hubs_and_large_labels(spark):
+    edges = [(1, k) for k in range(2, 900)] + [(5000, k) for k in range(1000, 1600)] + [(1599, 1700), (1700, 1800), (-4, 1800)]
+    got = {r["id"]: r["label"] for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 900)} | {k: -4 for k in (*range(1000, 1600), 5000, 1700, 1800, -4)}
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (100, 102)], "a long, b long")
     got = {r["id"]: r["label"] for r in near_dedup.components(edges).collect()}
@@ -499,9 +633,19 @@ def test_branches_are_ranked(spark):
     got = {(r["tree_id"], r["leaf"]): (r["rank"], r["n_turns"], r["score"]) for r in chat.conversations(messages, best=2).collect()}
     assert got == {(1, 4): (1, 3, 6.0), (1, 5): (2, 3, 2.0), (2, 1): (1, 1, 1.0)}
     assert {(r["tree_id"], r["leaf"]) for r in chat.conversations(messages).collect()} == {(1, 4), (2, 1)}
+    assert {(r["leaf"], r["rank"]) for r in chat.conversations(messages, best=None).where("tree_id = 1").collect()} == {(4, 1), (5, 2)}
     assert chat.conversations(messages, best=None).count() == 3
 
 
+def test_a_leaf_on_a_circle_gives_no_path(spark):
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 1), (1, 4, 3), (1, 5, None), (1, 6, 5), (1, 7, 6), (None, 1, 1), (None, 2, 1), (None, 3, None)]
+    messages = spark.createDataFrame(rows, "tree_id long, message_id long, parent_id long")
+    got = {(r["tree_id"], r["leaf"], r["message_id"], r["up"]) for r in chat.paths(messages).collect()}
+    assert got == {(1, 7, 7, 0), (1, 7, 6, 1), (1, 7, 5, 2), (None, 3, 3, 0)}
+    chain = spark.createDataFrame([(1, i, i - 1 or None) for i in range(1, 38)], "tree_id long, message_id long, parent_id long")
+    assert sorted(r["up"] for r in chat.paths(chain).collect()) == list(range(37))
+
+
 # --- all: clashing columns, null ids, repeated rows, empty tables
 
 
@@ -510,11 +654,13 @@ def test_every_operator_takes_clashing_columns_and_empty_tables(spark, clashing,
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     for docs in (clashing, empty):
         n = docs.count()
-        assert lm_scoring.score(docs, lm_scoring.fit(docs)).count() == n
+        scored = lm_scoring.score(docs, lm_scoring.fit(docs), keep=docs.columns)
+        assert scored.count() == n and scored.columns.count("n_tokens") == 1
         assert packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))).count() == n
         assert license_scan.scan(docs).count() == n
         assert quality_rules.repetition(docs).count() == n
         assert quality_classifier.classify(docs, quality_classifier.fit(docs, labels, F.lit(True))).count() == n
+        assert decontaminate.contamination(docs.withColumn("doc_key", F.lit(1)), bench).columns.count("doc_key") == 1
         found = decontaminate.contamination(docs, bench)
         assert found.count() == n and found.where("contaminated").count() == (3 if n else 0)
         assert decontaminate.contamination(docs, bench.where("false")).where("contaminated").count() == 0
@@ -551,12 +697,17 @@ def test_sentence_pieces_are_the_librarys(spark, docs, empty):
     assert pieces.encode(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), path, end_id=False).where("size(ids) = 0").count() == 2
 
 
-def test_each_distinct_chunk_is_segmented_once(spark):
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    chunks = spark.createDataFrame([(c,) for c in ["▁a", "▁b", "▁a", "▁▁", "▁"]], "chunk string")
-    table = {r["chunk"]: r["ids"] for r in pieces.chunk_table(chunks, path).collect()}
-    model = pieces.processor(path)
-    assert len(table) == 4 and all([model.id_to_piece(i) for i in ids] == [c] for c, ids in table.items())
+def test_each_distinct_chunk_is_segmented_once():
+    import zstandard
+
+    asked = []
+    rows = [(part, zstandard.compress("\n".join(chunks).encode())) for part, chunks in ((1, ["▁a", "▁b"]), (1, ["▁b", "▁▁", "▁a"]), (2, ["c"]), (2, ["c", "▁d"]))]
+    out = list(pieces.segmented(rows, lambda chunks: asked.extend(chunks) or [[len(c), 7] for c in chunks]))
+    assert sorted(asked) == ["c", "▁a", "▁b", "▁d", "▁▁"]
+    assert [pieces._unpacked(sizes).tolist() for sizes, _ in out] == [[2, 2], [2, 2, 2], [2], [2, 2]]
+    assert [pieces._unpacked(ids).tolist() for _, ids in out] == [[2, 7, 2, 7], [2, 7, 2, 7, 2, 7], [1, 7], [1, 7, 2, 7]]
+    for values in ([], [0], [255, 256], [1 << 24, 3, (1 << 32) - 1]):
+        assert pieces._unpacked(pieces._packed(np.array(values, np.int64))).tolist() == values
 
 
 # --- op12

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import queries as Q
@@ -57,5 +58,27 @@ def test_pipeline_stages(spark, duck):
     assert all(0 <= r["offset"] and r["offset"] + r["length"] <= 1024 for r in out)
 
 
+def test_stages_leave_clashing_columns_and_repeated_rows_alone(spark, tmp_path):
+    """Columns named like results keep their values; rows alike go the same way; rows without an id are judged too."""
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{FOLDER}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60")
+    for i, name in enumerate(("n_words", "kept", "n_hit", "score", "predicted", "varied", "component_id", "contaminated", "_kept")):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + i)
+    docs = docs.unionByName(docs.where("doc_id < 20")).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    given = {tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
+        rows = [tuple(r) for r in docs.collect()]
+        assert set(rows) <= given and rows, name
+        assert all(rows.count(r) == 2 for r in rows if r[0] is not None and r[0] < 20), name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert out.where("piece = 0").count() == docs.count()
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], empty.schema), str(tmp_path)).count() == 0, name
+
+
 def test_run_applies_all_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
