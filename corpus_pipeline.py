@@ -1,7 +1,11 @@
 """A corpus from raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is all that the stage before kept. All but the
-last return the columns of documents. Between stages the rows are written to the shared folder as Parquet.
+last return the columns of documents, unchanged: an operator sees the id and the text beside the whole row, so a column
+named like one of its results keeps its values. Between stages the rows are written to the shared folder as Parquet.
+
+Rows of one doc_id and equal texts are judged alike, so all or none of them stay, and each is packed. Rows without a
+doc_id are judged by their text alone. Null texts are empty: the first stage rejects them. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -19,16 +23,20 @@ from millrace.llm.queries import remainder, rules
 from millrace.session import shared_folder
 
 
+def _beside(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(F.struct("*").alias("_row"), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of fewer than 10 words, or with too much repetition, go."""
-    return rules(docs).where("kept").select(*docs.columns)
+    return rules(_beside(docs, "text")).where("kept").select("_row.*")
 
 
 def quality_classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 go; it learns from the labels of the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit(docs, labels, remainder(F.col("doc_id")) != 0)
-    return quality_classifier.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality_classifier.classify(_beside(docs, "text"), model).where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words at least 5 % stand in benchmark windows go."""
-    return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("NOT contaminated").select(*docs.columns)
+    found = decontaminate.contamination(_beside(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("NOT contaminated").select("_row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
