@@ -16,11 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.stored import stored
 from millrace.llm.text import SPACED, Texts, mix, slices
-from millrace.session import cut_lineage
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _ATTEMPTS = 64
+#: A key with more than one row in so many is hot.
+HOT = 2000
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows as a table. A checkpoint would keep the optimizer's guess of their size, a product over all joins before;
+    after some rounds that number alone takes longer than the work."""
+    return stored(df, "near")
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -121,14 +129,16 @@ def _confirmed(sets: DataFrame, edges: DataFrame, percent: int, per_salt: int =
 
 
 def _dealt(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
-    """Join rows that have an ``id`` with the one row of their key, whose column ``count`` says how many rows the key
-    has. Keys with more than a 2000th of all rows are divided by a salt; there are at most 2000 of them."""
-    right = cut_lineage(right)
-    limit = max((right.agg(F.sum(count)).first()[0] or 0) // 2000, 256)
-    salts = F.ceil(F.col(count) / limit).cast("long")
-    hot = F.broadcast(right.where(F.col(count) > limit).select(key, salts.alias("salts")))
-    salted = left.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1).cast("long")))).drop("salts")
-    return salted.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))), [key, "salt"], how).drop("salt")
+    """Join rows with the one row of their key, whose column ``count`` says how many rows the key has. Keys with more
+    than a 2000th of all rows, so at most 2000 of them, are joined by broadcast and not shuffled."""
+    right = _kept(right)
+    limit = max((right.agg(F.sum(count)).first()[0] or 0) // HOT, 256)
+    hot = right.where(F.col(count) > limit).collect()
+    if not hot:
+        return left.join(right, key, how)
+    hot = F.broadcast(right.sparkSession.createDataFrame(hot, right.schema))
+    rest = left.join(hot.select(key), key, "left_anti").join(right, key, how)
+    return left.join(hot, key).unionByName(rest)
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -150,7 +160,7 @@ def _undecided(stars: DataFrame, labels: DataFrame) -> DataFrame:
     own, far = labels.select("id", "label"), labels.select(F.col("id").alias("centre"), F.col("label").alias("far"))
     rest = stars.join(own, "id", "left").join(far, "centre", "left").withColumn("apart", F.coalesce("label", "id") != F.coalesce("far", "centre"))
     torn = rest.groupBy("key").agg(F.min("centre").alias("centre"), F.bool_or("apart").alias("apart"), F.count("*").alias("n")).where("apart AND n > 1")
-    return cut_lineage(stars.join(torn.select("key"), "key", "left_semi").select("key", "id").unionByName(torn.select("key", F.col("centre").alias("id"))))
+    return _kept(stars.join(torn.select("key"), "key", "left_semi").select("key", "id").unionByName(torn.select("key", F.col("centre").alias("id"))))
 
 
 def _hubs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -182,11 +192,11 @@ def _exact_candidates(sets: DataFrame, ids: DataFrame, percent: int, per_salt: i
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "shingle")  # one document's set
     ranked = _dealt(each, often, "shingle", "often", "left").withColumn("r", F.row_number().over(order).cast("long"))
-    prefix = cut_lineage(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull()).select("id", "label", "n", "r", "shingle"))
+    prefix = _kept(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull()).select("id", "label", "n", "r", "shingle"))
     short = F.col("r") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
     met = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(short).alias("shorts"), F.count("*").alias("held"))
-    met = met.where("low < high AND shorts > 0").select("shingle", F.ceil(F.col("shorts") / per_salt).alias("salts_x"), "held")
-    found = _dealt(prefix, met, "shingle", "held").withColumnRenamed("salts_x", "salts")
+    met = met.where("low < high AND shorts > 0").select("shingle", F.ceil(F.col("shorts") / per_salt).alias("salts"), "held")
+    found = _dealt(prefix, met, "shingle", "held")
     x = found.where(short).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("shingle", "salt", *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "n", "r")))
     y = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shingle", "salt", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "n", "r")))
     sizes = F.col("n_x") + F.col("n_y")
@@ -207,45 +217,57 @@ def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent:
     classes = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"))
     small = classes.where("true" if exact is None else f"100 * {exact} >= {percent} * n").select("id")
     members = sketches.join(classes, (F.col("doc_id") == F.col("id")) & (sketches["set_a"] == classes["set_a"]) & (sketches["set_b"] == classes["set_b"]))
-    stars = cut_lineage(_stars(members.select("id", F.posexplode("bands").alias("band", "key"))))
+    stars = _kept(_stars(members.select("id", F.posexplode("bands").alias("band", "key"))))
     ids = stars.select("id").unionByName(stars.select(F.col("centre").alias("id"))).unionByName(small).distinct()
-    sets = cut_lineage(_full_sets(docs, ids, words).dropDuplicates(["id"]))
+    sets = _kept(_full_sets(docs, ids, words).dropDuplicates(["id"]))
     pairs = lambda s: s.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    early = cut_lineage(_confirmed(sets, pairs(stars.where(F.col("band") < first)), percent))
+    early = _kept(_confirmed(sets, pairs(stars.where(F.col("band") < first)), percent))
     labels = components(early.where("linked").select("a", "b"))
     torn = _undecided(stars, labels)
     tried = _apart(pairs(stars).unionByName(_hubs(torn, early.where("linked"))), labels)
-    known = early.unionByName(cut_lineage(_confirmed(sets, cut_lineage(_untried(tried, early)), percent)))
+    known = early.unionByName(_kept(_confirmed(sets, _kept(_untried(tried, early)), percent)))
     labels = components(known.where("linked").select("a", "b"))
     left = _undecided(stars, labels).select("id").unionByName(small).distinct().join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    last = cut_lineage(_untried(_exact_candidates(sets, cut_lineage(left), percent), known))
-    known = known.unionByName(cut_lineage(_confirmed(sets, last, percent)))
+    last = _kept(_untried(_exact_candidates(sets, _kept(left), percent), known))
+    known = known.unionByName(_kept(_confirmed(sets, last, percent)))
     return components(known.where("linked").select("a", "b"))
 
 
-def components(edges: DataFrame, share: int = 2000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, label: the smallest id that each id reaches. Labels spread over the edges, then jump to their label's label;
     they only fall, so they are final when their sum stays.
 
-    Centres of stars and large components would each be one join key with many rows. Ids with more than one edge in
-    ``share`` and labels of more than one id in ``share`` are at most that many, and take part by broadcast.
+    Centres of stars and labels of large components would each be one join key with many rows. Those with more than one
+    row in 2000 are at most that many, and take part by broadcast.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("edges")))
-    limit = max((labels.agg(F.sum("edges")).first()[0] or 0) // share, 256)
-    hubs = cut_lineage(labels.where(F.col("edges") > limit).select("id"))
-    to_hub = both.join(F.broadcast(hubs), both["b"] == hubs["id"], "left_semi")
-    others = both.join(F.broadcast(hubs), both["b"] == hubs["id"], "left_anti")
+    spark = edges.sparkSession
+    both = _kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = _kept(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("edges")))
+    size = labels.agg(F.coalesce(F.sum("edges"), F.lit(0)), F.count("*")).first()
+    limit = max(size[0] // HOT, 256)
+    hubs = labels.where(F.col("edges") > limit).select("id").collect()
+    hubs = F.broadcast(spark.createDataFrame(hubs, "id long")) if hubs else None
+    others = both.join(hubs, both["b"] == hubs["id"], "left_anti") if hubs is not None else both
+    to_hubs = both.join(hubs, both["b"] == hubs["id"], "left_semi") if hubs is not None else None
     labels, total = labels.select("id", "label"), None
     while True:
-        seen = to_hub.join(F.broadcast(labels.join(F.broadcast(hubs), "id", "left_semi")), F.col("b") == F.col("id")).select("a", "label")
-        near = seen.unionByName(others.join(labels, F.col("b") == F.col("id")).select("a", "label")).groupBy("a").agg(F.min("label").alias("near"))
-        spread = cut_lineage(labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", "near").alias("label")))
-        large = spread.groupBy(F.col("label").alias("via")).agg(F.count("*").alias("ids")).where(F.col("ids") > limit).select("via")
+        near = others.join(labels, F.col("b") == F.col("id")).select("a", "label")
+        if hubs is not None:
+            near = near.unionByName(to_hubs.join(F.broadcast(labels.join(hubs, "id")), F.col("b") == F.col("id")).select("a", "label"))
+        near = near.groupBy("a").agg(F.min("label").alias("near"))
+        spread = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        soon = spread.join(F.broadcast(jump.join(F.broadcast(large), "via").select("via", F.col("far").alias("soon"))), F.col("label") == F.col("via"), "left").drop("via")
-        soon = soon.withColumn("ask", F.when(F.col("soon").isNull(), F.col("label")).otherwise(F.col("id")))  # those that have an answer ask for themselves
-        labels = cut_lineage(soon.join(jump, F.col("ask") == F.col("via"), "left").select("id", F.least("label", F.coalesce("soon", "far")).alias("label")))
+        large, jumped = [], None
+        if size[1] > limit:
+            spread = _kept(spread)
+            large = spread.groupBy("label").count().where(F.col("count") > limit).select("label").collect()
+        if large:
+            large = F.broadcast(spark.createDataFrame(large, "via long"))
+            jumped = spread.join(F.broadcast(jump.join(large, "via")), F.col("label") == F.col("via"))
+            spread = spread.join(large, F.col("label") == F.col("via"), "left_anti")
+        out = spread.join(jump, F.col("label") == F.col("via"), "left")
+        out = out.unionByName(jumped) if jumped is not None else out
+        labels = _kept(out.select("id", F.least("label", "far").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels
@@ -264,11 +286,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     joins all sets so, at the cost of a prefix of every set.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = cut_lineage(_sketches(docs, words, bands, rows))
+    sketches = _kept(_sketches(docs, words, bands, rows))
     linked = linked_components(docs, sketches, words, percent, exact)
     whole = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_a", "set_b")
     classes = whole.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id"))
-    named = cut_lineage(classes.join(linked, "id", "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("label", "id").alias("component_id")))
+    named = _kept(classes.join(linked, "id", "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("label", "id").alias("component_id")))
     found = whole.join(named, (F.col("set_a") == F.col("a")) & (F.col("set_b") == F.col("b"))).select("doc_id", "n_shingles", "component_id")
     alone = sketches.where("bands IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
