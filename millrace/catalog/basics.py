@@ -156,7 +156,8 @@ query("mcut_x", lambda t: col.cut(t.customer, "0,2-3,0L", by_index=True), "SELEC
 query("mfldname", lambda t: col.rename(t.nation, "n_nationkey:id,n_name:name"), "SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation")
 query("mfldname_n", lambda t: col.rename(t.nation, names="a,b,c"), "SELECT n_nationkey AS a, n_name AS b, n_regionkey AS c FROM nation")
 query("msetstr", lambda t: col.set_constant(t.nation, {"kind": "land"}), "SELECT *, 'land' AS kind FROM nation")
-query("mrand", lambda t: col.random_column(t.customer, "r", seed=3))
+query("mrand", lambda t: col.random_column(t.customer, "r", seed=3, key="c_custkey"),
+      "SELECT *, ('0x' || sha256('3:' || c_custkey)[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS r FROM customer", "r", 12)
 query("mrand_k", lambda t: col.random_column(t.customer, "r", "c_nationkey", 3, 1, 100).groupBy("c_nationkey").agg(
     F.count_distinct("r").alias("values"), (F.min("r") >= 1).alias("low"), (F.max("r") <= 100).alias("high")),
       "SELECT c_nationkey, CAST(1 AS BIGINT) AS values, true AS low, true AS high FROM customer GROUP BY c_nationkey")

@@ -13,7 +13,8 @@ query("csvtohistogram", lambda t: p.histogram(t.gaps, "x", 20, "event_type"),
       f"""SELECT event_type, bin, lo + bin * (hi - lo) / 20 AS low, lo + (bin + 1) * (hi - lo) / 20 AS high, count(*) AS count FROM (
           SELECT event_type, lo, hi, least(CAST(floor((x - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS bin FROM {GAPS}, (SELECT min(x) AS lo, max(x) AS hi FROM {GAPS}) WHERE x IS NOT NULL) GROUP BY ALL""",
       "low high")
-query("csvtoscatter", lambda t: p.scatter(t.gaps, "value", "x", "event_type", 1000))
+query("csvtoscatter", lambda t: p.scatter(t.gaps, "value", "x", "event_type", 1000, key="event_id"),
+      f"SELECT event_type, value AS x, x AS y FROM {GAPS} WHERE x IS NOT NULL ORDER BY sha256('0:' || event_id) LIMIT 1000")
 query("csvtoscatter_all", lambda t: p.scatter(t.gaps, "value", "x", "event_type", None), f"SELECT event_type, value AS x, x AS y FROM {GAPS} WHERE x IS NOT NULL")
 query("csvtoscatter_density", lambda t: p.density(t.lineitem, "l_quantity", "l_extendedprice", 10, "l_returnflag"),
       """SELECT l_returnflag, least(CAST(floor((l_quantity - a) / ((b - a) / 10)) AS BIGINT), 9) AS x_bin, least(CAST(floor((l_extendedprice - c) / ((d - c) / 10)) AS BIGINT), 9) AS y_bin, count(*) AS count

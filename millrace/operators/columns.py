@@ -42,15 +42,26 @@ def _uniform(seed: int, parts: Sequence[Column]) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11) / F.lit(float(1 << 53))
 
 
-def random_column(df: DataFrame, name: str, by=None, seed: int = 0, low: int | None = None, high: int | None = None) -> DataFrame:
+def text_hash(seed: int, key) -> Column:
+    """Hex sha256 of ``seed:a:b`` for the columns a, b of a key as text, null as an empty string."""
+    parts = [F.coalesce(ident(k).cast("string"), F.lit("")) for k in as_list(key)]
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256)
+
+
+def random_column(df: DataFrame, name: str, by=None, seed: int = 0, low: int | None = None, high: int | None = None, key=None) -> DataFrame:
     """Append a random real in [0, 1), or an integer in [low, high].
 
     With ``by`` all rows of a key share one value, drawn from a hash of the key, so
-    no shuffle is needed and a lost task redraws the same value.
+    no shuffle is needed and a lost task redraws the same value. With ``key``, the columns
+    that name a row, the value is the first 52 bits of ``text_hash``, which any other tool
+    can repeat.
     """
     keys = as_list(by)
     no_clash(df, [name])
-    u = _uniform(seed, [ident(k) for k in keys]) if keys else F.rand(seed)
+    if key:
+        u = F.conv(F.substring(text_hash(seed, key), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    else:
+        u = _uniform(seed, [ident(k) for k in keys]) if keys else F.rand(seed)
     if low is not None and high is not None:
         u = F.floor(u * (high - low + 1) + low).cast("long")
     return df.withColumn(name, u)

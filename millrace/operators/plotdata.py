@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from millrace.functions.scalars import number, parse_format
 from millrace.functions.spec import as_list, expand, ident
 from millrace.operators.aggs import bucket, describe
+from millrace.operators.columns import text_hash
 from millrace.operators.rows import row_range
 from millrace.plans.ordered import join_spread, quantiles, totals, with_row
 
@@ -52,11 +53,16 @@ def histogram(df: DataFrame, x: str, bins: int, series=None) -> DataFrame:
     return counts.select(*[ident(k) for k in keys], "bin", low.alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "count")
 
 
-def scatter(df: DataFrame, x: str, y: str, series=None, limit: int | None = 1000, seed: int = 0) -> DataFrame:
-    """x, y and series of a random sample of ``limit`` rows."""
+def scatter(df: DataFrame, x: str, y: str, series=None, limit: int | None = 1000, seed: int = 0, key=None) -> DataFrame:
+    """x, y and series of a random sample of ``limit`` rows: those with the smallest hash of the row.
+
+    Samples of parts merge into the sample of the whole. With ``key``, the columns that name a row, the hash is the
+    sha256 of seed and key as text, so any other tool can draw the same rows.
+    """
     data = df.filter(ident(x).isNotNull() & ident(y).isNotNull())
     if limit is not None:  # a top-k of row hashes: each task keeps at most ``limit`` rows
-        data = data.withColumn("__u", F.xxhash64(F.lit(seed), *[ident(c) for c in df.columns])).orderBy("__u").limit(limit)
+        draw = text_hash(seed, key) if key else F.xxhash64(F.lit(seed), *[ident(c) for c in df.columns])
+        data = data.withColumn("__u", draw).orderBy("__u").limit(limit)
     return data.select(*[ident(k) for k in as_list(series)], ident(x).cast("double").alias("x"), ident(y).cast("double").alias("y"))
 
 
