@@ -42,7 +42,7 @@ def quality_classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at similarity 0.8 on five-word shingles the document of smallest id stays."""
     ids = near_dedup.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
