@@ -15,7 +15,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, near_dedup, packing, quality_classifier
@@ -24,19 +24,25 @@ from millrace.session import shared_folder
 
 
 def _beside(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(F.struct("*").alias("_row"), *columns)
+    """What an operator reads, and all other columns in one that no result is named like."""
+    return docs.select(F.struct(F.lit(True).alias("_one"), *(f"`{c}`" for c in docs.columns if c not in columns)).alias("_row"), *columns)
+
+
+def _columns(docs: DataFrame, *columns: str) -> list[Column]:
+    """The columns of ``docs`` again, from a row of ``_beside``."""
+    return [F.col(c) if c in columns else F.col("_row")[c].alias(c) for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of fewer than 10 words, or with too much repetition, go."""
-    return rules(_beside(docs, "text")).where("kept").select("_row.*")
+    return rules(_beside(docs, "text")).where("kept").select(*_columns(docs, "text"))
 
 
 def quality_classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 go; it learns from the labels of the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_classifier.fit(docs, labels, remainder(F.col("doc_id")) != 0)
-    return quality_classifier.classify(_beside(docs, "text"), model).where("predicted = 1").select("_row.*")
+    return quality_classifier.classify(_beside(docs, "text"), model).where("predicted = 1").select(*_columns(docs, "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words at least 5 % stand in benchmark windows go."""
     found = decontaminate.contamination(_beside(docs, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("NOT contaminated").select("_row.*")
+    return found.where("NOT contaminated").select(*_columns(docs, "doc_id", "text"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
