@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.spec import as_list, ident, no_clash, renames
-from millrace.plans.ordered import ALL, BLOCK_ROWS, HOT_GROUPS, RN, Ordered, hot_groups, join_keys, number_rows, spread
+from millrace.plans.ordered import ALL, BLOCK_ROWS, HOT_GROUPS, RN, Ordered, hot_groups, join_keys, number_rows, result_tasks, spread
 from millrace.session import cut_lineage, setting
 
 
@@ -36,12 +36,6 @@ def _filled(out: DataFrame, columns: list[str], by: list[str], picked: list[str]
 
 
 PAIRS = 1 << 22  # result rows that one join key may give
-TASKS = 2_000  # most tasks that the results of a join are dealt over
-
-
-def _tasks(spark, results: int) -> int:
-    """Tasks for so many results. Adaptive execution would choose them by the size of the input, and may leave one."""
-    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-results // PAIRS)), TASKS)
 
 
 def _dealt(df: DataFrame, side: DataFrame, by: list[str], names: list[str], left: bool) -> tuple[DataFrame, DataFrame] | None:
@@ -81,7 +75,7 @@ def _dealt(df: DataFrame, side: DataFrame, by: list[str], names: list[str], left
         return out.withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
 
     cells = lambda a, b: F.col(a).cast("long") * F.coalesce("__rights", F.lit(1)) + F.col(b)
-    tasks = _tasks(spark, results)
+    tasks = result_tasks(spark, results, PAIRS)
     out = sides(df, by, "__lefts", "__rights").withColumn("__salt", cells("__own", "__other")).drop("__lefts", "__rights", "__own", "__other")
     copies = sides(side, names, "__rights", "__lefts").withColumn("__part", cells("__other", "__own")).drop("__lefts", "__rights", "__own", "__other")
     return out.repartition(tasks, *[ident(k) for k in by], "__salt"), copies.repartition(tasks, *names, "__part")
@@ -311,7 +305,7 @@ def interval_pieces(df: DataFrame, ref: DataFrame, value: str, low: str, high: s
     side = cut_lineage(side)  # read for its counts and again for the join
     counts = side.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
     results = side.groupBy("__level").agg(F.count(F.lit(1)).alias("__n")).collect()  # a row per level
-    tasks = _tasks(df.sparkSession, sum(r["__n"] << SIZES[r["__level"]] for r in results))
+    tasks = result_tasks(df.sparkSession, sum(r["__n"] << SIZES[r["__level"]] for r in results), PAIRS)
     share = F.greatest(F.lit(1), F.lit(PAIRS) / F.element_at(F.array(*[F.lit(1 << b) for b in SIZES]), F.col("__level") + 1))
     hot = counts.withColumn("__parts", F.ceil(F.col("__n") / share).cast("int")).filter("__parts > 1").orderBy(F.desc("__n")).limit(HOT_GROUPS).drop("__n")
     hot = F.broadcast(df.sparkSession.createDataFrame(hot.collect(), hot.schema))  # the rest hold a 20,000th of the pieces at most

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.spec import as_list, expand, ident, order_keys
-from millrace.plans.ordered import RN, join_keys, number_rows, with_row
+from millrace.plans.ordered import RN, join_keys, number_rows, result_tasks, with_row
 from millrace.session import setting
 
 
@@ -76,6 +77,9 @@ def combinations(df: DataFrame, field: str, n: int, names, by=None, order=None,
     tile = setting(df.sparkSession, "comboTile", 1000)
     base = base.withColumn("__tile", F.floor((F.col(RN) - 1) / tile))
     sizes = base.groupBy(*[ident(k) for k in keys]).agg(F.max("__tile").alias("__tiles"))
+    group = lambda names: F.struct(*[ident(c) for c in names]) if names else F.lit(0)
+    held = base.groupBy(*[ident(k) for k in keys]).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    powers = held.agg(*[F.coalesce(F.sum(F.pow("__n", F.lit(i))), F.lit(0.0)) for i in range(2, n + 1)]).first()
     out = base.select(*[ident(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__x").alias("__x0"), F.col(RN).alias("__n0"), F.col("__tile").alias("__t0"))
     for step in range(1, n):
         meet = _meet(step, permutations, repeat)
@@ -91,8 +95,12 @@ def combinations(df: DataFrame, field: str, n: int, names, by=None, order=None,
             right = join_keys(right, sizes, keys) if keys else with_row(right, sizes)
         last = F.col("__tiles") if permutations else F.col(f"__t{step}")
         right = right.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("__tiles")
-        cond = (F.col("__want") == F.col(f"__t{step}")) & (F.col("__from") == F.col(f"__t{step - 1}"))
-        out = tiles.join(right, reduce(and_, same, cond & meet)).drop("__want", "__from", *keys)
+        # tasks by the number of results: by the size of the input, adaptive execution would leave a few
+        tasks = result_tasks(df.sparkSession, int(powers[step - 1]) // (1 if permutations else math.factorial(step + 1)))
+        tiles = tiles.withColumn("__g", group([f"__k{i}" for i in range(len(keys))])).repartition(tasks, "__g", f"__t{step - 1}", "__want")
+        right = right.withColumn("__h", group(keys)).repartition(tasks, "__h", "__from", f"__t{step}")
+        cond = (F.col("__g") == F.col("__h")) & (F.col(f"__t{step - 1}") == F.col("__from")) & (F.col("__want") == F.col(f"__t{step}"))
+        out = tiles.join(right, cond & meet).drop("__want", "__from", "__g", "__h", *keys)
     return out.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"__x{i}").alias(a) for i, a in enumerate(names)])
 
 
