@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 RANGE = 32 << 20
 #: Bytes fetched at a time.
 STEP = 1 << 20
+#: Tasks of a read of small ranges; more only for more than ``RANGE`` bytes each.
+PARALLEL = 256
 #: Most tasks of one read; each then takes several ranges.
 TASKS = 20_000
 
@@ -135,7 +137,8 @@ def read_lines(spark: SparkSession, path: str, quotes: bool = False, size: int =
     found = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).where("bytes > 0")
     todo = found.select("file", F.lit(0).cast("long").alias("first"), "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("lo"))
     todo = todo.select("file", "first", "lo", F.least(F.col("lo") + size, F.col("bytes")).alias("hi"))
-    tasks = min(max(todo.count(), 1), TASKS)
+    n, whole = todo.agg(F.count("*"), F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()
+    tasks = min(max(min(n, PARALLEL), -(-whole // RANGE), 1), TASKS)  # small ranges share a task
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
