@@ -103,7 +103,8 @@ query("stream_dynamic_stops_late", _late_stops, f"SELECT event_id, user_id, stop
 def _write_lines(t, folder, half):
     """The lines of the documents as a few files. ``half``: those of the even documents, and a piece of the next line."""
     lines = t.documents.select((F.col("doc_id") % 2).alias("odd"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    lines = lines.repartition(4, "doc_id").sortWithinPartitions("odd", "doc_id", "place").select("odd", F.concat_ws("\t", F.col("doc_id").cast("string"), "line").alias("value"))
+    files = 4 + t.documents.count() // 20_000  # so that no task writes more than about 20,000 documents
+    lines = lines.repartition(files, "doc_id").sortWithinPartitions("odd", "doc_id", "place").select("odd", F.concat_ws("\t", F.col("doc_id").cast("string"), "line").alias("value"))
 
     def write(batches):
         fs, inner = ranges.file_system(folder)
