@@ -60,20 +60,20 @@ def windows(items: DataFrame, length: int) -> DataFrame:
     return cut.select("item_id", "ws", F.array_join("ws", " ").alias("window")).distinct()
 
 
-def occurrences(docs: DataFrame, items: DataFrame, length: int = 13, shingle: int = 3, block: int = 50_000) -> DataFrame:
-    """__doc_key, start, n, window: every place of a window in a document. ``docs`` has __doc_key, text."""
+def occurrences(docs: DataFrame, items: DataFrame, length: int = 13, shingle: int = 3, block: int = 50_000, key: str = "doc_key") -> DataFrame:
+    """key, start, n, window: every place of a window in a document. ``docs`` has ``key``, which names a document, and text."""
     held = cut_lineage(windows(items, length))
     wins = held.select("window", _fold_words(F.col("ws")).alias("ws")).distinct().withColumn("size", F.least(F.size("ws"), F.lit(shingle)))
     sizes = [r["size"] for r in wins.select("size").distinct().collect()]  # at most ``shingle`` rows
     if not sizes:
-        return docs.select("__doc_key", F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window")).where("false")
+        return docs.select(key, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("window")).where("false")
     parts = [
         wins.where(F.col("size") == s).select("window", F.array_join("ws", " ").alias("folded"), "size", F.size("ws").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("ws") - s), lambda i: _shingle(F.col("ws"), i, s))).alias("at", "shingle"))
         for s in sizes
     ]
     grams = cut_lineage(reduce(DataFrame.unionByName, parts))
-    places = docs.select("__doc_key", "text", folded(F.col("text")).alias("w"))
-    each = places.select("__doc_key", "text", "w", F.posexplode("w").alias("pos", "first")).drop("first")
+    places = docs.select(key, "text", folded(F.col("text")).alias("w"))
+    each = places.select(key, "text", "w", F.posexplode("w").alias("pos", "first")).drop("first")
 
     def blocks(df: DataFrame) -> list[DataFrame]:
         n = max(-(-df.count() // block), 1)
@@ -93,12 +93,12 @@ def occurrences(docs: DataFrame, items: DataFrame, length: int = 13, shingle: in
     out = []
     for s in sizes:
         for part in blocks(prefix.where(F.col("size") == s).select("window", "folded", "n", "at", "shingle")):
-            place = each.select("__doc_key", "text", "w", "pos", _shingle(F.col("w"), F.col("pos"), s).alias("shingle"))
+            place = each.select(key, "text", "w", "pos", _shingle(F.col("w"), F.col("pos"), s).alias("shingle"))
             start = F.col("pos") - F.col("at")
             near = place.join(F.broadcast(part), "shingle").where((start >= 0) & (start + F.col("n") <= F.size("w")))
             near = near.where(F.array_join(F.slice("w", start + 1, F.col("n")), " ") == F.col("folded"))
             near = near.where(F.array_join(F.slice(cells(ascii_lower(F.col("text"))), start + 1, F.col("n")), " ") == F.col("window"))  # letters outside ASCII by case, for the few that are left
-            out.append(near.select("__doc_key", start.alias("start"), "n", "window"))
+            out.append(near.select(key, start.alias("start"), "n", "window"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -114,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 13, percent:
     made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     docs = docs.drop(*made, "__doc_key")
     docs = docs.withColumn("__doc_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64("text", F.lit(1)).alias("hash2")))
-    found = cut_lineage(occurrences(docs.select("__doc_key", "text").where("text IS NOT NULL"), items, length, shingle).distinct())
+    found = cut_lineage(occurrences(docs.select("__doc_key", "text").where("text IS NOT NULL"), items, length, shingle, key="__doc_key").distinct())
     until = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("__doc_key").orderBy("start", "n", "window").rowsBetween(Window.unboundedPreceding, -1))
     end = F.col("start") + F.col("n")
     fresh = F.greatest(end - F.greatest(F.col("start"), F.coalesce(until, F.lit(0))), F.lit(0))
