@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,6 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.functions.spec import as_list, ident
 from millrace.session import shared_folder
 
+_KEY, _BUCKET = "__key", "__bucket"
+_FRESH = (float("nan"), 0.0, 0.0)  # last time, sum and number of intervals
+
 
 def follow(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv", files_per_trigger: int | None = None, **options) -> DataFrame:
     """Follow a growing folder of files."""
@@ -77,7 +80,7 @@ def sessions(stream: DataFrame, time: str, gap_seconds: float, aggs: dict, by=No
 def _stops(times: np.ndarray, last: float, total: float, n: float, ratio: float) -> tuple[list[int], float, float, float]:
     """Flags of rows in order, and the state after them: last time, sum and number of intervals since the last stop."""
     flags = []
-    for t in times:
+    for t in times.tolist():
         gap, stop = t - last, False
         if gap < 0:
             flags.append(0)
@@ -91,7 +94,22 @@ def _stops(times: np.ndarray, last: float, total: float, n: float, ratio: float)
     return flags, last, total, n
 
 
-def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "stop_ends", late: str | None = None, idle_seconds: float | None = None) -> DataFrame:
+def _key_text(stream: DataFrame, keys: list[str]) -> Column:
+    """One text per key: NULL, NaN and every other value stay apart, 0.0 and -0.0 do not."""
+    parts = []
+    for i, k in enumerate(keys):
+        kind, c = stream.schema[k].dataType, ident(k)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            c = c + F.lit(0.0).cast(kind)
+        elif isinstance(kind, T.TimestampType):
+            c = F.unix_micros(c)
+        elif isinstance(kind, T.BinaryType):
+            c = F.hex(c)
+        parts.append((c if isinstance(kind, (T.ArrayType, T.StructType)) else c.cast("string")).alias(f"k{i}"))
+    return F.to_json(F.struct(*parts))
+
+
+def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "stop_ends", late: str | None = None, idle_seconds: float | None = None, buckets: int = 512) -> DataFrame:
     """Stateful stops of a stream: a row ends a stop when its interval to the row before reaches
     ``ratio`` times the mean interval since the last stop.
 
@@ -104,6 +122,9 @@ def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "s
     dropped, and rows without a time with them. A key whose last row lies ``idle_seconds`` behind the watermark is
     forgotten: its next row is a first one. Whole numbers travel as text, since pandas would turn nullable ones into
     floats.
+
+    Keys are hashed into ``buckets`` whose keys share one entry of the state store, so that the cost of a call is not
+    paid per key. The number may not change while a query goes on from its log.
     """
     keys = as_list(by)
     given = stream.schema
@@ -112,51 +133,70 @@ def dynamic_stops(stream: DataFrame, time: str, ratio: float, by, name: str = "s
         raise ValueError(f"{time} has to be a time column")
     stream = stream.withColumns({c: ident(c).cast("string") for c in whole})
     out = T.StructType([*stream.schema.fields, T.StructField(name, T.IntegerType())])
-    kept = T.StructType([*(T.StructField(c, T.DoubleType()) for c in ("last", "total", "n")), T.StructField("waiting", T.BinaryType())])
+    kept = T.StructType([T.StructField("held", T.BinaryType())])
     columns = stream.columns
-    fresh = (float("nan"), 0.0, 0.0, b"")
+    bucket = F.pmod(F.xxhash64(_KEY), F.lit(buckets)).cast("int")
+    stream = stream.withColumn(_KEY, _key_text(stream, keys)).withColumn(_BUCKET, bucket)
 
     def seconds(pdf: pd.DataFrame) -> np.ndarray:
         return pdf[time].astype("int64").to_numpy() / _unit(pdf[time])
 
-    def walk(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total, n, _ = state.get if state.exists else fresh
-        pdf = pd.concat(list(batches)).sort_values(time)
-        flags, last, total, n = _stops(seconds(pdf), last, total, n, ratio)
-        state.update((last, total, n, b""))
-        yield pdf[columns].assign(**{name: flags})
-
-    def ordered(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, total, n, waiting = state.get if state.exists else fresh
-        held = pickle.loads(waiting) if waiting else None  # written by this function
+    def load(state: GroupState) -> tuple[dict[str, tuple[float, float, float]], pd.DataFrame | None]:
+        """The state of each key, and the waiting rows."""
+        return pickle.loads(state.get[0]) if state.exists else ({}, None)  # written by this function's callers
+
+    def flagged(rows: pd.DataFrame, seen: dict) -> Iterator[pd.DataFrame]:
+        """Rows in order of key and time with their flags; moves the states in ``seen`` on."""
+        if not len(rows):
+            return
+        times, key = seconds(rows), rows[_KEY].to_numpy()
+        starts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        flags = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            found, *seen[key[a]] = _stops(times[a:b], *seen.get(key[a], _FRESH), ratio)
+            flags += found
+        yield rows[columns].assign(**{name: flags})
+
+    def walk(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, _ = load(state)
+        yield from flagged(pd.concat(list(batches)).sort_values([_KEY, time], kind="stable"), seen)
+        state.update((pickle.dumps((seen, None)),))
+
+    def ordered(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, held = load(state)
         parts = [held] if held is not None else []
         if not state.hasTimedOut:
             parts += list(batches)
         passed = state.getCurrentWatermarkMs()
-        rows = pd.concat(parts).sort_values([time, *[c for c in columns if c != time]], kind="stable") if parts else None
-        if rows is not None:
+        due = []  # when something is to be done again
+        waiting = set()
+        if parts:
+            rows = pd.concat(parts)
             ready = seconds(rows) * 1000 <= passed
-            done, rest = rows[ready], rows[~ready]
-            if len(done):
-                flags, last, total, n = _stops(seconds(done), last, total, n, ratio)
-                yield done[columns].assign(**{name: flags})
-            rows = rest if len(rest) else None
-        if rows is not None:
-            state.update((last, total, n, pickle.dumps(rows.reset_index(drop=True))))
-            state.setTimeoutTimestamp(max(int(seconds(rows).min() * 1000), passed + 1))
-        elif idle_seconds is not None and (last != last or (last + idle_seconds) * 1000 <= passed):
+            yield from flagged(rows[ready].sort_values([_KEY, time, *[c for c in columns if c != time]], kind="stable"), seen)
+            held = rows[~ready].reset_index(drop=True) if not ready.all() else None
+            if held is not None:
+                due.append(int(seconds(held).min() * 1000))
+                waiting = set(held[_KEY])
+        if idle_seconds is not None:
+            for k in [k for k in seen if k not in waiting]:
+                if (seen[k][0] + idle_seconds) * 1000 <= passed:
+                    del seen[k]
+                else:
+                    due.append(int((seen[k][0] + idle_seconds) * 1000))
+        if not seen and held is None:
             state.remove()
-        else:
-            state.update((last, total, n, b""))
-            if idle_seconds is not None:
-                state.setTimeoutTimestamp(max(int((last + idle_seconds) * 1000), passed + 1))
+            return
+        state.update((pickle.dumps((seen, held)),))
+        if due:
+            state.setTimeoutTimestamp(max(min(due), passed + 1))
 
     if late is None:
-        flagged = stream.groupBy(*[ident(k) for k in keys]).applyInPandasWithState(walk, out, kept, "append", GroupStateTimeout.NoTimeout)
+        done = stream.groupBy(_BUCKET).applyInPandasWithState(walk, out, kept, "append", GroupStateTimeout.NoTimeout)
     else:
-        grouped = stream.withWatermark(time, late).groupBy(*[ident(k) for k in keys])
-        flagged = grouped.applyInPandasWithState(ordered, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    return flagged.withColumns({c: ident(c).cast(given[c].dataType) for c in whole})
+        grouped = stream.withWatermark(time, late).groupBy(_BUCKET)
+        done = grouped.applyInPandasWithState(ordered, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return done.withColumns({c: ident(c).cast(given[c].dataType) for c in whole})
 
 
 def _unit(times: pd.Series) -> float:

@@ -72,3 +72,21 @@ def test_late_rows_change_their_stop_and_state_empties(spark, tmp_path):
     got = sorted((r["k"], int((r["ts"] - start).total_seconds() // 60), r["stop_ends"]) for r in spark.read.parquet(str(tmp_path / "out")).where(F.col("k") != "c").collect())
     assert got == [("a", m, 0) for m in (0, 10, 20, 30, 40, 50, 60)] + [("b", 5, 0), ("b", 200, 0)]  # without 20 and 30, 40 would end a stop
     assert progress[-1] == 1  # only the key that waits for the watermark
+
+
+def test_keys_share_entries_of_the_state(spark, tmp_path):
+    """Before, each key was an entry and a call of its own. Keys that look alike in pandas stay apart."""
+    data = [(k, t) for k in (None, float("nan"), 0.0, -0.0, 1.5) for t in (0, 10, 20, 60)]
+    df = spark.createDataFrame(data, "k double, s int").select("k", F.timestamp_seconds("s").alias("ts"))
+    path = str(tmp_path / "in")
+    df.unionByName(spark.range(40).select((F.col("id") + 100.0).alias("k"), F.timestamp_seconds(F.lit(5)).alias("ts"))).coalesce(1).write.parquet(path)
+    for late in (None, "1 second"):
+        stream = st.dynamic_stops(st.follow(spark, path, df.schema, "parquet"), "ts", 2.0, "k", late=late, buckets=4)
+        out, log = str(tmp_path / f"out-{late}"), str(tmp_path / f"log-{late}")
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4
+        if late is None:
+            got = [(str(r["k"]), r["t"], r["stop_ends"]) for r in spark.read.parquet(out).where("k IS NULL OR k < 100 OR isnan(k)").select("k", F.unix_seconds("ts").alias("t"), "stop_ends").collect()]
+            assert sorted(x for x in got if x[0] in ("None", "1.5")) == sorted((k, t, int(t == 60)) for k in ("None", "None", "1.5") for t in (0, 10, 20, 60))  # NaN comes back from pandas as NULL
+            assert len(got) == 20
