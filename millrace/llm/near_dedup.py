@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.stored import stored
@@ -23,6 +23,8 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _ATTEMPTS = 64
 #: A key with more than one row in so many is hot.
 HOT = 2000
+#: Copies of the right row of a hot key.
+SALTS = 256
 
 
 def _kept(df: DataFrame) -> DataFrame:
@@ -129,16 +131,18 @@ def _confirmed(sets: DataFrame, edges: DataFrame, percent: int, per_salt: int =
 
 
 def _dealt(left: DataFrame, right: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
-    """Join rows with the one row of their key, whose column ``count`` says how many rows the key has. Keys with more
-    than a 2000th of all rows, so at most 2000 of them, are joined by broadcast and not shuffled."""
+    """Join rows (with ``id``) with the one row of their key, whose column ``count`` says how many rows the key has. Rows
+    of a key with more than a 2000th of all rows, so of at most 2000 keys, are dealt by id over ``SALTS`` copies of its
+    row. Every row takes part in one join, so the join gives no more rows than there are."""
     right = _kept(right)
     limit = max((right.agg(F.sum(count)).first()[0] or 0) // HOT, 256)
-    hot = right.where(F.col(count) > limit).collect()
+    hot = [r[0] for r in right.where(F.col(count) > limit).select(key).collect()]
     if not hot:
         return left.join(right, key, how)
-    hot = F.broadcast(right.sparkSession.createDataFrame(hot, right.schema))
-    rest = left.join(hot.select(key), key, "left_anti").join(right, key, how)
-    return left.join(hot, key).unionByName(rest)
+    often = F.expr(f"coalesce({key} IN ({', '.join(map(str, hot))}), false)")
+    left = left.withColumn("dealt", F.when(often, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0))
+    right = right.withColumn("dealt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(often, F.lit(SALTS - 1)).otherwise(0).cast("long"))))
+    return left.join(right, [key, "dealt"], how).drop("dealt")
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -179,30 +183,59 @@ def _untried(edges: DataFrame, known: DataFrame) -> DataFrame:
     return once.join(tried, ["low", "high"], "left_anti").select("a", "b")
 
 
-def _exact_candidates(sets: DataFrame, ids: DataFrame, percent: int, per_salt: int = 256) -> DataFrame:
-    """All pairs (a, b) of ``ids`` (id, label) with different labels that can be similar enough, by prefix, length and
-    position; none that is similar enough is missing.
+def _rivals(rows: DataFrame, score: Column) -> DataFrame:
+    """cell, first, most, next: each cell's largest score, the label that has it, and the largest among its other labels."""
+    each = rows.groupBy("cell", "label").agg(F.max(score).alias("score"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("score"), "label"))
+    two = each.withColumn("i", place).where("i <= 2")
+    at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    return two.groupBy("cell").agg(at(1, "label").alias("first"), at(1, "score").alias("most"), at(2, "score").alias("next"))
+
+
+def _sides(sets: DataFrame, ids: DataFrame, percent: int, per_salt: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The rows x and y of ``ids`` (id, label) that meet on cell, salt and own: of the pairs with different labels that can
+    be similar enough, by prefix, length and position, none is missing.
 
     With the shingles of all sets in one order, the rarest first, two similar sets x and y, x not the larger, share one
     of the first n - ceil(n * 2p / (100 + p)) + 1 of x and the first n - ceil(n * p / 100) + 1 of y. After their first
-    common shingle, at i and j, at most min(n_x - i, n_y - j) more can be common. Members of a family have their own
-    shingles first and the family's beyond the shorter prefix, so unlike ones seldom meet.
+    common shingle, at i and j, at most min(n_x - i, n_y - j) more can be common. So a set's ``reach`` at a shingle is the
+    size beyond which no other is similar enough, and a pair has n_x <= n_y <= reach_x and n_x <= reach_y. Members of a
+    family have their own shingles first and the family's beyond the shorter prefix, so unlike ones seldom meet.
+
+    Pairs of one shingle would be as many as the square of a family. Rows go to cells, of a shingle and a range of sizes:
+    y to its own, x to those from its size to its reach. An x stays only if its cell has a y of another label that reaches
+    it, a y only if it reaches an x of another label that stayed. Of what stays, the pairs within the label that reaches
+    farthest in a cell don't meet.
     """
     each = sets.join(ids, "id").select("id", "label", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     order = Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "shingle")  # one document's set
     ranked = _dealt(each, often, "shingle", "often", "left").withColumn("r", F.row_number().over(order).cast("long"))
-    prefix = _kept(ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull()).select("id", "label", "n", "r", "shingle"))
-    short = F.col("r") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
-    met = prefix.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count_if(short).alias("shorts"), F.count("*").alias("held"))
-    met = met.where("low < high AND shorts > 0").select("shingle", F.ceil(F.col("shorts") / per_salt).alias("salts"), "held")
-    found = _dealt(prefix, met, "shingle", "held")
-    x = found.where(short).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("shingle", "salt", *(F.col(c).alias(f"{c}_x") for c in ("id", "label", "n", "r")))
-    y = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("shingle", "salt", *(F.col(c).alias(f"{c}_y") for c in ("id", "label", "n", "r")))
-    sizes = F.col("n_x") + F.col("n_y")
-    fits = (F.col("label_x") != F.col("label_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") != F.col("id_y"))))
-    fits &= (100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * (1 + F.least(F.col("n_x") - F.col("r_x"), F.col("n_y") - F.col("r_y"))) >= percent * sizes)
-    return x.join(y, ["shingle", "salt"]).where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    reach = F.floor((100 * F.col("n") - (100 + percent) * (F.col("r") - 1)) / percent)
+    prefix = ranked.where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & F.col("often").isNotNull())
+    prefix = _kept(prefix.select("id", "label", "n", reach.alias("reach"), "shingle"))
+    band = lambda n: F.floor(F.log(F.col(n)) / F.log(F.lit(1.05)))
+    cell, columns = F.xxhash64("shingle", "band").alias("cell"), ("id", "label", "n", "reach")
+    y = prefix.withColumn("band", band("n")).select(cell, *columns)
+    x = prefix.where("n <= reach").withColumn("band", F.explode(F.sequence(band("n"), band("reach")))).select(cell, *columns)
+    reached = _rivals(y, F.col("reach")).join(x.groupBy("cell").agg(F.count("*").alias("held")), "cell")
+    x = _dealt(x, reached, "cell", "held").where(F.when(F.col("label") != F.col("first"), F.col("most")).otherwise(F.col("next")) >= F.col("n"))
+    x = _kept(x.select("cell", *columns, F.col("first").alias("main")))
+    sizes = x.groupBy("cell").agg(F.ceil(F.count("*") / per_salt).alias("salts"), F.count("*").alias("shorts"), F.max("main").alias("main"))
+    met = _kept(_rivals(x, -F.col("n")).join(sizes, "cell"))
+    y = _dealt(y, met.drop("shorts").join(y.groupBy("cell").agg(F.count("*").alias("held")), "cell"), "cell", "held")
+    y = y.where(-F.when(F.col("label") != F.col("first"), F.col("most")).otherwise(F.col("next")) <= F.col("reach"))
+    y = y.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("own", F.col("label") == F.col("main"))
+    x = _dealt(x, met.select("cell", "salts", "shorts"), "cell", "shorts").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    x = x.withColumn("own", F.explode(F.when(F.col("label") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))))
+    return tuple(side.select("cell", "salt", "own", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for side, s in ((x, "x"), (y, "y")))
+
+
+def _exact_candidates(sets: DataFrame, ids: DataFrame, percent: int, per_salt: int = 256) -> DataFrame:
+    """All pairs (a, b) of ``ids`` with different labels that can be similar enough; none that is similar enough is missing."""
+    x, y = _sides(sets, ids, percent, per_salt)
+    fits = (F.col("label_x") != F.col("label_y")) & F.col("n_y").between(F.col("n_x"), F.col("reach_x")) & (F.col("n_x") <= F.col("reach_y"))
+    return x.join(y, ["cell", "salt", "own"]).where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def linked_components(docs: DataFrame, sketches: DataFrame, words: int, percent: int, exact: int | None = 40, first: int = 8) -> DataFrame:
