@@ -38,7 +38,9 @@ _WORDS = bytes(b if ALNUM[b] else b + 32 if 65 <= b <= 90 else 32 for b in range
 #: Bytes of a word's end that decide its class.
 END = 3
 #: Places whose logits are held at a time, so that they stay in a core's cache.
-PLACES = 512
+PLACES = 256
+#: Logits that cannot be larger than this need no shift before exp in single precision.
+SAFE = 60
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -121,53 +123,63 @@ class Network:
         offsets = [o for o in range(-self.window, self.window + 1) if o]
         return np.stack([ids[at + o] for o in offsets], 1)
 
-    def forward(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hidden values; logits of the classes, the largest being 0; their exponentials, and the sums of those."""
-        table, out, bias = self.weights
-        pre = table[0][sides[:, 0]]
+    def joint(self) -> tuple[np.ndarray, bool]:
+        """The output weights with the bias as their last row, and whether all logits are within ``SAFE``."""
+        _, out, bias = self.weights
+        return np.concatenate([out, bias[None]]), bool(np.abs(out).sum(0).max() + np.abs(bias).max() <= SAFE)
+
+    def forward(self, sides: np.ndarray, joint: tuple[np.ndarray, bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden values and a last column of 1; logits of the classes, less the largest where they may be large; their
+        exponentials, and the sums of those. ``joint`` of the same weights may be given."""
+        table, (both, safe) = self.weights[0], joint or self.joint()
+        pre = table[0].take(sides[:, 0], 0)
         for k in range(1, sides.shape[1]):
-            pre += table[k][sides[:, k]]
-        hidden = np.tanh(pre, out=pre)
-        logits = hidden @ out
-        logits += bias
-        logits -= logits.max(1, keepdims=True)
+            pre += table[k].take(sides[:, k], 0)
+        hidden = np.ones((len(pre), self.hidden + 1), np.float32)
+        np.tanh(pre, out=hidden[:, :-1])
+        logits = hidden @ both
+        if not safe:
+            logits -= logits.max(1, keepdims=True)
         likely = np.exp(logits)
-        return hidden, logits, likely, likely.sum(1)
+        return hidden, logits, likely, likely @ np.ones(self.n_classes, np.float32)
 
-    def log_probabilities(self, ids: np.ndarray, batch: int = PLACES) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, batch: int | None = None) -> np.ndarray:
         """log p of every token given its two sides, 0 at the edges; words outside the vocabulary as if they occurred once."""
-        out, places = np.zeros(len(ids)), np.flatnonzero(ids != self.edge)
+        out, places, joint = np.zeros(len(ids)), np.flatnonzero(ids != self.edge), self.joint()
+        batch = batch or PLACES
         for lo in range(0, len(places), batch):
             at = places[lo:lo + batch]
-            _, logits, _, mass = self.forward(self.context(ids, at))
+            _, logits, _, mass = self.forward(self.context(ids, at), joint)
             out[at] = logits[np.arange(len(at)), self.classes[ids[at]]] - np.log(mass) + self.inside[ids[at]]
         return out
 
     def step(self, sides: np.ndarray, target: np.ndarray, rate: float) -> float:
         """One gradient step on a batch; returns its summed loss before the step."""
-        table, out, bias = self.weights
+        (table, out, bias), joint = self.weights, self.joint()
         n, loss, back = len(target), 0.0, np.empty((len(target), self.hidden), np.float32)
-        down, down_bias = np.zeros_like(out), np.zeros_like(bias)
+        down = np.zeros_like(joint[0])
         for lo in range(0, n, PLACES):
             classes = target[lo:lo + PLACES]
-            hidden, logits, error, mass = self.forward(sides[lo:lo + PLACES])
+            hidden, logits, error, mass = self.forward(sides[lo:lo + PLACES], joint)
             rows = np.arange(len(classes))
             loss += float(np.log(mass).sum() - logits[rows, classes].sum())
-            error *= (1 / (mass * n))[:, None]
-            error[rows, classes] -= 1 / n
+            error[rows, classes] -= mass
+            share = (1 / (mass * n))[:, None]  # of the narrow matrices, not of the errors of all classes
             part = back[lo:lo + PLACES]
             np.matmul(error, out.T, out=part)
-            part *= 1 - hidden * hidden
+            part *= share
+            part *= 1 - hidden[:, :-1] ** 2
+            hidden *= share
             down += hidden.T @ error
-            down_bias += error.sum(0)
-        out -= rate * down
-        bias -= rate * down_bias
+        out -= rate * down[:-1]
+        bias -= rate * down[-1]
         back *= rate * 20  # a row of the tables meets few of the batch's tokens
+        small = np.uint16 if self.edge < 1 << 16 else np.int32  # numbers of 16 bits are sorted by radix
         for k in range(sides.shape[1]):
-            order = np.argsort(sides[:, k], kind="stable")
+            order = np.argsort(sides[:, k].astype(small), kind="stable")
             seen = sides[order, k]
             first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
-            table[k][seen[first]] -= np.add.reduceat(back[order], first, axis=0)
+            table[k][seen[first]] -= np.add.reduceat(back.take(order, 0), first, axis=0)
         return loss
 
     def train(self, ids: np.ndarray, rate: float, batch: int = 2048) -> tuple[int, float]:

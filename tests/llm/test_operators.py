@@ -223,6 +223,33 @@ def test_lm_step_in_parts_is_one_step(monkeypatch):
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(nets[0].weights, nets[1].weights))
 
 
+def test_lm_step_takes_large_and_small_logits():
+    """A shift is left out only where exp cannot overflow; the gradient of the bias is that of the softmax either way."""
+    for size in (0.1, 300.0):
+        net = lm_scoring.Network([b"a", b"b", b"c"], [9, 5, 3], 2, [4, 2], 1, 3)
+        net.weights[1] = (np.random.default_rng(1).normal(0, 1, net.shapes[1]) * size).astype(np.float32)
+        ids = np.array([net.edge, 0, 1, 2, 0, net.edge], np.int32)
+        sides, target = net.context(ids, np.arange(1, 5)), net.classes[ids[1:5]]
+        (table, out, bias), before = net.weights, net.weights[2].copy()
+        logits = np.tanh(sum(table[k][sides[:, k]].astype(float) for k in range(2))) @ out.astype(float) + bias
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        want = (p / p.sum(1, keepdims=True) - np.eye(net.n_classes)[target]).mean(0)
+        assert net.joint()[1] == (size < 1)
+        net.step(sides, target, 1.0)
+        assert np.allclose(before - net.weights[2], want, atol=1e-4)
+
+
+def test_slices_make_objects_of_one_slice_only(monkeypatch):
+    from millrace.llm import text
+
+    made, whole = [], text.byte_texts
+    monkeypatch.setattr(text, "byte_texts", lambda batch, column="text": made.append(len(batch)) or whole(batch, column))
+    batch = pa.RecordBatch.from_arrays([pa.array([*["x" * 10] * 100, None, ""])], ["text"])
+    got = list(slices([batch], most=25))
+    assert max(made) == 3 and sum(made) == 102 and [t for _, texts in got for t in texts] == [b"x" * 10] * 100 + [b"", b""]
+    assert list(slices([batch.slice(0, 0)])) == []
+
+
 # --- op2
 
 
@@ -567,6 +594,33 @@ def test_exact_candidates_hold_all_similar_pairs(spark):
         assert len(want) > 20 and want <= got and all(i < j and i % 40 != j % 40 for i, j in got)
 
 
+@pytest.mark.parametrize("members", [150, 600])
+def test_members_of_one_component_do_not_meet_in_the_exact_join(spark, members):
+    """A family of one label beside unlike sets and one similar set: the pairs that meet grow with the members."""
+    rng = random.Random(members)
+    sets = [sorted({*range(40), 1000 + i}) for i in range(members)]  # label 0
+    sets += [sorted({*rng.sample(range(40), 20), *range(10_000 + 40 * i, 10_018 + 40 * i)}) for i in range(members // 5)]
+    sets.append(sorted({*range(38), 99_000}))
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, shingles array<long>")
+    ids = spark.createDataFrame([(i, 0 if i < members else i) for i in range(len(sets))], "id long, label long")
+    x, y = near_dedup._sides(frame, ids, 80)
+    assert x.join(y, ["cell", "salt", "own"]).count() <= 40 * members
+    got = {(r["a"], r["b"]) for r in near_dedup._exact_candidates(frame, ids, 80).collect()}
+    assert {(i, len(sets) - 1) for i in range(members)} <= got
+
+
+def test_rows_of_hot_and_other_keys_are_joined_once(spark):
+    rows = [(i, 7 if i < 2000 else i) for i in range(3000)] + [(9000, None)]
+    left = spark.createDataFrame(rows, "id long, key long")
+    right = left.groupBy("key").agg(F.count("*").alias("n")).where("n < 2 OR key = 7")
+    for how, n in (("inner", 3000), ("left", 3001)):
+        out = near_dedup._dealt(left, right, "key", "n", how)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 1 and "Union" not in plan
+        got = [(r["id"], r["key"], r["n"]) for r in out.collect()]
+        assert len(got) == n and set(got) >= {(i, k, 2000 if k == 7 else 1) for i, k in rows[:-1]}
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     donors = near_dedup._donors(240)
