@@ -45,15 +45,15 @@ def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Consecutive rows with about ``most`` bytes of text, one row at least."""
-    for batch in batches:
-        texts, first, held = byte_texts(batch, column), 0, 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= most:
-                yield batch.slice(first, i + 1 - first), texts[first:i + 1]
+    for batch in batches:  # the texts of a slice only are objects at a time
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        first = held = 0
+        for i, size in enumerate(sizes):
+            held += size
+            if held >= most or i + 1 == len(sizes):
+                part = batch.slice(first, i + 1 - first)
+                yield part, byte_texts(part, column)
                 first, held = i + 1, 0
-        if first < len(texts):
-            yield batch.slice(first), texts[first:]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
