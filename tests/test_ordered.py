@@ -65,3 +65,49 @@ def test_quantiles(spark, table):
     ev = _events(table)
     for keys in (["k"], None):
         _both(spark, lambda: quantiles(ev, keys, {"a": ("x", 0.25), "b": ("x", 0.5), "c": ("value", 0.9)}))
+
+
+def _medians(spark):
+    """Quartile and median of a hot key of 20,000 values, one of equal values, one of NULLs, and an ordinary key."""
+    df = spark.range(20_000).select(F.lit("a").alias("k"), (F.pow(F.col("id") % 7919, 3) - 1e9).alias("x"))
+    df = df.unionByName(spark.range(9_000).select(F.lit(None).cast("string").alias("k"), F.when(F.col("id") % 9 == 0, 1e300).otherwise(F.lit(5.0)).alias("x")))
+    df = df.unionByName(spark.range(8_000).select(F.lit("n").alias("k"), F.lit(None).cast("double").alias("x")))
+    return df.unionByName(spark.range(11).select(F.lit("few").alias("k"), F.col("id").cast("double").alias("x")))
+
+
+def test_quantiles_of_hot_keys_order_few_values(spark, monkeypatch):
+    from millrace.plans import ordered
+
+    df, points = _medians(spark), {"q": ("x", 0.25), "m": ("x", 0.5), "t": ("x", 1.0)}
+    for keys in (["k"], None):
+        whole = rows(quantiles(df, keys, points))
+        seen = []
+
+        class Watched(Ordered):
+            def __init__(self, df, *args):
+                seen.append(df.count())
+                super().__init__(df, *args)
+
+        with monkeypatch.context() as m:
+            m.setattr(ordered, "Ordered", Watched)
+            m.setattr(ordered, "BRACKET_SAMPLE", 2_000, raising=False)
+            spark.conf.set("millrace.blockRows", "5000")
+            try:
+                assert rows(quantiles(df, keys, points)) == whole
+            finally:
+                spark.conf.unset("millrace.blockRows")
+        assert sum(seen) < 4_000  # of about 7,900 different values
+
+
+def test_quantiles_outside_their_brackets(spark, monkeypatch):
+    from millrace.plans import ordered
+
+    df, points = _medians(spark), {"q": ("x", 0.25), "m": ("x", 0.5)}
+    whole = rows(quantiles(df, ["k"], points))
+    right = ordered._brackets
+    monkeypatch.setattr(ordered, "_brackets", lambda *args: right(*args).withColumns({"__a0": F.lit(-2.0), "__b0": F.lit(-1.0), "__a1": F.lit(6.0), "__b1": F.lit(7.0)}))
+    spark.conf.set("millrace.blockRows", "5000")
+    try:
+        assert rows(quantiles(df, ["k"], points)) == whole
+    finally:
+        spark.conf.unset("millrace.blockRows")
