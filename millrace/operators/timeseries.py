@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date, datetime
 
 import numpy as np
@@ -180,25 +180,50 @@ def solve_tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, right: n
 def spline_coefficients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Cubic spline through at least four points whose third derivative is continuous at the second and the last but
     one point: rows c3, c2, c1, c0 per interval. The unknowns are the second derivatives at the points."""
+    return splines(x, y, np.array([0]))[:, :-1]
+
+
+def splines(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``spline_coefficients`` of several series one after the other, each of at least four points and from one of
+    ``starts``; a column per point, that of a series' last point 0, 0, 0, y.
+
+    The equations of all series are solved as one system, in which nothing links one series with the next.
+    """
+    ends = np.append(starts[1:], len(x)) - 1
     step = np.diff(x)
+    step[ends[:-1]] = 1.0  # between two series, not used
     rise = np.diff(y) / step
-    first, last = step[0] / step[1], step[-1] / step[-2]
-    mid = 2 * (step[:-1] + step[1:])
-    low, up = np.append(0.0, step[1:-1]), np.append(step[1:-1], 0.0)
+    first, last = step[starts] / step[starts + 1], step[ends - 1] / step[ends - 2]
+    low, up = np.append(0.0, step), np.append(step, 0.0)
+    mid, right = 2 * (low + up), np.append(np.append(0.0, 6 * np.diff(rise)), 0.0)
     # the end values follow from their neighbours: m0 = m1 + first (m1 - m2), and likewise at the other end
-    mid[0] += step[0] * (1 + first)
-    up[0] -= step[0] * first
-    mid[-1] += step[-1] * (1 + last)
-    low[-1] -= step[-1] * last
-    inner = solve_tridiagonal(low, mid, up, 6 * np.diff(rise))
-    m = np.concatenate([[inner[0] + first * (inner[0] - inner[1])], inner, [inner[-1] + last * (inner[-1] - inner[-2])]])
-    return np.array([np.diff(m) / (6 * step), m[:-1] / 2, rise - step * (2 * m[:-1] + m[1:]) / 6, y[:-1]])
+    mid[starts + 1] += step[starts] * (1 + first)
+    up[starts + 1] -= step[starts] * first
+    low[starts + 1] = 0
+    mid[ends - 1] += step[ends - 1] * (1 + last)
+    low[ends - 1] -= step[ends - 1] * last
+    up[ends - 1] = 0
+    inner = np.ones(len(x), bool)
+    inner[starts] = inner[ends] = False
+    system = low[inner], mid[inner], up[inner], right[inner]
+    m = np.empty(len(x))
+    m[inner] = solve_tridiagonal(*system)
+    if len(starts) > 1 and not (np.isfinite(m[inner]).all() and all(np.isfinite(c).all() for c in system)):
+        # what is not finite would reach the other series
+        return np.concatenate([splines(x[a:b + 1], y[a:b + 1], np.array([0])) for a, b in zip(starts, ends)], 1)
+    m[starts] = m[starts + 1] + first * (m[starts + 1] - m[starts + 2])
+    m[ends] = m[ends - 1] + last * (m[ends - 1] - m[ends - 2])
+    out = np.zeros((4, len(x)))
+    out[:3, :-1] = np.diff(m) / (6 * step), m[:-1] / 2, rise - step * (2 * m[:-1] + m[1:]) / 6
+    out[:3, ends] = 0
+    out[3] = y
+    return out
 
 
 def _spline(df: DataFrame, field: str, name: str, keys: list[str], formula: bool, overlap: int) -> DataFrame:
     """Spline per key through its valid points; of points at one time the smallest value counts.
 
-    The points of a hot key are fitted block by block with ``overlap`` points on both sides: a point's influence fades
+    Many series are fitted at a time. The points of a hot key are fitted block by block with ``overlap`` points on both sides: a point's influence fades
     by a factor of about four per point, so a hundred leave no difference in double precision. Rows then look up the
     interval they lie in as-of, so only keys, times and values pass through numpy.
     """
@@ -211,23 +236,51 @@ def _spline(df: DataFrame, field: str, name: str, keys: list[str], formula: bool
     added = [T.StructField(c, T.DoubleType()) for c in ("__until", "c3", "c2", "c1", "c0")]
     names = [f.name for f in kept]
 
-    def fit(block: pa.Table) -> pa.Table:
-        pdf = block.select(list(dict.fromkeys([RN, BLK, HOME, "__t", "__v"]))).to_pandas()
-        place = np.argsort(pdf[RN].to_numpy(), kind="stable")
-        x, y = pdf["__t"].to_numpy(dtype="float64")[place], pdf["__v"].to_numpy(dtype="float64")[place]
+    group = o.keys if not o.split else [*o.keys, BLK]
+    marked = data.withColumn("__g", F.xxhash64(*[ident(k) for k in group], *[ident(k).isNull() for k in group]))
+    ordered = marked.repartition(*[ident(k) for k in group]).sortWithinPartitions(*group, RN)
+
+    def begins(batches: list) -> np.ndarray:
+        """Whether a row begins a series: positions inside one have no gap."""
+        g, rn = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("__g", RN))
+        return np.concatenate([[True], (g[1:] != g[:-1]) | (rn[1:] != rn[:-1] + 1)])
+
+    def fit(batches: list) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        x, y = (table.column(c).to_numpy().astype("float64") for c in ("__t", "__v"))
+        first = begins(batches)
+        size = np.diff(np.append(np.flatnonzero(first), len(x)))
+        enough = np.repeat(size >= 4, size)
         out = np.full((5, len(x)), np.nan)
-        if len(x) >= 4:
-            out[0, :-1], out[1:, :-1] = x[1:], spline_coefficients(x, y)
-            out[0, -1], out[1:, -1] = x[-1], [0, 0, 0, y[-1]]
-        back = np.empty_like(out)
-        back[:, place] = out
-        table = with_arrays(block.select(names), {f.name: back[i] for i, f in enumerate(added)}, added)
-        return table.filter(pa.array((pdf[BLK] == pdf[HOME]).to_numpy()))
-
-    fitted = data.groupBy(*o.by if o.split else [*o.by, F.col(BLK)]).applyInArrow(fit, T.StructType([*kept, *added]))
+        if enough.any():
+            starts = np.flatnonzero(first[enough])
+            out[1:, enough] = splines(x[enough], y[enough], starts)
+            until = np.append(x[enough][1:], 0.0)
+            ends = np.append(starts[1:], len(until)) - 1
+            until[ends] = x[enough][ends]
+            out[0, enough] = until
+        own = pa.array((table.column(BLK).to_numpy() == table.column(HOME).to_numpy()))
+        return with_arrays(table.select(names), {f.name: out[i] for i, f in enumerate(added)}, added).filter(own).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last series so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            cuts = np.flatnonzero(begins([*last, batch])[len(last):])
+            if held and len(cuts) or len(cuts) > 1:
+                yield from fit([*held, *([batch.slice(0, cuts[-1])] if cuts[-1] else [])])
+                held, batch = [], batch.slice(cuts[-1])
+            held.append(batch)
+        if held:
+            yield from fit(held)
+
+    fitted = ordered.mapInArrow(run, T.StructType([*kept, *added]))
     side = fitted.select(*[ident(k) for k in keys], "__t", F.lit(0).alias("__kind"), F.struct(F.col("__t").alias("x0"), "__until", "c3", "c2", "c1", "c0").alias("__f"))
     own = df.select(*[ident(k) for k in keys], "__t", F.lit(1).alias("__kind"), F.struct(*[ident(c) for c in df.columns]).alias("__row"))
-    run = Ordered(own.unionByName(side, allowMissingColumns=True), keys, ["__t", "__kind"]).running(__hit=("last", F.col("__f")))
+    like = df.select("__t", *[ident(k) for k in keys]).unionByName(points.drop("__v"))
+    run = Ordered(own.unionByName(side, allowMissingColumns=True), keys, ["__t", "__kind"], like=like).running(__hit=("last", F.col("__f")))
     out = run.result().filter(F.col("__row").isNotNull())
     hit, t = F.col("__hit"), F.col("__t")
     if formula:
@@ -284,23 +337,26 @@ def time_join(df: DataFrame, ref: DataFrame, time: str, ref_time: str, items: Se
 
 def _time_join_formula(df, ref, time, ref_time, items, keys, rkeys, stop_after) -> DataFrame:
     """Splines: attach each reference row's coefficients, look the row up as-of, evaluate."""
-    splines = [i for i in items if i[1] == "cubic_spline"]
+    cubic = [i for i in items if i[1] == "cubic_spline"]
     others = [i for i in items if i[1] != "cubic_spline"]
+    # every step below has a row per row of these, so they tell which keys are hot without the steps before
+    like_ref = ref if stop_after is None else None
+    like = df.select(seconds(df, time).alias("__t"), *[ident(k) for k in keys]).unionByName(ref.select(seconds(ref, ref_time).alias("__t"), *[ident(r).alias(k) for r, k in zip(rkeys, keys)]))
     if others:
         df = time_join(df, ref, time, ref_time, others, keys, rkeys, stop_after)
-    formulas = interpolate(ref, ref_time, [(f, m, f"__c_{n}") for f, m, n in splines], rkeys, stop_after, formula=True)
+    formulas = interpolate(ref, ref_time, [(f, m, f"__c_{n}") for f, m, n in cubic], rkeys, stop_after, formula=True)
     data, group = _with_runs(formulas, ref_time, rkeys, stop_after)
     coef = [c for c in data.columns if c.startswith("__c_")]
-    side = Ordered(data.withColumn("__t", seconds(ref, ref_time)), group, ["__t"]).frame(0, 1, lambda w: {"__until": F.lead("__t").over(w)}).result()
+    side = Ordered(data.withColumn("__t", seconds(ref, ref_time)), group, ["__t"], like=like_ref).frame(0, 1, lambda w: {"__until": F.lead("__t").over(w)}).result()
     side = side.filter("__until is not null").select(
         *[ident(r).alias(k) for r, k in zip(rkeys, keys)], F.col("__t"), F.lit(0).alias("__kind"),
         F.struct("__until", *[ident(c) for c in coef]).alias("__f"))
     own = df.select(*[ident(k) for k in keys], seconds(df, time).alias("__t"), F.lit(1).alias("__kind"),
                     F.struct(*[ident(c) for c in df.columns]).alias("__row"))
-    o = Ordered(own.unionByName(side, allowMissingColumns=True), keys, ["__t", "__kind"]).running(__hit=("last", F.col("__f")))
+    o = Ordered(own.unionByName(side, allowMissingColumns=True), keys, ["__t", "__kind"], like=like).running(__hit=("last", F.col("__f")))
     out = o.result().filter(F.col("__row").isNotNull())
     done = []
-    for _, _, n in splines:
+    for _, _, n in cubic:
         p = lambda c: F.col("__hit")[f"__c_{n}_{c}"]
         d = F.col("__t") - p("x0")
         value = ((p("c3") * d + p("c2")) * d + p("c1")) * d + p("c0")

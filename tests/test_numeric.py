@@ -106,3 +106,27 @@ def test_models_learn(spark, table):
         assert ml.score_of(ml.predict(model, df, "l_quantity,l_extendedprice"), "big", "prediction", "accuracy") > 0.95
     boosted = ml.boost(df, "l_quantity,l_extendedprice", "big", 2, rounds=2)
     assert ml.score_of(ml.predict(boosted, df, "l_quantity,l_extendedprice"), "big", "prediction", "accuracy") > 0.95
+
+
+def test_splines_of_many_series_at_once():
+    rng = np.random.default_rng(3)
+    sizes = [4, 9, 5, 4, 60, 6]
+    parts = [(np.cumsum(rng.uniform(0.1, 1, n)), rng.normal(size=n)) for n in sizes]
+    parts[2][1][3] = np.inf  # stays in its own series
+    starts = np.cumsum([0, *sizes[:-1]])
+    with np.errstate(all="ignore"):
+        got = timeseries.splines(*map(np.concatenate, zip(*parts)), starts)
+        alone = [timeseries.spline_coefficients(x, y) for x, y in parts]
+    for at, want in zip(starts, alone):
+        assert np.allclose(got[:, at:at + want.shape[1]], want, rtol=1e-9, atol=1e-12, equal_nan=True)
+
+
+def test_hot_keys_of_a_spline_join_are_counted_without_splines(spark, monkeypatch):
+    from millrace.plans import ordered
+
+    df = spark.range(400).select((F.col("id") % 40).alias("k"), F.col("id").cast("double").alias("t"), F.sin("id").alias("v"))
+    counted, right = [], ordered.hot_groups
+    monkeypatch.setattr(ordered, "hot_groups", lambda d, keys: counted.append(d._jdf.queryExecution().optimizedPlan().toString()) or right(d, keys))
+    out = timeseries.time_join(df.select("k", (F.col("t") + 7).alias("t")), df, "t", "t", [("v", "cubic_spline", "y"), ("v", "previous", "p")], "k")
+    assert out.count() == 400 and len(counted) > 2
+    assert not [p for p in counted if "Arrow" in p or "Pandas" in p]
