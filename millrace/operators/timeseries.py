@@ -187,7 +187,8 @@ def splines(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """``spline_coefficients`` of several series one after the other, each of at least four points and from one of
     ``starts``; a column per point, that of a series' last point 0, 0, 0, y.
 
-    The equations of all series are solved as one system, in which nothing links one series with the next.
+    The equations of series of similar length are solved as one system, in which nothing links one series with the
+    next. Each is filled up to the same power of two, so it is reduced just as it would be alone.
     """
     ends = np.append(starts[1:], len(x)) - 1
     step = np.diff(x)
@@ -205,12 +206,19 @@ def splines(x: np.ndarray, y: np.ndarray, starts: np.ndarray) -> np.ndarray:
     up[ends - 1] = 0
     inner = np.ones(len(x), bool)
     inner[starts] = inner[ends] = False
-    system = low[inner], mid[inner], up[inner], right[inner]
-    m = np.empty(len(x))
-    m[inner] = solve_tridiagonal(*system)
-    if len(starts) > 1 and not (np.isfinite(m[inner]).all() and all(np.isfinite(c).all() for c in system)):
+    if len(starts) > 1 and not all(np.isfinite(c[inner]).all() for c in (low, mid, up, right)):
         # what is not finite would reach the other series
         return np.concatenate([splines(x[a:b + 1], y[a:b + 1], np.array([0])) for a, b in zip(starts, ends)], 1)
+    m, unknowns = np.zeros(len(x)), ends - starts - 1
+    power = np.ceil(np.log2(unknowns)).astype(int)
+    for each in np.unique(power):
+        of, wide = np.flatnonzero(power == each), 1 << int(each)
+        place = np.arange(wide) < unknowns[of, None]
+        at = (starts[of, None] + 1 + np.arange(wide))[place]
+        system = [np.full(place.shape, fill) for fill in (0.0, 1.0, 0.0, 0.0)]
+        for whole, part in zip(system, (low, mid, up, right)):
+            whole[place] = part[at]
+        m[at] = solve_tridiagonal(*(c.ravel() for c in system)).reshape(place.shape)[place]
     m[starts] = m[starts + 1] + first * (m[starts + 1] - m[starts + 2])
     m[ends] = m[ends - 1] + last * (m[ends - 1] - m[ends - 2])
     out = np.zeros((4, len(x)))
