@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 #: A text with one of these goes through the library as a whole: unusual white space, NUL, control strings.
 ODD = [*map(chr, (0, 0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)), "<|"]
+ODD_ASCII = [x for x in ODD if x.isascii()]
 #: In byte-level vocabularies runs of white space are tokens too; such texts also go as a whole.
 RUNS = ["  ", " \n", "\n ", "\n\n", "\t", "\r"]
 #: Fixed patterns of the two kinds of vocabulary.
@@ -49,7 +50,7 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.known = _Known(self._word, most)
         self.parts = _Known(self._part, most // 2)
-        self.model = self.library.model
+        self.tokenize, self.normalize = self.library.model.tokenize, self.library.normalizer.normalize_str if self.library.normalizer else str
         self.find = regex.compile(SPACED if spaced else PLAIN).findall
 
     def _word(self, word: str) -> bytes:
@@ -60,24 +61,29 @@ class Encoder:
                 word = word[1:]
             elif word != "\n":
                 space = " "
-        if max(word, default=" ") >= "\u0180":  # the library's Unicode tables may be of another version
+        plain = word.isascii()
+        if not plain and max(word) >= "\u0180":  # the library's Unicode tables may be of another version
             ids = self.library.encode(space + word, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if not self.spaced:
-            word = word.lower() if word.isascii() else self.library.normalizer.normalize_str(word)
+            word = word.lower() if plain else self.normalize(word)
         core = word.rstrip(".,")
-        if core.isalpha() and max(core) < "\u0180":
-            out = self.parts[space + core]
-            return out + self.parts[word[len(core):]] if len(core) < len(word) else out
+        if core.isalpha() and (plain or max(core) < "\u0180"):
+            if len(core) == len(word):
+                return self.parts[space + word]
+            return self.parts[space + core] + self.parts[word[len(core):]]
         return b"".join(map(self.parts.__getitem__, self.find(space + word)))
 
     def _part(self, part: str) -> bytes:
-        part = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(BYTES)
-        ids = [t.id for t in self.model.tokenize(part)]
+        if not part.isascii() or not part.isprintable():
+            part = part.encode().decode("latin-1").translate(BYTES)
+        elif part[0] == " ":
+            part = "\u0120" + part[1:]
+        ids = [t.id for t in self.tokenize(part)]
         return PACK[len(ids)](*ids) if len(ids) < 32 else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in ODD) or self.spaced and (any(x in text for x in RUNS) or text[-1:].isspace()):
+        if any(x in text for x in (ODD_ASCII if text.isascii() else ODD)) or self.spaced and (any(x in text for x in RUNS) or text[-1:].isspace()):
             ids = self.library.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         if not self.spaced:
