@@ -46,3 +46,14 @@ def test_results_of_intervals_are_dealt_over_tasks(spark, monkeypatch):
     spans = spark.range(100).select(F.col("id").alias("name"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
     tasks = _per_task(joins.interval_join(values, spans, "v", "lo", "hi", fields="name"))
     assert sum(tasks) == 200_000 and max(tasks) < 0.2 * sum(tasks)
+
+
+def test_copies_of_values_do_not_grow_with_the_results(spark, monkeypatch):
+    """Before, a segment was copied for each ``PAIRS`` of its results, however many tasks there were."""
+    monkeypatch.setattr(joins, "PAIRS", 1 << 6)
+    monkeypatch.setattr(joins, "RESULT_TASKS", 4, raising=False)
+    values = spark.range(700).select("id", F.col("id").cast("double").alias("v"))
+    spans = spark.range(600).select(F.col("id").alias("name"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    own, side, keys = joins.interval_pieces(values, spans, "v", "lo", "hi", [], [], {"name": "name"}, "[)")
+    assert own.join(side, keys).count() == 700 * 600
+    assert own.count() < 20 * 700 and side.count() < 30 * 600
