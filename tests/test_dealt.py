@@ -57,3 +57,14 @@ def test_copies_of_values_do_not_grow_with_the_results(spark, monkeypatch):
     own, side, keys = joins.interval_pieces(values, spans, "v", "lo", "hi", [], [], {"name": "name"}, "[)")
     assert own.join(side, keys).count() == 700 * 600
     assert own.count() < 20 * 700 and side.count() < 30 * 600
+
+
+def test_cells_grow_with_the_results(spark, monkeypatch):
+    """Before, a cell held ``PAIRS`` pairs however many there were, and rows were copied once per cell."""
+    monkeypatch.setattr(joins, "PAIRS", 100)
+    monkeypatch.setattr(joins, "RESULT_TASKS", 4)
+    a = spark.range(3000).select("id", F.lit(1).alias("k"))
+    b = spark.range(100).select(F.col("id").alias("r"), F.lit(1).alias("__k0"))
+    left, right = joins._dealt(a, b, ["k"], ["__k0"], False)
+    assert left.join(right, (F.col("k") == F.col("__k0")) & (F.col("__salt") == F.col("__part"))).count() == 300_000
+    assert left.count() + right.count() < 10_000
